@@ -209,13 +209,15 @@ def first_seen_ids(df: DataFrame, value_col: str, order_col: str, name: str = "i
 
 
 def ids_with_fallback(df: DataFrame, value_col: str, id_map: DataFrame, order_col: str,
-                      name: str = "id") -> DataFrame:
+                      name: str = "id", partition_cols=(), base: int | None = None) -> DataFrame:
     """Map values through ``id_map`` (value, id); an unmapped value gets the next
-    free id, counting upward in row order (a fresh id per unmapped row)."""
+    free id, counting upward in row order within each partition (a fresh id per
+    unmapped row, starting at ``base`` = number of mapped ids by default)."""
     from wardlens.operators.ordered import row_numbers
-    max_id = id_map.agg(F.max("id")).first()[0]
-    base = -1 if max_id is None else int(max_id)
+    if base is None:
+        max_id = id_map.agg(F.max("id")).first()[0]
+        base = 0 if max_id is None else int(max_id) + 1
     j = df.join(id_map.withColumnRenamed("id", "_id"), value_col, "left")
-    missing = row_numbers(j.where(F.col("_id").isNull()), order_col, name="_rn") \
-        .withColumn("_id", F.lit(base) + F.col("_rn")).drop("_rn")
+    missing = row_numbers(j.where(F.col("_id").isNull()), order_col, list(partition_cols), name="_rn") \
+        .withColumn("_id", F.lit(base) + F.col("_rn") - 1).drop("_rn")
     return j.where(F.col("_id").isNotNull()).unionByName(missing).withColumnRenamed("_id", name)

@@ -70,8 +70,8 @@ def roc_auc_trapezoid(pred: DataFrame, score_col: str = "score", label_col: str
     """Trapezoid area under the ROC points (equal to the rank formula)."""
     pred, g, extra = _grouped(pred, group_cols)
     b = _curve_base(pred, score_col, label_col, g)
-    fpr, tpr = F.col("fp") / F.col("N"), F.col("tp") / F.col("P")
-    fpr0, tpr0 = (F.col("fp") - F.col("n_neg")) / F.col("N"), (F.col("tp") - F.col("n_pos")) / F.col("P")
+    fpr, tpr = F.try_divide(F.col("fp"), F.col("N")), F.try_divide(F.col("tp"), F.col("P"))
+    fpr0, tpr0 = F.try_divide((F.col("fp") - F.col("n_neg")), F.col("N")), F.try_divide((F.col("tp") - F.col("n_pos")), F.col("P"))
     return b.groupBy(*g).agg(F.round(F.sum((fpr - fpr0) * (tpr + tpr0) / 2), digits).alias("auc")).drop(*extra)
 
 
@@ -94,7 +94,7 @@ def average_precision(pred: DataFrame, score_col: str = "score", label_col: str
     threshold is its positives over all positives."""
     pred, g, extra = _grouped(pred, group_cols)
     b = _curve_base(pred, score_col, label_col, g)
-    term = F.col("n_pos") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    term = F.try_divide(F.col("n_pos"), F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp")))
     return b.groupBy(*g).agg(F.round(F.sum(term), digits).alias("average_precision")).drop(*extra)
 
 
@@ -103,9 +103,9 @@ def pr_area_trapezoid(pred: DataFrame, score_col: str = "score", label_col: str
     """Trapezoid area under precision(recall) including the (0, 1) closing point."""
     pred, g, extra = _grouped(pred, group_cols)
     b = _curve_base(pred, score_col, label_col, g)
-    r, p = F.col("tp") / F.col("P"), F.col("tp") / (F.col("tp") + F.col("fp"))
+    r, p = F.try_divide(F.col("tp"), F.col("P")), F.col("tp") / (F.col("tp") + F.col("fp"))
     tp0, fp0 = F.col("tp") - F.col("n_pos"), F.col("fp") - F.col("n_neg")
-    r0 = tp0 / F.col("P")
+    r0 = F.try_divide(tp0, F.col("P"))
     p0 = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0))
     return b.groupBy(*g).agg(F.round(F.sum((r - r0) * (p + p0) / 2), digits).alias("pr_auc")).drop(*extra)
 
@@ -205,8 +205,8 @@ def roc_on_grid(spark: SparkSession, pred: DataFrame, score_col: str = "score",
     """
     pred, g, extra = _grouped(pred, group_cols)
     b = _curve_base(pred, score_col, label_col, g)
-    x1, y1 = F.col("fp") / F.col("N"), F.col("tp") / F.col("P")
-    x0, y0 = (F.col("fp") - F.col("n_neg")) / F.col("N"), (F.col("tp") - F.col("n_pos")) / F.col("P")
+    x1, y1 = F.try_divide(F.col("fp"), F.col("N")), F.try_divide(F.col("tp"), F.col("P"))
+    x0, y0 = F.try_divide((F.col("fp") - F.col("n_neg")), F.col("N")), F.try_divide((F.col("tp") - F.col("n_pos")), F.col("P"))
     step = 1.0 / (n_grid - 1)
     seg = b.select(*g, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
     # grid indices a segment can touch: from floor(x0 / step) to ceil(x1 / step)

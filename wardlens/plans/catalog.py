@@ -291,14 +291,14 @@ def doc_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("doc_average_precision", ("WITH " + _CURVE_CTE + """
-SELECT {g}, round(sum(n_pos / P * (tp / (tp + fp))), 9) AS average_precision FROM cu GROUP BY {g}""")
+SELECT {g}, round(sum(n_pos / NULLIF(P, 0) * (tp / (tp + fp))), 9) AS average_precision FROM cu GROUP BY {g}""")
           .format(g="lang", src=B.SQL_DOC_SCORES))
 def doc_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.average_precision(B.doc_scores(spark, sf_dir), group_cols=["lang"])
 
 
 @register("line_roc_trapezoid", ("WITH " + _CURVE_CTE + """
-SELECT {g}, round(sum((fp / N - (fp - n_neg) / N) * (tp / P + (tp - n_pos) / P) / 2), 9) AS auc FROM cu GROUP BY {g}""")
+SELECT {g}, round(sum((fp / NULLIF(N, 0) - (fp - n_neg) / NULLIF(N, 0)) * (tp / NULLIF(P, 0) + (tp - n_pos) / NULLIF(P, 0)) / 2), 9) AS auc FROM cu GROUP BY {g}""")
           .format(g="grp", src=B.SQL_LINE_SCORES))
 def line_roc_trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.roc_auc_trapezoid(B.line_scores(spark, sf_dir), group_cols=["grp"])
@@ -356,3 +356,228 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and upper median of each metric over the language clusters, per class."""
     rep = evaluate.class_report(_doc_pred(spark, sf_dir), group_cols=["lang"])
     return cohort.metric_summary(rep, ["class"], ["precision", "recall", "f1", "support"])
+
+
+# ------------------------------------------------------------------ hierarchy ids, parents, Gini
+def _stay_chapters(spark, sf_dir):
+    intervals = codes.hierarchy_intervals(_paths(spark), 1)
+    st = B.stays(spark, sf_dir).select("hadm_id", "priority", "label")
+    return codes.stay_clusters(spark, st, B.diagnoses(spark, sf_dir), intervals)
+
+
+_CH_IDS = ", ".join(f"('{n}', {i})" for i, n in enumerate(CHAPTER_NAMES))
+_STAY_CH_CTE = f"""{_iv_cte(CHAPTER_NAMES)}, {LOOKUP_CTE},
+prim AS (SELECT hadm_id, min(icd9_code) AS icd9_code FROM ({B.SQL_DIAG}) d WHERE seq_num = 1 GROUP BY hadm_id),
+st AS ({B.SQL_STAYS}),
+j AS (SELECT st.hadm_id, st.priority, st.label, lk.cluster FROM prim JOIN st ON st.hadm_id = prim.hadm_id
+      LEFT JOIN lk ON lk.code3 = {_code3_sql('prim.icd9_code')})"""
+
+
+@register("hierarchy_id_gini", f"""
+WITH {_STAY_CH_CTE}, ch(name, id) AS (VALUES {_CH_IDS}),
+ids AS (SELECT j.priority, coalesce(ch.id, {len(CHAPTER_NAMES)} + row_number() OVER (PARTITION BY j.priority, ch.id IS NULL ORDER BY j.hadm_id) - 1) AS id
+        FROM j LEFT JOIN ch ON ch.name = j.cluster),
+g AS (SELECT priority, id + 1e-7 AS x, row_number() OVER (PARTITION BY priority ORDER BY id) AS i,
+      count(*) OVER (PARTITION BY priority) AS n FROM ids)
+SELECT priority, round(sum((2 * i - n - 1) * x) / (max(n) * sum(x)), 6) AS gini FROM g GROUP BY priority""")
+def hierarchy_id_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gini of hierarchy-chapter ids (first-seen order; unmapped stays take the
+    next free ids in stay order) within each priority cluster."""
+    id_map = codes.first_seen_ids(
+        _paths(spark).select("path_idx", F.col("path")[1]["code"].alias("cluster")), "cluster", "path_idx")
+    ids = codes.ids_with_fallback(_stay_chapters(spark, sf_dir), "cluster", id_map, "hadm_id",
+                                  partition_cols=["priority"])
+    return cohort.gini_by_group(ids, "id", "priority")
+
+
+_BLOCK_ALL = ", ".join(f"({int(b.partition('-')[0])}, {int(b.partition('-')[2] or b)}, '{b}')" for b in BLOCKS)
+
+
+@register("block_parent_counts", f"""
+WITH bl(lo, hi, name) AS (VALUES {_BLOCK_ALL}),
+prim AS (SELECT hadm_id, min(icd9_code) AS icd9_code FROM ({B.SQL_DIAG}) d WHERE seq_num = 1 GROUP BY hadm_id),
+j AS (SELECT bl.name AS parent FROM prim LEFT JOIN bl ON {_code3_sql('prim.icd9_code')} BETWEEN bl.lo AND bl.hi)
+SELECT parent, CAST(count(*) AS BIGINT) AS n_stays FROM j GROUP BY parent""")
+def block_parent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node -> depth-2 ancestor lookup (equi-join on the 3-digit leaf code), stays per block."""
+    parents = codes.node_parents(_paths(spark), 2).where(F.col("code").isNotNull())
+    prim = codes.primary_diagnosis(B.diagnoses(spark, sf_dir)).withColumn("code", F.substring("icd9_code", 1, 3))
+    j = prim.join(codes.bounded_broadcast(parents), "code", "left")
+    return j.groupBy("parent").agg(F.count(F.lit(1)).alias("n_stays"))
+
+
+# ------------------------------------------------------------------ text
+@register("doc_terms", r"""
+SELECT lang, term, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents) t
+WHERE length(term) > 0 GROUP BY lang, term""")
+def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term frequency per language over the whole texts (the table behind a word cloud)."""
+    return cohort.term_counts(B.table(spark, sf_dir, "documents"), "lang", "text")
+
+
+# ------------------------------------------------------------------ features
+Z_COLS = ["total_price", "quantity_mean", "price_mean", "discount_mean"]
+
+
+@register("stay_zscores", f"WITH {FEAT_CTE} SELECT hadm_id, " + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / NULLIF(stddev_pop({c}) OVER (), 0), 6) AS z_{c}" for c in Z_COLS) + " FROM sf")
+def stay_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z-scores with the population std, fitted with one aggregate."""
+    from wardlens.operators.features import zscore
+    f = _stay_features(spark, sf_dir).select("hadm_id", *Z_COLS)
+    z = zscore(f, Z_COLS, prefix="z_")
+    return z.select("hadm_id", *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in Z_COLS])
+
+
+# The five order priorities of the test data, sorted; the first is dropped.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register("stay_onehot", f"SELECT hadm_id, label, " + ", ".join(
+    f"CAST(priority = '{v}' AS INTEGER) AS \"priority_{v}\"" for v in PRIORITIES[1:]) + f" FROM ({B.SQL_STAYS}) s")
+def stay_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dummy coding of the priority: one 0/1 column per level, first level dropped."""
+    from wardlens.operators.features import one_hot
+    return one_hot(B.stays(spark, sf_dir).select("hadm_id", "label", "priority"), ["priority"])
+
+
+SPLIT_SQL = "CASE WHEN ((doc_id * 48271) % 2147483647) % 100 < 20 THEN 'test' ELSE 'train' END"
+
+
+@register("train_test_split", f"SELECT doc_id, label, {SPLIT_SQL} AS split FROM ({B.SQL_DOC_SCORES}) s")
+def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeatable 80/20 split by an arithmetic hash of the id."""
+    from wardlens.operators.folds import hash_split
+    return hash_split(B.doc_scores(spark, sf_dir).select("doc_id", "label"), "doc_id", 0.2)
+
+
+# ------------------------------------------------------------------ mean ROC over folds
+@register("doc_mean_roc", f"""
+WITH s AS (SELECT score, label, ntile(5) OVER (PARTITION BY label ORDER BY doc_id) - 1 AS fold FROM ({B.SQL_DOC_SCORES}) x),
+sc AS (SELECT fold, score, sum(label) AS n_pos, sum(1 - label) AS n_neg FROM s GROUP BY fold, score),
+cu AS (SELECT fold, sum(n_pos) OVER w AS tp, sum(n_neg) OVER w AS fp, sum(n_pos) OVER (PARTITION BY fold) AS P,
+       sum(n_neg) OVER (PARTITION BY fold) AS N FROM sc
+       WINDOW w AS (PARTITION BY fold ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pts AS (SELECT fold, fp / NULLIF(N, 0) AS fpr, tp / NULLIF(P, 0) AS tpr FROM cu UNION ALL SELECT DISTINCT fold, 0.0, 0.0 FROM sc),
+grid AS (SELECT CAST(range AS INTEGER) AS i, range * (CAST(1 AS DOUBLE) / 99) AS x FROM range(100)),
+fl AS (SELECT DISTINCT fold FROM sc),
+lf AS (SELECT g.i, g.x, f.fold, (SELECT max(fpr) FROM pts WHERE pts.fold = f.fold AND fpr <= g.x) AS l
+       FROM grid g CROSS JOIN fl f),
+lr AS (SELECT lf.*, (SELECT max(tpr) FROM pts WHERE pts.fold = lf.fold AND fpr = lf.l) AS lt,
+       (SELECT min(fpr) FROM pts WHERE pts.fold = lf.fold AND fpr > lf.x) AS r FROM lf),
+v AS (SELECT lr.*, (SELECT min(tpr) FROM pts WHERE pts.fold = lr.fold AND fpr = lr.r) AS rt FROM lr),
+it AS (SELECT i, x, fold, CASE WHEN l = x OR r IS NULL THEN lt ELSE lt + (x - l) * (rt - lt) / (r - l) END AS tpr FROM v),
+m AS (SELECT i, x, CASE WHEN i = 0 THEN 0.0 WHEN i = 99 THEN 1.0 ELSE avg(tpr) END AS tpr FROM it GROUP BY i, x),
+a AS (SELECT sum((x - px) * (tpr + pt) / 2) AS auc FROM (SELECT x, tpr, lag(x) OVER (ORDER BY i) AS px,
+      lag(tpr) OVER (ORDER BY i) AS pt FROM m) q WHERE px IS NOT NULL)
+SELECT i, round(x, 9) AS x, round(tpr, 9) AS tpr, round(auc, 9) AS auc FROM m, a""")
+def doc_mean_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean ROC of the 5 stratified folds on a 100-point grid, ends fixed, with its area."""
+    folds = ntile_folds(B.doc_scores(spark, sf_dir), "doc_id", 5, ["label"])
+    return evaluate.mean_roc(spark, folds, "fold")
+
+
+# ------------------------------------------------------------------ more evaluation tables
+@register("doc_report_averages", f"""
+WITH {_PRED_CTE}, {_CNT_CTE}, rep AS ({_rep_sql('tp', 'fp', 'fn', 1)} UNION ALL {_rep_sql('tn', 'fn', 'fp', 0)})
+SELECT lang, 'macro' AS average, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall,
+       round(avg(f1), 9) AS f1, CAST(sum(support) AS BIGINT) AS support FROM rep GROUP BY lang
+UNION ALL SELECT lang, 'weighted', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9),
+       round(sum(f1 * support) / sum(support), 9), CAST(sum(support) AS BIGINT) FROM rep GROUP BY lang
+UNION ALL SELECT lang, 'micro', round((tp + tn) / (tp + tn + fp + fn), 9), round((tp + tn) / (tp + tn + fp + fn), 9),
+       round((tp + tn) / (tp + tn + fp + fn), 9), CAST(tp + tn + fp + fn AS BIGINT) FROM c""")
+def doc_report_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.report_averages(_doc_pred(spark, sf_dir), group_cols=["lang"])
+
+
+@register("doc_baseline_report", f"""
+WITH p AS (SELECT lang, label, 0 AS pred FROM ({B.SQL_DOC_SCORES}) s), {_CNT_CTE}
+{_rep_sql('tp', 'fp', 'fn', 1)} UNION ALL {_rep_sql('tn', 'fn', 'fp', 0)}""")
+def doc_baseline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the all-negative predictor (undefined precision reported as 0)."""
+    p = B.doc_scores(spark, sf_dir).withColumn("pred", F.lit(0))
+    return evaluate.class_report(p, group_cols=["lang"])
+
+
+@register("doc_accuracy", f"WITH {_PRED_CTE} SELECT lang, round(avg(CAST(label = pred AS DOUBLE)), 9) AS accuracy FROM p GROUP BY lang")
+def doc_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.accuracy(_doc_pred(spark, sf_dir), group_cols=["lang"]).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@register("doc_misclassified", f"WITH {_PRED_CTE.replace('SELECT lang,', 'SELECT doc_id, lang,')} "
+          "SELECT doc_id, lang, label, pred FROM p WHERE pred <> label")
+def doc_misclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose prediction differs from the label."""
+    return _doc_pred(spark, sf_dir).where(F.col("pred") != F.col("label")).select("doc_id", "lang", "label", "pred")
+
+
+_PROB_SQL = f"(1 - exp(-score / {DOC_CUT}))"
+
+
+@register("doc_sensitivity_specificity", f"""
+SELECT lang, round(sum(round(least(greatest(label * {_PROB_SQL}, 0), 1))) / (sum(label) + 1e-7), 9) AS sensitivity,
+       round(sum(round(least(greatest((1 - label) * (1 - {_PROB_SQL}), 0), 1))) / (sum(1 - label) + 1e-7), 9) AS specificity
+FROM ({B.SQL_DOC_SCORES}) s GROUP BY lang""")
+def doc_sensitivity_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Soft sensitivity / specificity of a probability derived from the score."""
+    p = B.doc_scores(spark, sf_dir).withColumn("prob", 1 - F.exp(-F.col("score") / DOC_CUT))
+    out = evaluate.sensitivity_specificity(p, group_cols=["lang"])
+    return out.select("lang", F.round("sensitivity", 9).alias("sensitivity"), F.round("specificity", 9).alias("specificity"))
+
+
+@register("doc_specificity_at_80", ("WITH " + _CURVE_CTE + """,
+pts AS (SELECT {g}, fp / NULLIF(N, 0) AS fpr, tp / NULLIF(P, 0) AS tpr FROM cu UNION ALL SELECT DISTINCT {g}, 0.0, 0.0 FROM sc)
+SELECT {g}, round(max(1 - fpr), 9) AS specificity FROM pts WHERE tpr >= 0.8 GROUP BY {g}""")
+          .format(g="lang", src=B.SQL_DOC_SCORES))
+def doc_specificity_at_80(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best specificity among ROC points reaching sensitivity 0.8."""
+    out = evaluate.specificity_at_sensitivity(B.doc_scores(spark, sf_dir), 0.8, group_cols=["lang"])
+    return out.withColumn("specificity", F.round("specificity", 9))
+
+
+@register("doc_pr_trapezoid", ("WITH " + _CURVE_CTE + """
+SELECT {g}, round(sum((tp / NULLIF(P, 0) - (tp - n_pos) / NULLIF(P, 0)) * (tp / (tp + fp) + CASE WHEN tp - n_pos + fp - n_neg = 0 THEN 1.0
+       ELSE (tp - n_pos) / (tp - n_pos + fp - n_neg) END) / 2), 9) AS pr_auc FROM cu GROUP BY {g}""")
+          .format(g="lang", src=B.SQL_DOC_SCORES))
+def doc_pr_trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.pr_area_trapezoid(B.doc_scores(spark, sf_dir), group_cols=["lang"])
+
+
+@register("correlation_extremes", f"""
+WITH {FEAT_CTE}, c AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(covar_pop({c}, label) / NULLIF(stddev_pop({c}) * stddev_pop(label), 0), 6) AS corr FROM sf"
+    for c in FEATURES) + """),
+r AS (SELECT *, row_number() OVER (ORDER BY corr DESC, feature) AS hi, row_number() OVER (ORDER BY corr ASC, feature) AS lo
+      FROM c WHERE corr IS NOT NULL)
+SELECT feature, corr FROM r WHERE hi <= 5 OR lo <= 5""")
+def correlation_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five most positive and five most negative label correlations, merged."""
+    return cohort.extremes(cohort.label_correlations(_stay_features(spark, sf_dir), FEATURES), "corr", "feature", 5)
+
+
+@register("category_set_ops", f"""
+WITH {COUNTS_CTE},
+a AS (SELECT category FROM c WHERE priority = '1-URGENT'), b AS (SELECT category FROM c WHERE priority = '2-HIGH')
+SELECT CAST((SELECT count(*) FROM (SELECT category FROM a UNION SELECT category FROM b) u) AS BIGINT) AS n_union,
+       CAST((SELECT count(*) FROM (SELECT category FROM a INTERSECT SELECT category FROM b) i) AS BIGINT) AS n_both,
+       CAST((SELECT count(*) FROM (SELECT category FROM a EXCEPT SELECT category FROM b) e) AS BIGINT) AS n_only_a,
+       CAST((SELECT count(*) FROM (SELECT category FROM b EXCEPT SELECT category FROM a) e) AS BIGINT) AS n_only_b""")
+def category_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union / intersection / differences of the category keys of two clusters."""
+    c = _priority_counts(spark, sf_dir)
+    a = c.where(F.col("priority") == "1-URGENT").select("category")
+    b = c.where(F.col("priority") == "2-HIGH").select("category")
+    both = a.distinct().withColumn("_a", F.lit(1)).join(b.distinct().withColumn("_b", F.lit(1)), "category", "full_outer")
+    return both.agg(F.count(F.lit(1)).alias("n_union"),
+                    F.sum(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1).otherwise(0)).cast("long").alias("n_both"),
+                    F.sum(F.when(F.col("_b").isNull(), 1).otherwise(0)).cast("long").alias("n_only_a"),
+                    F.sum(F.when(F.col("_a").isNull(), 1).otherwise(0)).cast("long").alias("n_only_b"))
+
+
+@register("stay_sample", f"""
+SELECT hadm_id, label FROM ({B.SQL_STAYS}) s ORDER BY ((hadm_id * 48271) % 2147483647), hadm_id LIMIT 50""")
+def stay_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeatable sample of 50 stays (the sampling operator: order by hash, take n)."""
+    from wardlens.operators.folds import hash_sample
+    return hash_sample(B.stays(spark, sf_dir).select("hadm_id", "label"), "hadm_id", 50)
