@@ -581,3 +581,92 @@ def stay_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repeatable sample of 50 stays (the sampling operator: order by hash, take n)."""
     from wardlens.operators.folds import hash_sample
     return hash_sample(B.stays(spark, sf_dir).select("hadm_id", "label"), "hadm_id", 50)
+
+
+# ------------------------------------------------------------------ clustering
+@register("centre_assignment", """
+WITH e AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+c AS (SELECT label AS k, pos, avg(CAST(v AS DOUBLE)) AS m FROM e GROUP BY label, pos),
+d AS (SELECT e.vec_id, c.k, sum((CAST(e.v AS DOUBLE) - c.m) * (CAST(e.v AS DOUBLE) - c.m)) AS dist
+      FROM e JOIN c ON c.pos = e.pos GROUP BY e.vec_id, c.k)
+SELECT vec_id, CAST(arg_min(k, dist) AS INTEGER) AS cluster, round(min(dist), 6) AS dist FROM d GROUP BY vec_id""")
+def centre_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding to the nearest of the per-label mean vectors (given centres)."""
+    from wardlens.operators.cluster import group_centres, nearest_centre
+    emb = B.table(spark, sf_dir, "embeddings")
+    ids, centres = group_centres(emb, "embedding", "label")
+    out = nearest_centre(emb.select("vec_id", "embedding"), "embedding", centres, ids)
+    return out.select("vec_id", F.col("cluster").cast("int").alias("cluster"), F.round("dist", 6).alias("dist"))
+
+
+_MODES_CTE = (f"{DICT_CTE}, {SETS_CTE}, "
+              "hs AS (SELECT cats, min((hadm_id * 48271) % 2147483647) AS h FROM sets GROUP BY cats), "
+              "modes AS (SELECT row_number() OVER (ORDER BY h) - 1 AS k, cats AS m FROM hs ORDER BY h LIMIT 3), "
+              "d AS (SELECT s.hadm_id, s.cats, modes.k, len(s.cats) + len(modes.m) - 2 * len(list_intersect(s.cats, modes.m)) AS cost "
+              "FROM sets s CROSS JOIN modes), "
+              "a AS (SELECT hadm_id, any_value(cats) AS cats, CAST(arg_min(k, cost * 100 + k) AS INTEGER) AS cluster, "
+              "CAST(min(cost) AS INTEGER) AS cost FROM d GROUP BY hadm_id)")
+
+
+def _kmodes_step(spark, sf_dir):
+    from wardlens.operators.cluster import initial_modes, kmodes_assign
+    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    modes = initial_modes(sets, "categories", "hadm_id", 3)
+    return kmodes_assign(sets, "categories", modes)
+
+
+@register("kmodes_assign", f"WITH {_MODES_CTE} SELECT hadm_id, cluster, cost FROM a")
+def kmodes_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One k-modes assignment step: each stay's category set to the nearest of three
+    seed modes by set mismatch (ties to the lowest cluster)."""
+    return _kmodes_step(spark, sf_dir).select("hadm_id", "cluster", "cost")
+
+
+@register("kmodes_update", f"""
+WITH {_MODES_CTE}, sz AS (SELECT cluster, count(*) AS size FROM a GROUP BY cluster),
+it AS (SELECT cluster, u.item, count(*) AS n FROM a, unnest(a.cats) u(item) GROUP BY 1, 2)
+SELECT it.cluster, it.item, CAST(it.n AS BIGINT) AS n, CAST(sz.size AS BIGINT) AS size FROM it JOIN sz USING (cluster)
+WHERE 2 * it.n > sz.size""")
+def kmodes_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One k-modes update step: per cluster the categories held by more than half."""
+    from wardlens.operators.cluster import kmodes_update as upd
+    return upd(_kmodes_step(spark, sf_dir), "categories")
+
+
+@register("kmodes_clusters")
+def kmodes_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full k-modes (k = 3, 3 restarts) on the stays' category sets: stay, cluster, cost."""
+    from wardlens.operators.cluster import kmodes
+    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    assigned, _, _, _ = kmodes(sets, "categories", "hadm_id", k=3, n_init=3, max_iter=10)
+    return assigned.select("hadm_id", "cluster", "cost")
+
+
+@register("kmodes_cluster_sizes")
+def kmodes_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and positive rates of the k-modes clusters (cluster profile of CLU4)."""
+    assigned = kmodes_clusters(spark, sf_dir)
+    st = B.stays(spark, sf_dir).select("hadm_id", "label")
+    return codes.cluster_profile(assigned.join(st, "hadm_id"), "cluster")
+
+
+@register("kmeans_elbow")
+def kmeans_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertia of k-means for k = 1..6 on the embeddings."""
+    from pyspark.ml.functions import array_to_vector
+    from wardlens.operators.cluster import kmeans_elbow as elbow
+    emb = B.table(spark, sf_dir, "embeddings").select(array_to_vector("embedding").alias("features"))
+    return elbow(emb.cache(), "features", range(1, 7))
+
+
+@register("kmeans_labels")
+def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means (k = 4) cluster per stay on z-scored features; with the cluster sizes."""
+    from wardlens.operators.cluster import kmeans_fit
+    from wardlens.operators.features import assemble, zscore
+    f = _stay_features(spark, sf_dir).select("hadm_id", *FEATURES)
+    x = assemble(zscore(f, FEATURES), FEATURES)
+    model = kmeans_fit(x, "features", 4, seed=7)
+    out = model.transform(x).select("hadm_id", "cluster")
+    sizes = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
+    return out.join(sizes, "cluster")
