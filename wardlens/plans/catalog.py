@@ -670,3 +670,212 @@ def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = model.transform(x).select("hadm_id", "cluster")
     sizes = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     return out.join(sizes, "cluster")
+
+
+# ------------------------------------------------------------------ fits, search, attribution
+def _model_frame(spark, sf_dir):
+    """Stay features + label + fold (5 stratified) + 80/20 split, ready for fits."""
+    from wardlens.operators.folds import hash_split
+    f = _stay_features(spark, sf_dir).select("hadm_id", "label", "priority", *FEATURES)
+    f = ntile_folds(f, "hadm_id", 5, ["label"])
+    return hash_split(f, "hadm_id", 0.2)
+
+
+def _fit(kind, train, **params):
+    from wardlens.operators.models import add_class_weight, make_estimator, scaled_pipeline
+    weighted = kind not in ("mlp",)
+    tr = add_class_weight(train) if weighted else train
+    est = make_estimator(kind, weight_col="weight" if weighted else None, n_features=len(FEATURES), **params)
+    return scaled_pipeline(FEATURES, est).fit(tr)
+
+
+@register("cluster_model_reports")
+def cluster_model_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per priority cluster: class-weighted logistic fit on the 80 % part, class
+    report (precision / recall / f1 / support) on the 20 % part."""
+    from wardlens.functions.columns import threshold
+    from wardlens.operators.models import fit_per_cluster, score_column
+    df = _model_frame(spark, sf_dir)
+
+    def fit_eval(part):
+        model = _fit("logistic", part.where(F.col("split") == "train"))
+        pred = score_column(model.transform(part.where(F.col("split") == "test")), "logistic")
+        return evaluate.class_report(pred.withColumn("pred", threshold("score", 0.5)))
+    return fit_per_cluster(df, "priority", fit_eval).cache()
+
+
+@register("cluster_report_summary")
+def cluster_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and upper median over clusters of every metric, per class."""
+    rep = cluster_model_reports(spark, sf_dir)
+    return cohort.metric_summary(rep, ["class"], ["precision", "recall", "f1", "support"])
+
+
+@register("oof_evaluation")
+def oof_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of a weighted logistic fit (5 stratified folds), pooled:
+    ROC area, average precision and PR area."""
+    from wardlens.operators.models import out_of_fold
+    df = _model_frame(spark, sf_dir)
+    pooled = out_of_fold(df, "fold", lambda tr: _fit("logistic", tr), "logistic", k=5).cache()
+    auc = evaluate.roc_auc(pooled)
+    ap = evaluate.average_precision(pooled)
+    pra = evaluate.pr_area_trapezoid(pooled)
+    return auc.withColumn("_k", F.lit(1)).join(ap.withColumn("_k", F.lit(1)), "_k") \
+        .join(pra.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@register("grid_search_results")
+def grid_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exhaustive grid over the logistic penalty with 5-fold mean / std ROC area and rank."""
+    from wardlens.operators.models import add_class_weight, grid_search, make_estimator
+    from wardlens.operators.features import assemble
+    df = add_class_weight(assemble(_model_frame(spark, sf_dir), FEATURES)).cache()
+    est = make_estimator("logistic", weight_col="weight", maxIter=10)
+    _, res, _ = grid_search(df, est, {"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]}, "fold")
+    return res
+
+
+@register("staged_search_progress")
+def staged_search_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinate search for boosted trees: depth, then min rows per node, then
+    row sampling, each stage from the best so far; score per stage."""
+    from wardlens.operators.models import add_class_weight, make_estimator, staged_search
+    from wardlens.operators.features import assemble
+    df = add_class_weight(assemble(_model_frame(spark, sf_dir), FEATURES)).withColumn("fold", F.col("fold") % 3).cache()
+    stages = [{"maxDepth": [2, 3]}, {"minInstancesPerNode": [1, 20]}, {"subsamplingRate": [0.8, 1.0]}]
+    _, prog = staged_search(df, lambda p: make_estimator("gbt", weight_col="weight", maxIter=5, **p), stages, "fold")
+    return prog
+
+
+@register("model_comparison")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven model kinds fitted on the same 80 % part; ROC area and f1 of the
+    positive class on the 20 % part, side by side."""
+    from wardlens.functions.columns import threshold
+    from wardlens.operators.models import KINDS, score_column
+    df = _model_frame(spark, sf_dir).cache()
+    train, test = df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
+    out = None
+    for kind in KINDS:
+        pred = score_column(_fit(kind, train).transform(test), kind)
+        auc = evaluate.roc_auc(pred).withColumn("model", F.lit(kind))
+        cut = 0.0 if kind == "linear_svc" else 0.5
+        rep = evaluate.class_report(pred.withColumn("pred", threshold("score", cut))).where(F.col("class") == 1)
+        row = auc.withColumn("_k", F.lit(1)).join(rep.select(F.col("f1").alias("f1_pos")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+        out = row if out is None else out.unionByName(row)
+    return out.select("model", "auc", "f1_pos")
+
+
+@register("feature_importance")
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random-forest importances, named and ranked."""
+    from wardlens.operators.attribution import named_importances
+    model = _fit("random_forest", _model_frame(spark, sf_dir))
+    return named_importances(model.stages[-1], FEATURES)
+
+
+@register("importance_stability")
+def importance_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, population std and top-7 count of forest importances over 3 seeded refits."""
+    from wardlens.operators.attribution import importance_runs
+    df = _model_frame(spark, sf_dir).cache()
+    runs = importance_runs(lambda s, d: _fit("random_forest", d, seed=s).stages[-1], df, FEATURES, [1, 2, 3])
+    return cohort.importance_stats(runs)
+
+
+@register("permutation_importance")
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROC-area drop of a fitted logistic model when each feature is shuffled."""
+    from wardlens.operators.attribution import permutation_importance as perm
+    df = _model_frame(spark, sf_dir).cache()
+    model = _fit("logistic", df.where(F.col("split") == "train"))
+    test = df.where(F.col("split") == "test")
+    return perm(_AssembledModel(model), test, FEATURES, "hadm_id")
+
+
+class _AssembledModel:
+    """Adapter: a pipeline whose first stage assembles ``FEATURES`` itself."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def transform(self, df):
+        return self.model.transform(df.drop("features"))
+
+
+@register("linear_contributions")
+def linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact contributions of a linear score (standardised features): mean |w (x - mean)|."""
+    from wardlens.operators.attribution import linear_contributions as lin
+    from wardlens.operators.features import zscore
+    df = _model_frame(spark, sf_dir)
+    model = _fit("logistic", df)
+    w = model.stages[-1].coefficients.toArray()
+    return lin(zscore(df, FEATURES), FEATURES, w)
+
+
+@register("sampled_shapley")
+def sampled_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled Shapley values of a boosted-tree probability for 50 sampled stays,
+    against a 10-centre k-means background of all stays."""
+    from pyspark.ml import PipelineModel
+    from wardlens.operators.attribution import sampled_shapley as shap
+    from wardlens.operators.cluster import background_summary
+    from wardlens.operators.features import assemble
+    from wardlens.operators.folds import hash_sample
+    df = _model_frame(spark, sf_dir).cache()
+    model = _fit("gbt", df)
+    inner = PipelineModel(stages=model.stages[1:])
+    bg = background_summary(assemble(df, FEATURES, out="features"), "features", k=10).collect()
+    background = [r["centre"] for r in bg]
+    rows = hash_sample(df, "hadm_id", 50)
+    return shap(_RenamedModel(inner), rows, background, FEATURES, "hadm_id", n_perm=8)
+
+
+class _RenamedModel:
+    """Adapter: feed an assembled ``features`` vector to the scaler stage."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def transform(self, df):
+        return self.model.transform(df.withColumnRenamed("features", "_raw"))
+
+
+@register("pca_variance")
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explained variance ratio per principal component of the standardised stay
+    features, its running sum, and the component count chosen by the below-one rule."""
+    from wardlens.operators.features import assemble, components_below_one, pca, zscore
+    df = assemble(zscore(_stay_features(spark, sf_dir), FEATURES), FEATURES)
+    _, ev = pca(df, len(FEATURES))
+    k = components_below_one(ev)
+    rows, cum = [], 0.0
+    for i, v in enumerate(ev):
+        cum += v
+        rows.append((i, float(v), float(cum), i == k))
+    return spark.createDataFrame(rows, "component int, ratio double, cumulative double, chosen boolean")
+
+
+@register("svd_singular_values")
+def svd_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank-10 truncated SVD of the embedding matrix: singular values and the
+    projected rows."""
+    from pyspark.ml.functions import array_to_vector
+    from wardlens.operators.features import truncated_svd
+    emb = B.table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
+    proj, s = truncated_svd(emb, 10)
+    return proj.select("vec_id", "svd", F.lit(float(s[0])).alias("top_singular_value"))
+
+
+@register("category_tfidf")
+def category_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tf-idf (smoothed idf + 1, l2 rows) of the stays' category sets and the binary
+    incidence vectors, as arrays."""
+    from wardlens.operators.features import incidence_vectors, tfidf
+    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    t = tfidf(sets, "categories")
+    bow, _ = incidence_vectors(t, "categories")
+    from pyspark.ml.functions import vector_to_array
+    return bow.select("hadm_id", vector_to_array("tfidf").alias("tfidf"), vector_to_array("bow").alias("bow"))
