@@ -148,3 +148,23 @@ def importance_stats(df: DataFrame, feature_col: str = "feature", value_col: str
     if top_col:
         aggs.append(F.sum(F.col(top_col).cast("int")).cast("long").alias("times_in_top"))
     return df.groupBy(feature_col).agg(*aggs)
+
+
+def positional_join(left: DataFrame, right: DataFrame, left_order: str, right_order: str,
+                    how: str = "left") -> DataFrame:
+    """Join two frames row by row in declared orders (the safe form of an index
+    join): both sides get a distributed row number, then an equi-join on it."""
+    from wardlens.operators.ordered import row_numbers
+    a = row_numbers(left, left_order, name="_pos")
+    b = row_numbers(right, right_order, name="_pos")
+    return a.join(b, "_pos", how).drop("_pos")
+
+
+def pivot_report(report: DataFrame, class_col: str = "class", metrics: Sequence[str] = ("precision", "recall", "f1"),
+                 classes: Sequence = (0, 1), group_cols: Sequence[str] = ()) -> DataFrame:
+    """Metric x class table: one row per (group, metric), one column per class."""
+    stack = "stack({n}, {p}) AS (metric, value)".format(
+        n=len(metrics), p=", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics))
+    long = report.selectExpr(*group_cols, class_col, stack)
+    return long.groupBy(*group_cols, "metric").pivot(class_col, list(classes)).agg(F.first("value")) \
+        .select(*group_cols, "metric", *[F.col(str(c)).alias(f"class_{c}") for c in classes])

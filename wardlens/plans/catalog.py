@@ -879,3 +879,47 @@ def category_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     bow, _ = incidence_vectors(t, "categories")
     from pyspark.ml.functions import vector_to_array
     return bow.select("hadm_id", vector_to_array("tfidf").alias("tfidf"), vector_to_array("bow").alias("bow"))
+
+
+# ------------------------------------------------------------------ reports, descriptions, sinks
+@register("report_pivot", f"""
+WITH rep AS ({REPORT_SQL}),
+l AS (SELECT lang, class, 'precision' AS metric, precision AS value FROM rep UNION ALL
+      SELECT lang, class, 'recall', recall FROM rep UNION ALL SELECT lang, class, 'f1', f1 FROM rep)
+SELECT lang, metric, max(CASE WHEN class = 0 THEN value END) AS class_0, max(CASE WHEN class = 1 THEN value END) AS class_1
+FROM l GROUP BY lang, metric""")
+def report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-language report pivoted to metric x class."""
+    rep = evaluate.class_report(_doc_pred(spark, sf_dir), group_cols=["lang"])
+    return cohort.pivot_report(rep, group_cols=["lang"])
+
+
+_CH_TITLES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in CHAPTERS)
+
+
+@register("cluster_descriptions", f"""
+WITH {_STAY_CH_CTE}, ti(name, descr) AS (VALUES {_CH_TITLES})
+SELECT j.cluster, ti.descr, CAST(count(*) AS BIGINT) AS n_stays, round(avg(j.label), 6) AS pos_rate
+FROM j LEFT JOIN ti ON ti.name = j.cluster GROUP BY j.cluster, ti.descr""")
+def cluster_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapter clusters with their description from the hierarchy, size and rate."""
+    desc = codes.node_descriptions(_paths(spark), 1).withColumnRenamed("code", "cluster")
+    st = _stay_chapters(spark, sf_dir)
+    prof = st.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_stays"), F.round(F.avg("label"), 6).alias("pos_rate"))
+    return prof.join(F.broadcast(desc), "cluster", "left").select("cluster", "descr", "n_stays", "pos_rate")
+
+
+@register("cluster_split_roundtrip", f"""
+WITH {_STAY_CH_CTE}
+SELECT coalesce(cluster, '__HIVE_DEFAULT_PARTITION__') AS cluster, CAST(count(*) AS BIGINT) AS n_stays,
+       CAST(sum(label) AS BIGINT) AS n_pos FROM j GROUP BY 1""")
+def cluster_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stays written as one directory per chapter (partitionBy) under the
+    checkpoint folder, read back; counts per directory."""
+    from wardlens.session import tmp_output_dir
+    from wardlens.sources.io import write_by_value
+    path = tmp_output_dir(spark, "cluster_split")
+    write_by_value(_stay_chapters(spark, sf_dir).select("hadm_id", "label", "cluster"), path, "cluster")
+    back = spark.read.option("basePath", path).parquet(path)
+    back = back.withColumn("cluster", F.coalesce(F.col("cluster").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    return back.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_stays"), F.sum("label").cast("long").alias("n_pos"))
