@@ -201,11 +201,13 @@ def cluster_cross_tab(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_seen_ids(df: DataFrame, value_col: str, order_col: str, name: str = "id") -> DataFrame:
-    """Dense 0-based id per distinct value in order of first appearance."""
+def first_seen_ids(df: DataFrame, value_col: str, order_col: str, name: str = "id",
+                   n_buckets: int | None = None) -> DataFrame:
+    """Dense 0-based id per distinct value in order of first appearance
+    (``n_buckets=1`` for a small fixed table such as a code hierarchy)."""
     from wardlens.operators.ordered import row_numbers
     first = df.groupBy(value_col).agg(F.min(order_col).alias("_first"))
-    return row_numbers(first, "_first", name="_rn").select(value_col, (F.col("_rn") - 1).alias(name))
+    return row_numbers(first, "_first", name="_rn", n_buckets=n_buckets).select(value_col, (F.col("_rn") - 1).alias(name))
 
 
 def ids_with_fallback(df: DataFrame, value_col: str, id_map: DataFrame, order_col: str,

@@ -85,18 +85,20 @@ def dissimilarity(counts: DataFrame, group_col: str, item: str, value: str = "n"
     zeros add nothing, so only the present counts are ranked -- within one item,
     i.e. at most ``k`` rows per window.  Overlaps per item are ``C(m, 2)``.
     """
-    if n_groups is None:
-        n_groups = counts.select(group_col).distinct().count()
-    k = F.lit(n_groups)
+    # with r_all = k - m + r: (2 r_all - k - 1) x = k x + (2r - 2m - 1) x, so k enters only
+    # through k * sum(x) and is counted in the same final aggregate (no extra job).
     w_cnt = Window.partitionBy(item)
     w_rank = Window.partitionBy(item).orderBy(F.col(value), F.col(group_col))
     ranked = counts.withColumn("_m", F.count(F.lit(1)).over(w_cnt)).withColumn("_r", F.row_number().over(w_rank))
-    r_all = k - F.col("_m") + F.col("_r")
-    terms = ranked.select(item, ((2 * r_all - k - 1) * F.col(value)).alias("_t"),
+    terms = ranked.select(item, group_col, F.col(value).alias("_x"),
+                          ((2 * F.col("_r") - 2 * F.col("_m") - 1) * F.col(value)).alias("_t"),
                           F.when(F.col("_r") == 1, F.col("_m") * (F.col("_m") - 1) / 2).otherwise(0).alias("_o"))
-    pairs = n_groups * (n_groups - 1) / 2
-    return terms.agg(F.sum("_t").cast("long").alias("score"), F.sum("_o").cast("long").alias("overlap")) \
-        .withColumn("mean_overlap", F.round(F.try_divide(F.col("overlap").cast("double"), F.lit(float(pairs))), 6))
+    k = F.lit(n_groups) if n_groups is not None else F.countDistinct(group_col)
+    agg = terms.agg((k * F.sum("_x") + F.sum("_t")).cast("long").alias("score"),
+                    F.sum("_o").cast("long").alias("overlap"), k.alias("_k"))
+    pairs = F.col("_k") * (F.col("_k") - 1) / 2
+    return agg.select("score", "overlap",
+                      F.round(F.try_divide(F.col("overlap").cast("double"), pairs.cast("double")), 6).alias("mean_overlap"))
 
 
 def pair_dissimilarity(counts: DataFrame, group_col: str, item: str, value: str = "n") -> DataFrame:
@@ -108,8 +110,10 @@ def pair_dissimilarity(counts: DataFrame, group_col: str, item: str, value: str
         .select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb"))
     a = counts.select(F.col(group_col).alias("ga"), F.col(item).alias("it"), F.col(value).alias("na"))
     b = counts.select(F.col(group_col).alias("gb"), F.col(item).alias("it"), F.col(value).alias("nb"))
-    pa = F.broadcast(pairs).join(a, "ga")
-    pb = F.broadcast(pairs).join(b, "gb")
+    from wardlens.operators.codes import bounded_broadcast
+    pairs = bounded_broadcast(pairs)   # C(k, 2) rows for k groups, checked
+    pa = pairs.join(a, "ga")
+    pb = pairs.join(b, "gb")
     full = pa.join(pb, ["ga", "gb", "it"], "full_outer")
     return full.groupBy("ga", "gb").agg(
         F.sum(F.abs(F.coalesce("na", F.lit(0)) - F.coalesce("nb", F.lit(0)))).cast("long").alias("score"),

@@ -17,25 +17,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.session import shuffle_partitions
 
 BUCKET = "_wl_bucket"
+# Upper bound on range buckets (each bucket is one window task).
+MAX_BUCKETS = 8192
 
 
-def _bucket_column(df: DataFrame, key: str, n_buckets: int) -> Column:
+def _with_bucket(df: DataFrame, key: str, n_buckets: int) -> DataFrame:
+    """Add the range bucket of ``key``: boundaries at approximate quantiles (a
+    bounded list on the driver), looked up by binary search (``Bucketizer``)."""
     if n_buckets <= 1:
-        return F.lit(0)
+        return df.withColumn(BUCKET, F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.approxQuantile(key, probs, 1.0 / (4 * n_buckets))
-    bounds = sorted({float(b) for b in bounds if b is not None})
+    bounds = sorted({float(b) for b in bounds if b is not None and b == b})
     if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    # bucket = number of boundaries strictly below the key (a bounded literal array)
-    return F.size(F.filter(arr, lambda b: b < F.col(key).cast("double")))
+        return df.withColumn(BUCKET, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+    splits = [float("-inf")] + bounds + [float("inf")]
+    out = Bucketizer(splits=splits, inputCol=key, outputCol=BUCKET, handleInvalid="keep").transform(df)
+    return out.withColumn(BUCKET, F.col(BUCKET).cast("int"))
 
 
 def _grouped(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
@@ -59,10 +64,10 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     key = "_wl_key"
     src = df.withColumn(key, (-F.col(order_col) if descending else F.col(order_col)).cast("double"))
     if n_buckets is None:
-        n_buckets = shuffle_partitions(spark)
+        n_buckets = min(shuffle_partitions(spark), MAX_BUCKETS)
     if n_buckets > 1:
         src = src.persist(StorageLevel.MEMORY_AND_DISK)
-    src = src.withColumn(BUCKET, _bucket_column(src, key, n_buckets))
+    src = _with_bucket(src, key, n_buckets)
     gb = parts + [BUCKET]
     totals = src.groupBy(*gb).agg(*[F.sum(c).alias(f"_wl_t_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*parts).orderBy(BUCKET) if parts else Window.orderBy(BUCKET)

@@ -384,9 +384,11 @@ def hierarchy_id_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gini of hierarchy-chapter ids (first-seen order; unmapped stays take the
     next free ids in stay order) within each priority cluster."""
     id_map = codes.first_seen_ids(
-        _paths(spark).select("path_idx", F.col("path")[1]["code"].alias("cluster")), "cluster", "path_idx")
-    ids = codes.ids_with_fallback(_stay_chapters(spark, sf_dir), "cluster", id_map, "hadm_id",
-                                  partition_cols=["priority"])
+        _paths(spark).select("path_idx", F.col("path")[1]["code"].alias("cluster")), "cluster", "path_idx",
+        n_buckets=1)   # the hierarchy is a fixed reference tree
+    from pyspark import StorageLevel
+    st = _stay_chapters(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)   # read by three passes below
+    ids = codes.ids_with_fallback(st, "cluster", id_map, "hadm_id", partition_cols=["priority"])
     return cohort.gini_by_group(ids, "id", "priority")
 
 
@@ -906,7 +908,7 @@ def cluster_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     desc = codes.node_descriptions(_paths(spark), 1).withColumnRenamed("code", "cluster")
     st = _stay_chapters(spark, sf_dir)
     prof = st.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_stays"), F.round(F.avg("label"), 6).alias("pos_rate"))
-    return prof.join(F.broadcast(desc), "cluster", "left").select("cluster", "descr", "n_stays", "pos_rate")
+    return prof.join(codes.bounded_broadcast(desc), "cluster", "left").select("cluster", "descr", "n_stays", "pos_rate")
 
 
 @register("cluster_split_roundtrip", f"""
