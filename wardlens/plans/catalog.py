@@ -744,7 +744,8 @@ def staged_search_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     row sampling, each stage from the best so far; score per stage."""
     from wardlens.operators.models import add_class_weight, make_estimator, staged_search
     from wardlens.operators.features import assemble
-    df = add_class_weight(assemble(_model_frame(spark, sf_dir), FEATURES)).withColumn("fold", F.col("fold") % 3).cache()
+    df = _model_frame(spark, sf_dir).drop("fold")
+    df = add_class_weight(assemble(ntile_folds(df, "hadm_id", 3, ["label"]), FEATURES)).cache()
     stages = [{"maxDepth": [2, 3]}, {"minInstancesPerNode": [1, 20]}, {"subsamplingRate": [0.8, 1.0]}]
     _, prog = staged_search(df, lambda p: make_estimator("gbt", weight_col="weight", maxIter=5, **p), stages, "fold")
     return prog
@@ -819,20 +820,18 @@ def linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("sampled_shapley")
 def sampled_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled Shapley values of a boosted-tree probability for 50 sampled stays,
-    against a 10-centre k-means background of all stays."""
+    """Sampled Shapley values of a boosted-tree probability for every stay (4 sampled
+    feature orders each), against a 10-centre k-means background of all stays."""
     from pyspark.ml import PipelineModel
     from wardlens.operators.attribution import sampled_shapley as shap
     from wardlens.operators.cluster import background_summary
     from wardlens.operators.features import assemble
-    from wardlens.operators.folds import hash_sample
     df = _model_frame(spark, sf_dir).cache()
     model = _fit("gbt", df)
     inner = PipelineModel(stages=model.stages[1:])
     bg = background_summary(assemble(df, FEATURES, out="features"), "features", k=10).collect()
     background = [r["centre"] for r in bg]
-    rows = hash_sample(df, "hadm_id", 50)
-    return shap(_RenamedModel(inner), rows, background, FEATURES, "hadm_id", n_perm=8)
+    return shap(_RenamedModel(inner), df, background, FEATURES, "hadm_id", n_perm=4)
 
 
 class _RenamedModel:
@@ -925,3 +924,15 @@ def cluster_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = spark.read.option("basePath", path).parquet(path)
     back = back.withColumn("cluster", F.coalesce(F.col("cluster").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
     return back.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_stays"), F.sum("label").cast("long").alias("n_pos"))
+
+
+@register("stay_code_lists", f"""
+WITH d AS ({B.SQL_DIAG}), l AS (SELECT hadm_id, list_sort(list(DISTINCT icd9_code)) AS codes FROM d GROUP BY hadm_id)
+SELECT s.hadm_id, coalesce(array_to_string(l.codes, ','), '') AS codes, CAST(coalesce(len(l.codes), 0) AS INTEGER) AS n_codes
+FROM ({B.SQL_STAYS}) s LEFT JOIN l ON l.hadm_id = s.hadm_id""")
+def stay_code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stay with its sorted distinct codes; stays without diagnoses get an
+    empty list (left lookup)."""
+    lists = codes.code_lists(B.diagnoses(spark, sf_dir))
+    out = codes.attach_codes(B.stays(spark, sf_dir).select("hadm_id"), lists)
+    return out.select("hadm_id", F.array_join("codes", ",").alias("codes"), F.size("codes").alias("n_codes"))
