@@ -112,3 +112,19 @@ def test_grid_search_ranks(spark):
     _, res, rows = models.grid_search(df, est, {"regParam": [0.0, 1.0]}, "fold", parallelism=2)
     r = res.orderBy("rank").collect()
     assert len(r) == 2 and r[0]["mean_score"] >= r[1]["mean_score"] and r[0]["rank"] == 1
+
+
+def test_som_best_unit_is_nearest_and_map_fits_clusters(spark):
+    import numpy as np
+    rnd = random.Random(2)
+    rows = [(i, [rnd.gauss(3.0 * (i % 2), 0.2), rnd.gauss(0.0, 0.2)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    w, _ = cluster.som_train(df, "v", "id", 3, 3, rough_epochs=2, finetune_epochs=2)
+    got = cluster.som_best_unit(df, "v", w).collect()
+    for r in got:
+        d = ((w - np.array(r["v"])) ** 2).sum(1)
+        assert r["unit"] == int(np.argmin(d))
+    labels = cluster.som_clusters(df, "v", "id", 3, 3, k=2, rough_epochs=2, finetune_epochs=2).collect()
+    by = {r["id"]: r["cluster"] for r in labels}
+    # the two blobs land in different clusters
+    assert len({by[i] for i in range(0, 200, 2)}) == 1 and by[0] != by[1]

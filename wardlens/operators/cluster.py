@@ -146,3 +146,110 @@ def background_summary(df: DataFrame, vec_col: str, k: int = 10, seed: int = 1)
     n = {r[0]: r[1] for r in sizes}
     rows = [(i, [float(v) for v in c], int(n.get(i, 0))) for i, c in enumerate(model.clusterCenters())]
     return df.sparkSession.createDataFrame(rows, "cluster int, centre array<double>, n long")
+
+
+# ---------------------------------------------------------------- self-organising map
+def _grid_coords(rows: int, cols: int):
+    import numpy as np
+    return np.array([(r, c) for r in range(rows) for c in range(cols)], dtype=float)
+
+
+def som_train(df: DataFrame, vec_col: str, key: str, rows: int = 30, cols: int = 30,
+              rough_epochs: int = 2, finetune_epochs: int = 2, sigma_rough: tuple = (None, None),
+              sigma_fine: tuple = (None, 1.0)):
+    """Batch self-organising map on a rectangular grid with a Gaussian neighbourhood.
+
+    Each epoch is one distributed pass: the best unit of every row is found in
+    ``mapInPandas`` (numpy on Arrow batches) against the broadcast codebook, and
+    per-unit counts and sums come back through a ``groupBy`` on the unit.  Only
+    the codebook (units x width, bounded) lives on the driver, where the
+    neighbourhood-weighted update ``W = (H S) / (H N)`` is applied.  The codebook
+    starts from the first rows in hash order.  Returns (codebook ndarray, grid coords).
+    """
+    import numpy as np
+    spark = df.sparkSession
+    width = len(df.select(vec_col).first()[0])
+    units = rows * cols
+    h = (F.col(key).cast("long") * HASH_MULT) % HASH_MOD
+    init = [r[0] for r in df.orderBy(h, key).select(vec_col).limit(units).collect()]
+    while len(init) < units:
+        init.append(init[len(init) % max(len(init), 1)] if init else [0.0] * width)
+    w = np.array(init, dtype=float)
+    grid = _grid_coords(rows, cols)
+    gd2 = ((grid[:, None, :] - grid[None, :, :]) ** 2).sum(-1)
+    big = max(rows, cols) / 2.0
+    schedule = []
+    s0, s1 = sigma_rough[0] or big, sigma_rough[1] or max(big / 4, 1.0)
+    schedule += list(np.linspace(s0, s1, rough_epochs)) if rough_epochs else []
+    f0, f1 = sigma_fine[0] or s1, sigma_fine[1] or 1.0
+    schedule += list(np.linspace(f0, f1, finetune_epochs)) if finetune_epochs else []
+    out_schema = "unit int, n long, " + ", ".join(f"s{i} double" for i in range(width))
+    for sigma in schedule:
+        bw = spark.sparkContext.broadcast(w)
+
+        def partial_sums(batches, bw=bw):
+            import pandas as pd
+            code = bw.value
+            c2 = (code ** 2).sum(1)
+            acc_n = np.zeros(len(code))
+            acc_s = np.zeros_like(code)
+            for pdf in batches:
+                x = np.stack(pdf[vec_col].to_numpy()).astype(float) if len(pdf) else np.zeros((0, code.shape[1]))
+                if not len(x):
+                    continue
+                best = np.argmin(c2[None, :] - 2 * x @ code.T, axis=1)
+                np.add.at(acc_n, best, 1)
+                np.add.at(acc_s, best, x)
+            hit = np.nonzero(acc_n)[0]
+            if len(hit):
+                d = {"unit": hit.astype("int32"), "n": acc_n[hit].astype("int64")}
+                for i in range(code.shape[1]):
+                    d[f"s{i}"] = acc_s[hit, i]
+                yield pd.DataFrame(d)
+        part = df.select(vec_col).mapInPandas(partial_sums, out_schema)
+        tot = part.groupBy("unit").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
+        n = np.zeros(units)
+        s = np.zeros((units, width))
+        for r in tot.collect():   # at most one row per unit
+            n[r["unit"]] = r["n"]
+            s[r["unit"]] = [r[f"s{i}"] for i in range(width)]
+        hmat = np.exp(-gd2 / (2 * sigma * sigma))
+        num, den = hmat @ s, hmat @ n
+        upd = den > 1e-12
+        w[upd] = num[upd] / den[upd][:, None]
+        bw.unpersist()
+    return w, grid
+
+
+def som_best_unit(df: DataFrame, vec_col: str, codebook, out: str = "unit") -> DataFrame:
+    """Best-matching unit per row (``mapInPandas`` against the broadcast codebook)."""
+    import numpy as np
+    spark = df.sparkSession
+    bw = spark.sparkContext.broadcast(np.asarray(codebook, dtype=float))
+    from pyspark.sql.types import IntegerType, StructType
+    schema = StructType(list(df.schema.fields)).add(out, IntegerType())
+
+    def best(batches):
+        code = bw.value
+        c2 = (code ** 2).sum(1)
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf[vec_col].to_numpy()).astype(float)
+                pdf[out] = np.argmin(c2[None, :] - 2 * x @ code.T, axis=1).astype("int32")
+            else:
+                pdf[out] = np.zeros(0, dtype="int32")
+            yield pdf
+    return df.mapInPandas(best, schema)
+
+
+def som_clusters(df: DataFrame, vec_col: str, key: str, rows: int = 30, cols: int = 30, k: int = 3,
+                 seed: int = 1, **train_args) -> DataFrame:
+    """Train the map, cluster its units with k-means, label each row by the cluster
+    of its best unit: ``(key, unit, cluster)``."""
+    from pyspark.ml.linalg import Vectors
+    spark = df.sparkSession
+    w, _ = som_train(df, vec_col, key, rows, cols, **train_args)
+    units = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(w)], ["unit", "features"])
+    labels = kmeans_fit(units, "features", k, seed).transform(units).select("unit", "cluster")
+    bmu = som_best_unit(df.select(key, vec_col), vec_col, w)
+    return bmu.join(F.broadcast(labels), "unit").select(key, "unit", "cluster")   # units: rows x cols, bounded

@@ -936,3 +936,24 @@ def stay_code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = codes.code_lists(B.diagnoses(spark, sf_dir))
     out = codes.attach_codes(B.stays(spark, sf_dir).select("hadm_id"), lists)
     return out.select("hadm_id", F.array_join("codes", ",").alias("codes"), F.size("codes").alias("n_codes"))
+
+
+@register("som_clusters")
+def som_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Self-organising map (10 x 10, batch, 2 rough + 2 fine epochs) on the
+    variance-normalised category incidence of every stay; units clustered by
+    k-means (k = 3); stay -> unit -> cluster."""
+    from pyspark.ml.functions import vector_to_array
+    from wardlens.operators.cluster import som_clusters as som
+    from wardlens.operators.features import incidence_vectors
+    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    bow, vocab = incidence_vectors(sets, "categories")
+    x = bow.select("hadm_id", vector_to_array("bow").alias("v"))
+    n = len(vocab)
+    stats = x.select(F.posexplode("v").alias("i", "b")).groupBy("i").agg(F.avg("b").alias("m"), F.stddev_pop("b").alias("s")) \
+        .orderBy("i").collect()   # one row per category (bounded by the vocabulary)
+    m = [r["m"] for r in stats]
+    sd = [r["s"] or 1.0 for r in stats]
+    z = x.select("hadm_id", F.transform("v", lambda b, i: (b - F.element_at(F.array(*[F.lit(v) for v in m]), i + 1))
+                                        / F.element_at(F.array(*[F.lit(v) for v in sd]), i + 1)).alias("v"))
+    return som(z.checkpoint(eager=True) if n else z, "v", "hadm_id", 10, 10, k=3, rough_epochs=2, finetune_epochs=2)
