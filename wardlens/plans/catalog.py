@@ -957,3 +957,11 @@ def som_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = x.select("hadm_id", F.transform("v", lambda b, i: (b - F.element_at(F.array(*[F.lit(v) for v in m]), i + 1))
                                         / F.element_at(F.array(*[F.lit(v) for v in sd]), i + 1)).alias("v"))
     return som(z.checkpoint(eager=True) if n else z, "v", "hadm_id", 10, 10, k=3, rough_epochs=2, finetune_epochs=2)
+
+
+@register("cluster_cross_tab", f"""
+WITH {_STAY_CH_CTE}
+SELECT priority, cluster, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY priority, cluster""")
+def cluster_cross_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stays per (priority cluster, hierarchy chapter)."""
+    return codes.cluster_cross_tab(_stay_chapters(spark, sf_dir), "priority", "cluster")
