@@ -415,7 +415,7 @@ SELECT lang, term, CAST(count(*) AS BIGINT) AS n FROM (
 WHERE length(term) > 0 GROUP BY lang, term""")
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term frequency per language over the whole texts (the table behind a word cloud)."""
-    return cohort.term_counts(B.table(spark, sf_dir, "documents"), "lang", "text")
+    return cohort.term_counts(B.balanced(B.table(spark, sf_dir, "documents").select("lang", "text")), "lang", "text")
 
 
 # ------------------------------------------------------------------ features
