@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from wardlens.operators.ordered import gini, upper_median
 
+# Pairwise tables are built for at most this many groups (clusters).
+MAX_PAIR_GROUPS = 2000
+
 
 def group_means(df: DataFrame, group_col: str, cols: Sequence[str], digits: int = 6) -> DataFrame:
     return df.groupBy(group_col).agg(*[F.round(F.avg(c), digits).alias(c) for c in cols])
@@ -105,9 +108,16 @@ def pair_dissimilarity(counts: DataFrame, group_col: str, item: str, value: str
     """Per unordered pair of groups: ``sum |n_i - n_j|`` over the union of items and
     the number of shared items.  Pairs of groups (clusters), not of rows: the
     output has ``C(k, 2)`` rows; the work is a full outer join per pair on item."""
-    groups = counts.select(F.col(group_col).alias("g")).distinct()
-    pairs = groups.alias("a").join(groups.alias("b"), F.col("a.g") < F.col("b.g")) \
-        .select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb"))
+    # the distinct groups are the clusters (bounded, checked); their pairs are
+    # listed from that short list, so the plan has equi-joins only
+    names = [r[0] for r in counts.select(group_col).distinct().limit(MAX_PAIR_GROUPS + 1).collect()]
+    if len(names) > MAX_PAIR_GROUPS:
+        raise ValueError(f"more than {MAX_PAIR_GROUPS} groups: pairwise table too large")
+    names = sorted(n for n in names if n is not None)
+    spark = counts.sparkSession
+    gtype = dict(counts.dtypes)[group_col]
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(names) for b in names[i + 1:]],
+                                  f"ga {gtype}, gb {gtype}")
     a = counts.select(F.col(group_col).alias("ga"), F.col(item).alias("it"), F.col(value).alias("na"))
     b = counts.select(F.col(group_col).alias("gb"), F.col(item).alias("it"), F.col(value).alias("nb"))
     from wardlens.operators.codes import bounded_broadcast

@@ -67,6 +67,14 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         n_buckets = min(shuffle_partitions(spark), MAX_BUCKETS)
     if n_buckets > 1:
         src = src.persist(StorageLevel.MEMORY_AND_DISK)
+    if n_buckets <= 1:
+        # one bucket: no offsets, a plain window per group (only for small inputs)
+        w1 = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(key) \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = src
+        for c in sum_cols:
+            out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w1))
+        return out.drop(key)
     src = _with_bucket(src, key, n_buckets)
     gb = parts + [BUCKET]
     totals = src.groupBy(*gb).agg(*[F.sum(c).alias(f"_wl_t_{c}") for c in sum_cols])
