@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,5 +70,4 @@ def tmp_output_dir(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     if base.startswith("file:"):
         base = base[5:]
-    path = os.path.join(base, f"{name}-{os.getpid()}-{next(tempfile._get_candidate_names())}")
-    return path
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
