@@ -57,11 +57,12 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], key: s
     by_hash = row_numbers(base.withColumn("_h", _hash(key, seed)), "_h", name="_rn") \
         .select("_rn", *[F.col(f).alias(f"_p_{f}") for f in features])
     paired = by_key.join(by_hash, "_rn", "inner")
-    variants = None
-    for f in [None, *features]:
-        cols = [F.col(f"_p_{c}").alias(c) if c == f else F.col(c) for c in features]
-        v = paired.select(key, label_col, F.lit(f or "_none_").alias("feature"), *cols)
-        variants = v if variants is None else variants.unionByName(v)
+    # every variant (none, or one feature taken from the partner row) as one explode
+    structs = [F.struct(F.lit(f or "_none_").alias("feature"),
+                        *[(F.col(f"_p_{c}") if c == f else F.col(c)).alias(c) for c in features])
+               for f in [None, *features]]
+    variants = paired.select(key, label_col, F.explode(F.array(*structs)).alias("_v")) \
+        .select(key, label_col, "_v.*")
     from pyspark.ml.feature import VectorAssembler
     x = VectorAssembler(inputCols=list(features), outputCol=features_col, handleInvalid="keep").transform(variants)
     scored = model.transform(x).withColumn("score", vector_to_array("probability")[1])

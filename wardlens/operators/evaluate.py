@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlens.functions.columns import linspace
@@ -27,13 +27,11 @@ def score_counts(pred: DataFrame, score_col: str = "score", label_col: str = "la
 
 
 def _curve_base(pred, score_col, label_col, group_cols):
-    pred, g, extra = _grouped(pred, group_cols)
+    g = list(group_cols)
     sc = score_counts(pred, score_col, label_col, g)
-    cum = running_totals(sc, score_col, ["n_pos", "n_neg"], g, descending=True)
-    # one row per group: bounded by the number of groups
-    tot = sc.groupBy(*g).agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
-    j = cum.join(tot, g, "inner")
-    return j.withColumnRenamed("cum_n_pos", "tp").withColumnRenamed("cum_n_neg", "fp")
+    cum = running_totals(sc, score_col, ["n_pos", "n_neg"], g, descending=True, with_totals=True)
+    return cum.withColumnRenamed("cum_n_pos", "tp").withColumnRenamed("cum_n_neg", "fp") \
+        .withColumnRenamed("tot_n_pos", "P").withColumnRenamed("tot_n_neg", "N")
 
 
 def roc_curve(pred: DataFrame, score_col: str = "score", label_col: str = "label",
@@ -110,6 +108,24 @@ def pr_area_trapezoid(pred: DataFrame, score_col: str = "score", label_col: str
     return b.groupBy(*g).agg(F.round(F.sum((r - r0) * (p + p0) / 2), digits).alias("pr_auc")).drop(*extra)
 
 
+def curve_areas(pred: DataFrame, score_col: str = "score", label_col: str = "label",
+                group_cols: Sequence[str] = (), digits: int = 9) -> DataFrame:
+    """ROC area (trapezoid = rank formula), average precision and PR trapezoid area
+    from one pass over the distinct-score curve."""
+    pred, g, extra = _grouped(pred, group_cols)
+    b = _curve_base(pred, score_col, label_col, g)
+    fpr, tpr = F.try_divide(F.col("fp"), F.col("N")), F.try_divide(F.col("tp"), F.col("P"))
+    fpr0 = F.try_divide(F.col("fp") - F.col("n_neg"), F.col("N"))
+    tpr0 = F.try_divide(F.col("tp") - F.col("n_pos"), F.col("P"))
+    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
+    tp0, fp0 = F.col("tp") - F.col("n_pos"), F.col("fp") - F.col("n_neg")
+    prec0 = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0))
+    return b.groupBy(*g).agg(
+        F.round(F.sum((fpr - fpr0) * (tpr + tpr0) / 2), digits).alias("auc"),
+        F.round(F.sum(F.try_divide(F.col("n_pos"), F.col("P")) * prec), digits).alias("average_precision"),
+        F.round(F.sum((tpr - tpr0) * (prec + prec0) / 2), digits).alias("pr_auc")).drop(*extra)
+
+
 def confusion_counts(pred: DataFrame, label_col: str = "label", pred_col: str = "pred",
                      group_cols: Sequence[str] = ()) -> DataFrame:
     """tn, fp, fn, tp per group as conditional sums (zeros included)."""
@@ -232,10 +248,11 @@ def mean_roc(spark: SparkSession, pred: DataFrame, fold_col: str = "fold", score
     mean = per_fold.groupBy(*g, "i", "x").agg(F.avg("tpr").alias("tpr"))
     mean = mean.withColumn("tpr", F.when(F.col("i") == 0, F.lit(0.0)).when(F.col("i") == n_grid - 1, F.lit(1.0))
                            .otherwise(F.col("tpr")))
-    # the grid has n_grid rows per group: previous point by index join, no window
+    # the grid has n_grid rows per group: previous point by index join, the area by
+    # a window over those n_grid rows
     prev = mean.select(*g, (F.col("i") + 1).alias("i"), F.col("x").alias("x0"), F.col("tpr").alias("t0"))
-    area = mean.join(prev, g + ["i"], "inner").groupBy(*g).agg(
-        F.sum((F.col("x") - F.col("x0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"))
-    out = mean.join(area, g, "inner")
+    seg = mean.join(prev, g + ["i"], "left").withColumn(
+        "_s", F.coalesce((F.col("x") - F.col("x0")) * (F.col("tpr") + F.col("t0")) / 2, F.lit(0.0)))
+    out = seg.withColumn("auc", F.sum("_s").over(Window.partitionBy(*g)))
     return out.select(*g, "i", F.round("x", digits).alias("x"), F.round("tpr", digits).alias("tpr"),
                       F.round("auc", digits).alias("auc")).drop(*extra)

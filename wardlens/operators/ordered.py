@@ -53,11 +53,15 @@ def _grouped(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), descending: bool = False,
-                   n_buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
-    """Add ``cum_<c>`` = inclusive running sum of each ``c`` over ``order_col``.
+                   n_buckets: int | None = None, prefix: str = "cum_",
+                   with_totals: bool = False) -> DataFrame:
+    """Add ``cum_<c>`` = inclusive running sum of each ``c`` over ``order_col``
+    (and ``tot_<c>``, the group total, with ``with_totals``).
 
     ``(partition_cols, order_col)`` must be unique.  ``descending`` sums from the
-    largest key down.  Buckets default to the shuffle partition count.
+    largest key down.  Buckets default to the shuffle partition count.  Group
+    totals ride on the offsets join (keyed by group and bucket), so callers never
+    join a per-group total back on a key that may be constant.
     """
     spark = df.sparkSession
     parts = list(partition_cols)
@@ -74,6 +78,9 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         out = src
         for c in sum_cols:
             out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w1))
+            if with_totals:
+                wg = Window.partitionBy(*parts) if parts else Window.partitionBy()
+                out = out.withColumn(f"tot_{c}", F.sum(c).over(wg))
         return out.drop(key)
     src = _with_bucket(src, key, n_buckets)
     gb = parts + [BUCKET]
@@ -81,8 +88,11 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     w_off = Window.partitionBy(*parts).orderBy(BUCKET) if parts else Window.orderBy(BUCKET)
     w_off = w_off.rowsBetween(Window.unboundedPreceding, -1)
     # at most n_buckets rows per group here
+    w_grp = Window.partitionBy(*parts) if parts else Window.partitionBy()
     offsets = totals.select(*gb, *[F.coalesce(F.sum(f"_wl_t_{c}").over(w_off), F.lit(0)).alias(f"_wl_o_{c}")
-                                   for c in sum_cols])
+                                   for c in sum_cols],
+                            *([F.sum(f"_wl_t_{c}").over(w_grp).alias(f"tot_{c}") for c in sum_cols]
+                              if with_totals else []))
     w = Window.partitionBy(*gb).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = src.join(offsets, on=gb, how="inner")
     for c in sum_cols:
@@ -92,11 +102,14 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
 
 def row_numbers(df: DataFrame, order_col: str, partition_cols: Sequence[str] = (),
                 name: str = "row_number", descending: bool = False,
-                n_buckets: int | None = None) -> DataFrame:
-    """1-based row number over a unique numeric order, spread over buckets."""
+                n_buckets: int | None = None, size_col: str | None = None) -> DataFrame:
+    """1-based row number over a unique numeric order, spread over buckets
+    (with ``size_col``, also the group size)."""
     out = running_totals(df.withColumn("_wl_one", F.lit(1).cast("long")), order_col, ["_wl_one"],
-                         partition_cols, descending=descending, n_buckets=n_buckets)
-    return out.withColumnRenamed("cum__wl_one", name).drop("_wl_one")
+                         partition_cols, descending=descending, n_buckets=n_buckets,
+                         with_totals=size_col is not None)
+    out = out.withColumnRenamed("cum__wl_one", name).drop("_wl_one")
+    return out.withColumnRenamed("tot__wl_one", size_col) if size_col else out
 
 
 def ntile_folds(df: DataFrame, order_col: str, k: int, partition_cols: Sequence[str] = (),
@@ -105,16 +118,14 @@ def ntile_folds(df: DataFrame, order_col: str, k: int, partition_cols: Sequence[
 
     Blocks are cut in order; the first ``n mod k`` blocks are one row larger.
     """
-    df, parts, extra = _grouped(df, partition_cols)
-    ranked = row_numbers(df, order_col, parts, name="_wl_rn", n_buckets=n_buckets)
-    sizes = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_wl_n"))
-    ranked = ranked.join(sizes, on=parts, how="inner")
+    parts = list(partition_cols)
+    ranked = row_numbers(df, order_col, parts, name="_wl_rn", n_buckets=n_buckets, size_col="_wl_n")
     r = F.col("_wl_rn") - 1
     q = F.floor(F.col("_wl_n") / k)
     rem = F.col("_wl_n") % k
     big = (q + 1) * rem
     fold = F.when(r < big, F.floor(r / (q + 1))).otherwise(rem + F.floor((r - big) / F.greatest(q, F.lit(1))))
-    return ranked.withColumn(name, fold.cast("int")).drop("_wl_rn", "_wl_n", *extra)
+    return ranked.withColumn(name, fold.cast("int")).drop("_wl_rn", "_wl_n")
 
 
 def upper_median(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
@@ -124,15 +135,12 @@ def upper_median(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
     Distinct values are counted first (partial aggregation), then the running
     count finds the first value whose cumulative count reaches ``n // 2 + 1``.
     """
-    df, parts, extra = _grouped(df, group_cols)
-    counts = df.groupBy(*parts, value_col).agg(F.count(F.lit(1)).alias("_wl_c"))
-    counts = counts.where(F.col(value_col).isNotNull())
-    cum = running_totals(counts, value_col, ["_wl_c"], parts, n_buckets=n_buckets)
-    n = counts.groupBy(*parts).agg(F.sum("_wl_c").alias("_wl_n"))
-    j = cum.join(n, on=parts, how="inner")
-    hit = j.where((F.col("cum__wl_c") >= F.floor(F.col("_wl_n") / 2) + 1)
-                  & (F.col("cum__wl_c") - F.col("_wl_c") < F.floor(F.col("_wl_n") / 2) + 1))
-    return hit.select(*parts, F.col(value_col).alias(name)).drop(*extra)
+    parts = list(group_cols)
+    counts = df.where(F.col(value_col).isNotNull()).groupBy(*parts, value_col).agg(F.count(F.lit(1)).alias("_wl_c"))
+    cum = running_totals(counts, value_col, ["_wl_c"], parts, n_buckets=n_buckets, with_totals=True)
+    t = F.floor(F.col("tot__wl_c") / 2) + 1
+    hit = cum.where((F.col("cum__wl_c") >= t) & (F.col("cum__wl_c") - F.col("_wl_c") < t))
+    return hit.select(*parts, F.col(value_col).alias(name))
 
 
 def gini(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), name: str = "gini",
@@ -145,17 +153,18 @@ def gini(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), name: st
     ranks of a run of ``c`` equal values starting after ``C`` rows sum to
     ``c*C + c(c+1)/2``.
     """
-    df, parts, extra = _grouped(df, group_cols)
-    stats = df.groupBy(*parts).agg(F.min(value_col).alias("_wl_min"), F.count(value_col).alias("_wl_n"))
-    shift = F.when(F.lit(shift_negative) & (F.col("_wl_min") < 0), -F.col("_wl_min")).otherwise(F.lit(0.0))
+    parts = list(group_cols)
     counts = df.where(F.col(value_col).isNotNull()).groupBy(*parts, value_col).agg(F.count(F.lit(1)).alias("_wl_c"))
     cum = running_totals(counts, value_col, ["_wl_c"], parts, n_buckets=n_buckets)
-    j = cum.join(stats, on=parts, how="inner")
-    x = F.col(value_col).cast("double") + shift + F.lit(epsilon)
+    # sum_i (2i - n - 1)(x_i + s + eps) = 2A - (n + 1) B with A = sum(rank_sum * x), B = sum(c * x):
+    # the shift s and eps cancel in the numerator; they only enter the denominator.
+    x = F.col(value_col).cast("double")
     c = F.col("_wl_c").cast("double")
     before = (F.col("cum__wl_c") - F.col("_wl_c")).cast("double")
     rank_sum = c * before + c * (c + 1) / 2
-    n = F.col("_wl_n").cast("double")
-    terms = j.select(*parts, n.alias("_n"), ((2 * rank_sum - c * (n + 1)) * x).alias("_num"), (c * x).alias("_sx"))
-    agg = terms.groupBy(*parts).agg(F.sum("_num").alias("_num"), F.sum("_sx").alias("_sx"), F.max("_n").alias("_n"))
-    return agg.select(*parts, (F.col("_num") / (F.col("_n") * F.col("_sx"))).alias(name)).drop(*extra)
+    agg = cum.groupBy(*parts).agg(F.sum(rank_sum * x).alias("_a"), F.sum(c * x).alias("_b"),
+                                  F.sum(c).alias("_n"), F.min(x).alias("_min"))
+    shift = F.when(F.lit(shift_negative) & (F.col("_min") < 0), -F.col("_min")).otherwise(F.lit(0.0))
+    num = 2 * F.col("_a") - (F.col("_n") + 1) * F.col("_b")
+    den = F.col("_n") * (F.col("_b") + F.col("_n") * (shift + F.lit(epsilon)))
+    return agg.select(*parts, (num / den).alias(name))

@@ -720,11 +720,7 @@ def oof_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardlens.operators.models import out_of_fold
     df = _model_frame(spark, sf_dir)
     pooled = out_of_fold(df, "fold", lambda tr: _fit("logistic", tr), "logistic", k=5).cache()
-    auc = evaluate.roc_auc(pooled)
-    ap = evaluate.average_precision(pooled)
-    pra = evaluate.pr_area_trapezoid(pooled)
-    return auc.withColumn("_k", F.lit(1)).join(ap.withColumn("_k", F.lit(1)), "_k") \
-        .join(pra.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return evaluate.curve_areas(pooled)
 
 
 @register("grid_search_results")
@@ -759,15 +755,17 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardlens.operators.models import KINDS, score_column
     df = _model_frame(spark, sf_dir).cache()
     train, test = df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
-    out = None
+    preds = None
     for kind in KINDS:
-        pred = score_column(_fit(kind, train).transform(test), kind)
-        auc = evaluate.roc_auc(pred).withColumn("model", F.lit(kind))
         cut = 0.0 if kind == "linear_svc" else 0.5
-        rep = evaluate.class_report(pred.withColumn("pred", threshold("score", cut))).where(F.col("class") == 1)
-        row = auc.withColumn("_k", F.lit(1)).join(rep.select(F.col("f1").alias("f1_pos")).withColumn("_k", F.lit(1)), "_k").drop("_k")
-        out = row if out is None else out.unionByName(row)
-    return out.select("model", "auc", "f1_pos")
+        p = score_column(_fit(kind, train).transform(test), kind).select(
+            F.lit(kind).alias("model"), "label", "score", threshold("score", cut).alias("pred"))
+        preds = p if preds is None else preds.unionByName(p)
+    # one frame keyed by model: areas and the positive-class f1 grouped by it
+    auc = evaluate.roc_auc(preds, group_cols=["model"])
+    f1 = evaluate.class_report(preds, group_cols=["model"]).where(F.col("class") == 1) \
+        .select("model", F.col("f1").alias("f1_pos"))
+    return auc.join(f1, "model").select("model", "auc", "f1_pos")
 
 
 @register("feature_importance")
