@@ -77,7 +77,9 @@ def read_keyed_files(spark: SparkSession, glob: str, key_pattern: str = r"_([^_/
                      key_col: str = "cluster", fmt: str = "csv", exclude: Sequence[str] = ()) -> DataFrame:
     """One read of many files; the key embedded in each file name becomes a column.
     Files whose name is listed in ``exclude`` (e.g. summary files) are left out."""
-    df = spark.read.format(fmt).option("header", True).load(glob).withColumn("_file", F.col("_metadata.file_name"))
+    # file names arrive URL-encoded (a blank is %20): decode before matching
+    df = spark.read.format(fmt).option("header", True).load(glob) \
+        .withColumn("_file", F.url_decode(F.col("_metadata.file_name")))
     if exclude:
         df = df.where(~F.col("_file").isin(list(exclude)))
     return df.withColumn(key_col, file_key("_file", key_pattern)).drop("_file")
