@@ -128,3 +128,19 @@ def test_som_best_unit_is_nearest_and_map_fits_clusters(spark):
     by = {r["id"]: r["cluster"] for r in labels}
     # the two blobs land in different clusters
     assert len({by[i] for i in range(0, 200, 2)}) == 1 and by[0] != by[1]
+
+
+def test_hot_group_is_split_across_buckets(spark):
+    """A group holding a third of all rows is cut into range buckets: running
+    sums stay exact and no single window partition holds the whole group."""
+    from wardlens.operators.ordered import BUCKET, _with_bucket, running_totals
+    n = 30000
+    df = spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 0)
+                               .otherwise(F.col("id") % 97 + 1).alias("g"), F.lit(1).alias("v"))
+    out = running_totals(df, "k", ["v"], ["g"], n_buckets=16, with_totals=True)
+    hot = out.where(F.col("g") == 0)
+    assert hot.where(F.col("cum_v") != F.floor(F.col("k") / 3) + 1).count() == 0
+    assert hot.select(F.max("tot_v")).first()[0] == n // 3
+    sizes = _with_bucket(df.withColumn("kd", F.col("k").cast("double")), "kd", 16) \
+        .groupBy("g", BUCKET).count().where(F.col("g") == 0).select(F.max("count")).first()[0]
+    assert sizes <= (n // 3) / 8        # the hot group is spread over many window partitions
