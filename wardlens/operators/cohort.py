@@ -138,14 +138,20 @@ def term_counts(df: DataFrame, group_col: str, text_col: str, lower: bool = True
 
 
 def metric_summary(report: DataFrame, group_cols: Sequence[str], metrics: Sequence[str],
-                   digits: int = 6) -> DataFrame:
+                   digits: int = 6, support_col: str | None = "support") -> DataFrame:
     """Mean and upper median of each metric per group (e.g. per class over clusters),
-    long form ``(group..., metric, mean, median)``; plus a support-weighted mean
-    when a ``support`` column exists."""
-    stack = "stack({n}, {pairs}) AS (metric, value)".format(
-        n=len(metrics), pairs=", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics))
+    long form ``(group..., metric, mean, median)``; with a support column also the
+    support-weighted mean, so a one-row cluster does not weigh like a large one."""
+    weighted = support_col is not None and support_col in report.columns
+    stack = "stack({n}, {pairs}) AS (metric, value{w})".format(
+        n=len(metrics), w=", _w" if weighted else "",
+        pairs=", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" + (f", CAST(`{support_col}` AS DOUBLE)" if weighted else "")
+                        for m in metrics))
     long = report.selectExpr(*group_cols, stack)
-    means = long.groupBy(*group_cols, "metric").agg(F.round(F.avg("value"), digits).alias("mean"))
+    aggs = [F.round(F.avg("value"), digits).alias("mean")]
+    if weighted:
+        aggs.append(F.round(F.try_divide(F.sum(F.col("value") * F.col("_w")), F.sum("_w")), digits).alias("weighted_mean"))
+    means = long.groupBy(*group_cols, "metric").agg(*aggs)
     med = upper_median(long, "value", list(group_cols) + ["metric"], name="median")
     return means.join(med, list(group_cols) + ["metric"], "left")
 

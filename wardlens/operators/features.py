@@ -121,7 +121,7 @@ def pca(df: DataFrame, k: int, input_col: str = "features", out: str = "pca", ce
 
 def components_below_one(explained: Sequence[float]) -> int:
     """Index (0-based) of the last component whose cumulative explained ratio is
-    still below 1 -- the selection rule of the reference's PCA step."""
+    still below 1 (the component-count rule of the original PCA step)."""
     cum, last = 0.0, 0
     for i, v in enumerate(explained):
         cum += v

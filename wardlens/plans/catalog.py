@@ -345,12 +345,13 @@ def doc_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("report_summary", f"""
 WITH rep AS ({REPORT_SQL}),
-l AS (SELECT class, 'precision' AS metric, precision AS value FROM rep UNION ALL
-      SELECT class, 'recall', recall FROM rep UNION ALL SELECT class, 'f1', f1 FROM rep UNION ALL
-      SELECT class, 'support', CAST(support AS DOUBLE) FROM rep),
+l AS (SELECT class, 'precision' AS metric, precision AS value, CAST(support AS DOUBLE) AS w FROM rep UNION ALL
+      SELECT class, 'recall', recall, support FROM rep UNION ALL SELECT class, 'f1', f1, support FROM rep UNION ALL
+      SELECT class, 'support', CAST(support AS DOUBLE), support FROM rep),
 o AS (SELECT *, row_number() OVER (PARTITION BY class, metric ORDER BY value) AS rn,
       count(*) OVER (PARTITION BY class, metric) AS n FROM l)
-SELECT class, metric, round(avg(value), 6) AS mean, max(CASE WHEN rn = n // 2 + 1 THEN value END) AS median
+SELECT class, metric, round(avg(value), 6) AS mean, round(sum(value * w) / NULLIF(sum(w), 0), 6) AS weighted_mean,
+       max(CASE WHEN rn = n // 2 + 1 THEN value END) AS median
 FROM o GROUP BY class, metric""")
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and upper median of each metric over the language clusters, per class."""
@@ -963,3 +964,22 @@ SELECT priority, cluster, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY priority
 def cluster_cross_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stays per (priority cluster, hierarchy chapter)."""
     return codes.cluster_cross_tab(_stay_chapters(spark, sf_dir), "priority", "cluster")
+
+
+@register("chapter_model_reports")
+def chapter_model_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per hierarchy chapter with enough stays of both classes: class-weighted
+    logistic fit on the 80 % part, class report on the 20 % part; then mean,
+    support-weighted mean and upper median per class and metric over the chapters."""
+    from wardlens.functions.columns import threshold
+    from wardlens.operators.models import fit_per_cluster, score_column
+    ch = _stay_chapters(spark, sf_dir).select("hadm_id", "cluster")
+    df = _model_frame(spark, sf_dir).join(ch, "hadm_id", "inner").where(F.col("cluster").isNotNull())
+
+    def fit_eval(part):
+        test = part.where(F.col("split") == "test")
+        model = _fit("logistic", part.where(F.col("split") == "train"))
+        pred = score_column(model.transform(test), "logistic")
+        return evaluate.class_report(pred.withColumn("pred", threshold("score", 0.5)))
+    rep = fit_per_cluster(df, "cluster", fit_eval, min_rows=200).cache()
+    return cohort.metric_summary(rep, ["class"], ["precision", "recall", "f1", "support"])
