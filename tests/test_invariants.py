@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from wardlens.operators import attribution, cluster, evaluate, models

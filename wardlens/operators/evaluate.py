@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardlens.functions.columns import linspace
+
 from wardlens.operators.ordered import _grouped, running_totals
 
 

@@ -7,7 +7,6 @@ row order, so a rerun after executor loss gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
