@@ -169,7 +169,7 @@ def report_averages(pred: DataFrame, label_col: str = "label", pred_col: str = "
                     group_cols: Sequence[str] = (), digits: int = 9) -> DataFrame:
     """Micro, macro and support-weighted averages of precision / recall / f1."""
     pred, g, extra = _grouped(pred, group_cols)
-    rep = class_report(pred, label_col, pred_col, g, digits=15)
+    rep = class_report(pred, label_col, pred_col, g, digits=digits)   # averages of the reported values
     tot = F.sum("support")
     macro = rep.groupBy(*g).agg(F.lit("macro").alias("average"), F.avg("precision").alias("precision"),
                                 F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), tot.alias("support"))
