@@ -115,10 +115,25 @@ def code3_lookup(spark: SparkSession, intervals: DataFrame, bin_width: int = 100
     return first_interval_lookup(domain, "code3", intervals, bin_width).withColumnRenamed("name", "cluster")
 
 
+_LOOKUP_MEMO: dict = {}
+
+
+def code3_lookup_local(spark: SparkSession, intervals: DataFrame) -> DataFrame:
+    """The prefix lookup as a local relation: at most 1000 rows by construction, so
+    it is collected once per session and intervals plan (memoised on the plan's
+    semantic hash) and then broadcast without further jobs."""
+    key = (spark.sparkContext.applicationId, intervals.semanticHash())
+    rows = _LOOKUP_MEMO.get(key)
+    if rows is None:
+        rows = [(int(r["code3"]), r["cluster"]) for r in code3_lookup(spark, intervals).collect()]
+        _LOOKUP_MEMO[key] = rows
+    return spark.createDataFrame(rows, "code3 int, cluster string")
+
+
 def assign_code_cluster(spark: SparkSession, df: DataFrame, code_col: str, intervals: DataFrame,
                         out: str = "cluster") -> DataFrame:
     """Left-join each row's 3-digit prefix to its interval name (null: E/V, bad code, gap)."""
-    lookup = code3_lookup(spark, intervals)   # bounded by the 3-digit domain
+    lookup = code3_lookup_local(spark, intervals)   # bounded by the 3-digit domain
     return df.withColumn("code3", code_prefix3(code_col)) \
         .join(F.broadcast(lookup), "code3", "left").drop("code3").withColumnRenamed("cluster", out)
 
