@@ -613,7 +613,9 @@ _MODES_CTE = (f"{DICT_CTE}, {SETS_CTE}, "
 
 def _kmodes_step(spark, sf_dir):
     from wardlens.operators.cluster import initial_modes, kmodes_assign
-    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    from pyspark import StorageLevel
+    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)   # read by the seed pass and the assignment
     modes = initial_modes(sets, "categories", "hadm_id", 3)
     return kmodes_assign(sets, "categories", modes)
 
