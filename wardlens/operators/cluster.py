@@ -84,31 +84,89 @@ def initial_modes(df: DataFrame, set_col: str, key: str, k: int, run: int = 0) -
     return [list(r[0]) for r in firsts.orderBy("_h").limit(k).collect()]
 
 
+def _run_hash(key: str, run: Column) -> Column:
+    return (F.col(key).cast("long") * HASH_MULT + run * 7919) % HASH_MOD
+
+
+def initial_modes_all_runs(base: DataFrame, set_col: str, key: str, k: int, n_init: int,
+                           oversample: int = 50) -> dict[int, list[list[str]]]:
+    """Seed modes of every run at once: per run the ``k`` distinct sets that come
+    first in that run's hash order (as ``initial_modes``).
+
+    Hash values are close to uniform, so the first ``k`` of ``n`` sets lie below
+    ``MOD * oversample * k / n`` with overwhelming probability; only sets under
+    that cut are ranked (a few hundred per run).  A run with fewer than ``k``
+    survivors falls back to its own exact pass.
+    """
+    runs = F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))).alias("run")
+    per = base.select(key, set_col, runs).groupBy("run", set_col).agg(F.min(_run_hash(key, F.col("run"))).alias("_h"))
+    n = base.select(set_col).distinct().count()
+    cut = min(HASH_MOD, int(HASH_MOD * oversample * k / max(n, 1)) + 1)
+    from pyspark.sql import Window
+    w = Window.partitionBy("run").orderBy("_h", set_col)
+    top = per.where(F.col("_h") < cut).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k) \
+        .select("run", "_r", set_col).collect()   # at most n_init * k rows
+    seeds: dict[int, list] = {r: [] for r in range(n_init)}
+    for row in sorted(top, key=lambda r: (r["run"], r["_r"])):
+        seeds[row["run"]].append(list(row[set_col]))
+    for r in range(n_init):
+        if len(seeds[r]) < min(k, n):
+            seeds[r] = initial_modes(base, set_col, key, k, r)
+        seeds[r] += [[] for _ in range(k - len(seeds[r]))]
+    return seeds
+
+
+def _modes_literal(modes_by_run: dict[int, list[list[str]]]) -> Column:
+    """map<run, array<array<string>>> literal (bounded: runs x k x items)."""
+    parts = []
+    for r, modes in modes_by_run.items():
+        parts += [F.lit(r), F.array(*[F.array(*[F.lit(v) for v in m]).cast("array<string>") for m in modes])]
+    return F.create_map(*parts)
+
+
 def kmodes(df: DataFrame, set_col: str, key: str, k: int = 3, n_init: int = 10, max_iter: int = 20):
-    """K-modes with set dissimilarity: ``n_init`` hash-seeded restarts, each
-    alternating assign / update until the modes stop changing; the run with the
-    lowest total mismatch wins.  Returns (assigned frame, modes, cost, history)
-    where history lists (run, iteration, cost)."""
+    """K-modes with set dissimilarity and ``n_init`` hash-seeded restarts, all
+    restarts advanced together: each iteration is one pass over the rows exploded
+    by active run (assignment against that run's modes, carried as a bounded
+    literal map), one aggregate of per-run costs and one of per-(run, cluster,
+    item) counts for the new modes.  A run stops when its modes stop changing;
+    the run with the lowest total mismatch wins.  Returns (assigned frame, modes,
+    cost, history) where history lists (run, iteration, cost)."""
     ensure_checkpoint_dir(df.sparkSession)
     base = df.select(key, set_col).checkpoint(eager=True)   # reliable checkpoint, shared folder
-    best = None
-    history = []
-    for run in range(n_init):
-        modes = initial_modes(base, set_col, key, k, run)
-        if len(modes) < k:
-            modes += [[] for _ in range(k - len(modes))]
-        for it in range(max_iter):
-            assigned = kmodes_assign(base, set_col, modes)
-            total = assigned.agg(F.sum("cost")).first()[0] or 0
-            history.append((run, it, int(total)))
-            new = _modes_from_long(kmodes_update(assigned, set_col), k)
-            if new == modes:
-                break
-            modes = new
-        if best is None or total < best[2]:
-            best = (run, modes, int(total))
-    run, modes, cost = best
-    return kmodes_assign(base, set_col, modes), modes, cost, history
+    modes = initial_modes_all_runs(base, set_col, key, k, n_init)
+    active = sorted(modes)
+    history, final, used = [], {}, {}
+    for it in range(max_iter):
+        if not active:
+            break
+        lit_modes = _modes_literal({r: modes[r] for r in active})
+        x = base.select(key, set_col, F.explode(F.array(*[F.lit(r) for r in active])).alias("run"))
+        m = F.element_at(lit_modes, F.col("run"))
+        costs = F.transform(m, lambda mm: F.size(F.col(set_col)) + F.size(mm) - 2 * F.size(F.array_intersect(F.col(set_col), mm)))
+        assigned = x.withColumn("_c", costs).withColumn("cluster", (F.array_position("_c", F.array_min("_c")) - 1).cast("int")) \
+            .withColumn("cost", F.array_min("_c")).drop("_c")
+        totals = {r["run"]: int(r["c"] or 0) for r in assigned.groupBy("run").agg(F.sum("cost").alias("c")).collect()}
+        sizes = assigned.groupBy("run", "cluster").agg(F.count(F.lit(1)).alias("size"))
+        items = assigned.select("run", "cluster", F.explode(F.array_distinct(set_col)).alias("item")) \
+            .groupBy("run", "cluster", "item").agg(F.count(F.lit(1)).alias("n"))
+        keep = items.join(sizes, ["run", "cluster"]).where(2 * F.col("n") > F.col("size")) \
+            .groupBy("run", "cluster").agg(F.sort_array(F.collect_list("item")).alias("m")).collect()  # runs x k rows
+        new = {r: [[] for _ in range(k)] for r in active}
+        for row in keep:
+            new[row["run"]][row["cluster"]] = list(row["m"])
+        still = []
+        for r in active:
+            history.append((r, it, totals.get(r, 0)))
+            final[r] = totals.get(r, 0)
+            used[r] = modes[r]
+            if new[r] != modes[r]:
+                modes[r] = new[r]
+                still.append(r)
+        active = still
+    best = min(final, key=lambda r: (final[r], r))
+    # the modes the winning run's recorded cost was measured with
+    return kmodes_assign(base, set_col, used[best]), used[best], final[best], history
 
 
 # ---------------------------------------------------------------- k-means

@@ -640,10 +640,11 @@ def kmodes_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("kmodes_clusters")
 def kmodes_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full k-modes (k = 3, 3 restarts) on the stays' category sets: stay, cluster, cost."""
+    """Full k-modes (k = 3, 10 restarts advanced together; n_init=100 runs the same
+    way, one pass per iteration) on the stays' category sets: stay, cluster, cost."""
     from wardlens.operators.cluster import kmodes
     sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
-    assigned, _, _, _ = kmodes(sets, "categories", "hadm_id", k=3, n_init=3, max_iter=10)
+    assigned, _, _, _ = kmodes(sets, "categories", "hadm_id", k=3, n_init=10, max_iter=10)
     return assigned.select("hadm_id", "cluster", "cost")
 
 
