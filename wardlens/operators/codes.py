@@ -30,9 +30,19 @@ PATHS = T.ArrayType(T.ArrayType(NODE))
 MAX_BROADCAST_ROWS = 2_000_000
 
 
+_COUNT_MEMO: dict = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is within ``max_rows``."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """Broadcast ``df`` only when its row count is within ``max_rows``; otherwise
+    leave the join to a shuffle.  The count of a given plan is remembered for the
+    session (keyed by the plan's semantic hash), so a reference table checked once
+    is not counted again by the next query."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    n = _COUNT_MEMO.get(key)
+    if n is None:
+        n = _COUNT_MEMO[key] = df.count()
+    return F.broadcast(df) if n <= max_rows else df
 
 
 # ---------------------------------------------------------------- hierarchy
