@@ -188,3 +188,17 @@ def pivot_report(report: DataFrame, class_col: str = "class", metrics: Sequence[
     long = report.selectExpr(*group_cols, class_col, stack)
     return long.groupBy(*group_cols, "metric").pivot(class_col, list(classes)).agg(F.first("value")) \
         .select(*group_cols, "metric", *[F.col(str(c)).alias(f"class_{c}") for c in classes])
+
+
+def count_concentration(df: DataFrame, group_col: str, item_col: str, digits: int = 6) -> DataFrame:
+    """Order-free concentration of the items within each group: Gini of the item
+    counts and Shannon entropy (natural log) of the item shares.
+
+    Entropy is one aggregate over the (group, item) counts:
+    ``H = ln N - sum(n ln n) / N`` with ``N = sum(n)``."""
+    counts = df.groupBy(group_col, item_col).agg(F.count(F.lit(1)).alias("n"))
+    g = gini(counts, "n", [group_col]).withColumn("gini", F.round("gini", digits))
+    ent = counts.groupBy(group_col).agg(
+        F.round(F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n"), digits).alias("entropy"),
+        F.count(F.lit(1)).alias("n_items"))
+    return g.join(ent, group_col, "inner")

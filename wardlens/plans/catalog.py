@@ -986,3 +986,18 @@ def chapter_model_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         return evaluate.class_report(pred.withColumn("pred", threshold("score", 0.5)))
     rep = fit_per_cluster(df, "cluster", fit_eval, min_rows=200).cache()
     return cohort.metric_summary(rep, ["class"], ["precision", "recall", "f1", "support"])
+
+
+@register("chapter_concentration", f"""
+WITH {_STAY_CH_CTE},
+c AS (SELECT priority, cluster, count(*) AS n FROM j GROUP BY priority, cluster),
+g AS (SELECT priority, n + 1e-7 AS x, row_number() OVER (PARTITION BY priority ORDER BY n) AS i,
+      count(*) OVER (PARTITION BY priority) AS m FROM c),
+gi AS (SELECT priority, round(sum((2 * i - m - 1) * x) / (max(m) * sum(x)), 6) AS gini FROM g GROUP BY priority),
+en AS (SELECT priority, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS entropy, CAST(count(*) AS BIGINT) AS n_items
+       FROM c GROUP BY priority)
+SELECT gi.priority, gi.gini, en.entropy, en.n_items FROM gi JOIN en USING (priority)""")
+def chapter_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-free spread of hierarchy chapters within each priority cluster: Gini of
+    the chapter counts and entropy of the chapter shares (beside the id-based Gini)."""
+    return cohort.count_concentration(_stay_chapters(spark, sf_dir), "priority", "cluster")
