@@ -139,3 +139,13 @@ def test_dissimilarity_matches_pairs(spark):
     tot = cohort.dissimilarity(counts, "g", "item").first()
     pairs = cohort.pair_dissimilarity(counts, "g", "item").agg(F.sum("score"), F.sum("overlap")).first()
     assert tot["score"] == pairs[0] and tot["overlap"] == pairs[1]
+
+
+def test_count_concentration(spark):
+    import math
+    df = spark.createDataFrame([("a", "x")] * 3 + [("a", "y")] + [("b", "z")] * 4, "g string, item string")
+    got = {r["g"]: r for r in cohort.count_concentration(df, "g", "item").collect()}
+    p = [0.75, 0.25]
+    assert abs(got["a"]["entropy"] - round(-sum(q * math.log(q) for q in p), 6)) < 1e-12
+    assert got["b"]["entropy"] == 0.0 and got["b"]["n_items"] == 1
+    assert abs(got["b"]["gini"]) < 1e-12
