@@ -149,3 +149,12 @@ def test_count_concentration(spark):
     assert abs(got["a"]["entropy"] - round(-sum(q * math.log(q) for q in p), 6)) < 1e-12
     assert got["b"]["entropy"] == 0.0 and got["b"]["n_items"] == 1
     assert abs(got["b"]["gini"]) < 1e-12
+
+
+def test_hash_fraction_is_repeatable_and_close(spark):
+    from wardlens.operators.folds import hash_fraction
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    a = hash_fraction(df, "k", 0.1)
+    b = hash_fraction(df.repartition(7), "k", 0.1)
+    assert sorted(r[0] for r in a.collect()) == sorted(r[0] for r in b.collect())
+    assert 1700 < a.count() < 2300

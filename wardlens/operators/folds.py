@@ -55,3 +55,12 @@ def train_class_weights(df: DataFrame, fold_col: str = "fold", label_col: str =
                       (F.col("tpos") - F.col("pos")).cast("long").alias("n_pos"),
                       F.try_divide((F.col("tneg") - F.col("neg")).cast("double"),
                                    (F.col("tpos") - F.col("pos")).cast("double")).alias("class_weight"))
+
+
+def hash_fraction(df: DataFrame, key: str, fraction: float, salt: int = 0) -> DataFrame:
+    """A repeatable fraction of the rows: those whose salted hash bucket (of
+    10000) falls below ``10000 * fraction``.  Unlike ``df.sample`` it does not
+    change with the partition layout, so a task retry keeps the same rows."""
+    cut = int(round(fraction * 10000))
+    h = ((F.col(key).cast("long") * HASH_MULT + salt * 7919) % HASH_MOD) % 10000
+    return df.where(h < cut)
