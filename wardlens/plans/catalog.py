@@ -1001,3 +1001,13 @@ def chapter_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-free spread of hierarchy chapters within each priority cluster: Gini of
     the chapter counts and entropy of the chapter shares (beside the id-based Gini)."""
     return cohort.count_concentration(_stay_chapters(spark, sf_dir), "priority", "cluster")
+
+
+@register("stay_category_incidence", f"""
+WITH {DICT_CTE}, {SETS_CTE}
+SELECT DISTINCT hadm_id, u.item FROM sets, unnest(sets.cats) u(item)""")
+def stay_category_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary stay x category incidence in long form (one row per present pair)."""
+    from wardlens.operators.features import incidence_long
+    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    return incidence_long(sets, "hadm_id", "categories")
