@@ -1011,3 +1011,12 @@ def stay_category_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardlens.operators.features import incidence_long
     sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
     return incidence_long(sets, "hadm_id", "categories")
+
+
+@register("kmeans_label_categories")
+def kmeans_label_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories per k-means label (k = 4 on the standardised stay features): stays
+    per (cluster, category), for every cluster (not only the last)."""
+    labels = kmeans_labels(spark, sf_dir).select("hadm_id", "cluster")
+    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    return cohort.category_counts(labels.join(sets, "hadm_id"), "cluster", "categories")
