@@ -158,3 +158,11 @@ def test_hash_fraction_is_repeatable_and_close(spark):
     b = hash_fraction(df.repartition(7), "k", 0.1)
     assert sorted(r[0] for r in a.collect()) == sorted(r[0] for r in b.collect())
     assert 1700 < a.count() < 2300
+
+
+def test_lookup_memo_keeps_interval_sets_apart(spark):
+    a = codes.code3_lookup_local(spark, _iv(spark, ["740-759", "780-799"]))
+    b = codes.code3_lookup_local(spark, _iv(spark, ["740-759", "780-799"], truncated=True))
+    get = lambda df: {r["code3"]: r["cluster"] for r in df.collect()}
+    assert 765 not in get(a) and get(b)[765] == "780-799"
+    assert get(codes.code3_lookup_local(spark, _iv(spark, ["740-759", "780-799"]))) == get(a)
