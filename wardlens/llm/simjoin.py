@@ -240,7 +240,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
                        lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
     placed = member.join(total, "root").withColumn("parts", parts).withColumn("chunk", chunk) \
         .select("root", "cls", "doc_id", F.explode(cell).alias("cell"))
-    texts = placed.join(docs, "doc_id").select("root", "cell", "cls", "text")
+    # the same plan at every size: texts are shuffled once, never a side broadcast
+    texts = placed.hint("merge").join(docs, "doc_id").select("root", "cell", "cls", "text")
 
     def verify(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
