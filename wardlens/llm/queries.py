@@ -6,11 +6,23 @@ import functools
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardlens.llm import chat, hashtree, idfile, packing, pii, simjoin, toxicity
+from wardlens.llm import chat, hashtree, idfile, packing, pii, simjoin, spm, spotsigs, topk, toxicity
 from wardlens.llm.common import ship, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return topk.top_k(docs, asked)
+
+
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.round_trip(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +49,10 @@ def op8_hashtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashtree.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_simjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.jaccard_classes(table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("cls", "root")
 
@@ -49,5 +65,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op3_pii, op4_packing, op5_toxicity, op6_chat, op7_idfile, op8_hashtree, op10_simjoin)}
-ORACLE = {"op6_chat": chat.ORACLE}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_topk, op2_merge_dropout, op3_pii, op4_packing, op5_toxicity, op6_chat, op7_idfile, op8_hashtree, op9_spotsigs, op10_simjoin)}
+ORACLE = {"op1_topk": topk.ORACLE, "op6_chat": chat.ORACLE}

@@ -21,7 +21,7 @@ keep their size, link with nothing and have no component; empty input gives no r
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,6 +183,47 @@ def link_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return labels
 
 
+def exact_components(sets: DataFrame, edges: DataFrame, docs: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]],
+                     num: int, den: int) -> DataFrame:
+    """``(cls, root, component_id)`` of the classes in ``sets(doc_id, n, cls, rid)``, exactly.
+
+    ``edges(a, b)`` join records (``rid``) into candidate groups that no link leaves; ``sets_of`` makes the sets of
+    texts again, and ``cls`` is the 128-bit hash of a set."""
+    groups = components(edges, "groups")
+    classes = sets.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()) \
+        .groupBy("cls", "rid", "n").agg(F.min("doc_id").alias("doc_id"))
+    member = stored(classes.join(groups.withColumnRenamed("id", "rid"), "rid"), "members")
+    total = member.groupBy("root").agg(F.sum("n").alias("total"))
+    parts = F.ceil(F.col("total") / GROUP_SHINGLES)
+    chunk = F.pmod(F.xxhash64("cls"), F.col("parts"))
+    cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
+                       lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
+    placed = member.join(total, "root").withColumn("parts", parts).withColumn("chunk", chunk) \
+        .select("root", "cls", "doc_id", F.explode(cell).alias("cell"))
+    # the same plan at every size: texts are shuffled once, never a side broadcast
+    texts = placed.hint("merge").join(docs, "doc_id").select("root", "cell", "cls", "text")
+
+    def verify(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        found: dict[bytes, np.ndarray] = {}
+        for batch in group.to_batches():
+            for cls, values in zip(column(batch, "cls").to_pylist(), sets_of(column(batch, "text"))):
+                # a repeated doc_id may bring the text of another class
+                if len(values) and xxhash.xxh3_128_digest(values.tobytes()) == cls:
+                    found[cls] = values
+        names = list(found)
+        labels = link_sets(list(found.values()), num, den)
+        linked = [(names[i], names[k]) for i, k in enumerate(labels.tolist()) if i != k]
+        return pa.Table.from_batches([rows(_EDGES, *zip(*linked))] if linked else [], schema=_EDGES)
+
+    links = texts.groupBy("root", "cell").applyInArrow(verify, "a binary, b binary")
+    linked = components(links, "links").select(F.col("id").alias("cls"), "root")
+    least = classes.select("cls", "doc_id").join(linked, "cls", "left") \
+        .select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
+    return stored(least.join(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
+                       .select("cls", "root", "component_id"), "components")
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, cls, root, component_id`` of every document.
 
@@ -229,39 +270,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     bucket = sets.where(F.col("keys").isNotNull()).select(key, "rid")
     low = F.min("rid").over(Window.partitionBy("key"))
     edges = bucket.select(F.col("rid").alias("a"), low.alias("b")).where("a != b").distinct()
-    groups = components(edges, "groups")
-    classes = sets.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()) \
-        .groupBy("cls", "rid", "n").agg(F.min("doc_id").alias("doc_id"))
-    member = stored(classes.join(groups.withColumnRenamed("id", "rid"), "rid"), "members")
-    total = member.groupBy("root").agg(F.sum("n").alias("total"))
-    parts = F.ceil(F.col("total") / GROUP_SHINGLES)
-    chunk = F.pmod(F.xxhash64("cls"), F.col("parts"))
-    cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
-                       lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
-    placed = member.join(total, "root").withColumn("parts", parts).withColumn("chunk", chunk) \
-        .select("root", "cls", "doc_id", F.explode(cell).alias("cell"))
-    # the same plan at every size: texts are shuffled once, never a side broadcast
-    texts = placed.hint("merge").join(docs, "doc_id").select("root", "cell", "cls", "text")
-
-    def verify(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        found: dict[bytes, np.ndarray] = {}
-        for batch in group.to_batches():
-            for cls, values in zip(column(batch, "cls").to_pylist(), shingle_sets(column(batch, "text"), width)):
-                # a repeated doc_id may bring the text of another class
-                if len(values) and xxhash.xxh3_128_digest(values.tobytes()) == cls:
-                    found[cls] = values
-        names = list(found)
-        labels = link_sets(list(found.values()), num, den)
-        linked = [(names[i], names[k]) for i, k in enumerate(labels.tolist()) if i != k]
-        return pa.Table.from_batches([rows(_EDGES, *zip(*linked))] if linked else [], schema=_EDGES)
-
-    links = texts.groupBy("root", "cell").applyInArrow(verify, "a binary, b binary")
-    linked = components(links, "links").select(F.col("id").alias("cls"), "root")
-    least = classes.select("cls", "doc_id").join(linked, "cls", "left") \
-        .select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-    component = stored(least.join(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
-                       .select("cls", "root", "component_id"), "components")
+    component = exact_components(sets, edges, docs, lambda texts: shingle_sets(texts, width), num, den)
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "cls")
     joined = out.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).join(component, "cls") \
         .select("doc_id", "n_shingles", "cls", "root", "component_id")
