@@ -138,8 +138,9 @@ def test_top_k_equals_scoring_everything(spark, monkeypatch):
     asked = [(i, docs[i][1]) for i in range(0, 700, 50)] + [(9001, ""), (9002, None), (9003, "nowhere found"), (9004, "w1 w1 W2")]
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, score int").repartition(4)
     q = spark.createDataFrame(asked, "query_id long, text string")
-    for terms in (2_000_000, 60):
+    for terms, block in ((2_000_000, 1), (60, 1), (2_000_000, 8)):
         monkeypatch.setattr(topk, "BLOCK_TERMS", terms)
+        monkeypatch.setattr(topk, "BLOCK", block)
         got = sorted((x["query_id"], x["rank"], x["doc_id"], x["score"]) for x in topk.top_k(frame, q).collect())
         assert got == brute_top(docs, asked, 10)
 
@@ -148,15 +149,17 @@ def test_blocks_below_the_threshold_are_not_opened(monkeypatch):
     """Few documents hold the query's rare words: most blocks stay closed, and the result is whole."""
     texts = [f"common filler w{i % 50}" for i in range(4000)] + ["rare gem common"] * 12
     terms, bounds = topk.text_terms(pa.array(texts))
+    monkeypatch.setattr(topk, "BLOCK", 32)
     row = next(iter(_index_rows(texts)))
     shard = topk.Shard(row, 3.0)
     opened = []
     monkeypatch.setattr(topk, "ragged", lambda a, b, f=topk.ragged: opened.append(int(b.sum())) or f(a, b))
     asked = np.unique(terms[bounds[-2]:])
-    place, score = shard.search(asked, np.where(np.isin(asked, terms[:3]), 0.1, 6.0), 10)
-    assert len(place) == 12 and len(set(score.tolist())) == 1
-    # postings of the query's words: 4012 for "common"; of them only those of the first blocks are read
-    assert sum(opened[1:]) < 600
+    found = list(shard.search(np.array([0, 3]), asked, np.where(np.isin(asked, terms[:3]), 0.1, 6.0), np.zeros(1), 10))
+    (query, place, score), = found
+    assert query == 0 and len(place) == 12 and len(set(score.tolist())) == 1
+    # postings of the query's words: 4012 for "common"; only those of the first blocks are read
+    assert sum(opened) < 600
 
 
 def _index_rows(texts):

@@ -32,31 +32,40 @@ LIMIT = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 18
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 _COUNTS = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 _BLOCKS = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                      ("doc_lens", pa.list_(pa.int64())), ("checkpoints", pa.list_(pa.int64())), ("payload", pa.binary())])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()),
                    ("ids_crc32", pa.int64())])
-TOKENS_DDL = "doc_id long, n long, crc long, ids binary"
+TOKENS_DDL = "doc_id long, n long, ids binary"
 BLOCKS_DDL = ("part int, first long, n_ids long, doc_ids array<long>, doc_lens array<long>, checkpoints array<long>, "
               "payload binary")
 DOCS_DDL = "doc_id long, part int, at long, n_tokens long, ids_crc32 long"
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """``(doc_id, n, crc, ids)``: little-endian unsigned 32-bit ids of each whole text with ``end_id`` at the end."""
+    """``(doc_id, n, ids)``: little-endian unsigned ids of each whole text with ``end_id`` at the end.
+
+    Ids take two bytes if the vocabulary allows, else four (``len(ids) / n`` tells)."""
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
+        kind = "<u2" if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for part in chunks(batches):
             ids, counts = enc.encode(column(part, "text"))
             ends = np.cumsum(counts)
-            data = [np.append(ids[e - n:e], np.uint32(end_id)).astype("<u4").tobytes()
-                    for e, n in zip(ends.tolist(), counts.tolist())]
-            yield rows(_TOKENS, column(part, "doc_id"), counts + 1, [zlib.crc32(b) for b in data], data)
+            data = np.insert(ids.astype(kind), ends, end_id)
+            at = (np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * data.itemsize).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(data)])
+            yield rows(_TOKENS, column(part, "doc_id"), counts + 1, binary)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, TOKENS_DDL)
 
 
+def _ids(data: pa.Scalar, n: int) -> np.ndarray:
+    buffer = data.as_buffer()
+    return np.frombuffer(buffer, "<u2" if buffer.size == 2 * n else "<u4")
+
+
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Optimal code lengths of at most ``limit`` bits by package-merge (0 for counts of 0)."""
     used = np.flatnonzero(counts)
@@ -151,16 +160,15 @@ def write_ids(tokens: DataFrame, folder: str, parts: int) -> None:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for data in column(batch, "ids"):
-                got = np.bincount(np.frombuffer(data.as_buffer(), "<u4"))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[:len(got)] += got
+            got = np.bincount(np.concatenate([_ids(d, n) for d, n in zip(column(batch, "ids"), column(batch, "n").to_pylist())]))
+            if len(got) > len(total):
+                total = np.pad(total, (0, len(got) - len(total)))
+            total[:len(got)] += got
         used = np.flatnonzero(total)
         yield rows(_COUNTS, used, total[used])
 
     spark = tokens.sparkSession
-    counted = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = tokens.select("ids", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
     counts[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     needed = int(np.ceil(np.log2(max(2, np.count_nonzero(counts)))))
@@ -178,9 +186,9 @@ def write_ids(tokens: DataFrame, folder: str, parts: int) -> None:
             return rows(_BLOCKS, [part], [first], [held], [docs], [[len(x) for x in ids]], [checkpoints], [payload])
 
         for batch in batches:
-            for doc, data in zip(column(batch, "doc_id").to_pylist(), column(batch, "ids")):
+            for doc, n, data in zip(column(batch, "doc_id").to_pylist(), column(batch, "n").to_pylist(), column(batch, "ids")):
                 docs.append(doc)
-                ids.append(np.frombuffer(data.as_py(), "<u4"))
+                ids.append(_ids(data, n))
                 held += len(ids[-1])
                 if held >= BLOCK_IDS:
                     yield close()
@@ -188,8 +196,8 @@ def write_ids(tokens: DataFrame, folder: str, parts: int) -> None:
         if docs:
             yield close()
 
-    tokens.repartitionByRange(parts, "doc_id", "crc", "n").sortWithinPartitions("doc_id", "crc", "n") \
-        .select("doc_id", "ids").mapInArrow(blocks, BLOCKS_DDL).write.parquet(f"{folder}/blocks")
+    tokens.repartitionByRange(parts, "doc_id", "n").sortWithinPartitions("doc_id", "n", "ids") \
+        .mapInArrow(blocks, BLOCKS_DDL).write.parquet(f"{folder}/blocks")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:

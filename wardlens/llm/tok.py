@@ -87,11 +87,14 @@ class WordEncoder:
             self._reset()
         texts = pc.fill_null(texts, "")
         spaced = pc.replace_substring_regex(texts, r"([a-zA-Zß-öø-ÿ])([!-/:-@\[-`{-~])", r"\1 \2")
-        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, spaced)
+        special = pc.match_substring(texts, "<|")
+        texts = pc.if_else(special, texts, spaced) if pc.any(special).as_py() else spaced
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         number = self.numbers.__getitem__
-        unique = np.fromiter(map(number, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        # the vocabulary is lower case: ASCII words are numbered without case
+        names = [w.lower() if w.isascii() and "<|" not in w else w for w in coded.dictionary.to_pylist()]
+        unique = np.fromiter(map(number, names), np.int64, len(names))
         index = unique[coded.indices.to_numpy()]
         if self.numbers.new:
             self._learn()
