@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -41,8 +41,12 @@ SHARED = 0.1
 #: Classes whose signatures a task remembers to have sent.
 SEEN = 200_000
 PIVOTS = 16
+#: Pairs of key and record that a task gathers before it reduces them to one for each key.
+HELD_PAIRS = 4_000_000
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
@@ -183,6 +187,62 @@ def link_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return labels
 
 
+def class_of(values: np.ndarray) -> bytes | None:
+    """128 bits that tell sets apart; none for the empty set."""
+    return xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None
+
+
+def record_id(cls: bytes | None) -> int | None:
+    """A class's number among candidates; should two classes share one, only a candidate group grows."""
+    return None if cls is None else int.from_bytes(cls[:8], "little", signed=True)
+
+
+def dealt(keys: np.ndarray, rids: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """``(bucket, pairs)``: the (key, record) pairs of each bucket as bytes."""
+    if not len(keys):
+        return
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    pairs = np.stack([keys.view(np.int64), rids], 1)[order]
+    names, first = np.unique(bucket[order], return_index=True)
+    yield rows(_DEALT, names, [p.tobytes() for p in np.split(pairs, first[1:])])
+
+
+def smallest_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pairs sorted by bucket, links ``(a, b)`` of every record to the smallest seen with the same key.
+
+    Held are a bucket's keys with their smallest records and at most ``HELD_PAIRS`` pairs more."""
+    def settle(parts: list[bytes], out: list[np.ndarray]) -> bytes:
+        pairs = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        first = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])
+        low = pairs[first][np.cumsum(first) - 1, 1]
+        other = pairs[:, 1] != low
+        if other.any():
+            out.append(np.unique(np.stack([pairs[other, 1], low[other]], 1), axis=0))
+        return pairs[first].tobytes()
+
+    bucket, parts, held = None, [], 0
+    for batch in batches:
+        out: list[np.ndarray] = []
+        for name, data in zip(column(batch, "bucket").to_pylist(), column(batch, "pairs").to_pylist()):
+            if name != bucket and parts:
+                settle(parts, out)
+                parts, held = [], 0
+            bucket = name
+            parts.append(data)
+            held += len(data)
+            if held >= 16 * HELD_PAIRS:
+                parts, held = [settle(parts, out)], 0
+        for links in out:
+            yield rows(_LINKS, links[:, 0], links[:, 1])
+    if parts:
+        out = []
+        settle(parts, out)
+        for links in out:
+            yield rows(_LINKS, links[:, 0], links[:, 1])
+
+
 def exact_components(sets: DataFrame, edges: DataFrame, docs: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]],
                      num: int, den: int) -> DataFrame:
     """``(cls, root, component_id)`` of the classes in ``sets(doc_id, n, cls, rid)``, exactly.
@@ -209,7 +269,7 @@ def exact_components(sets: DataFrame, edges: DataFrame, docs: DataFrame, sets_of
         for batch in group.to_batches():
             for cls, values in zip(column(batch, "cls").to_pylist(), sets_of(column(batch, "text"))):
                 # a repeated doc_id may bring the text of another class
-                if len(values) and xxhash.xxh3_128_digest(values.tobytes()) == cls:
+                if class_of(values) == cls:
                     found[cls] = values
         names = list(found)
         labels = link_sets(list(found.values()), num, den)
@@ -246,30 +306,33 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         records[b] = records.get(b, 0) + n
     bands = plan_bands(longest // 2 + 2, num, den, records)
 
+    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            found = shingle_sets(column(part, "text"), width)
+            cls = [class_of(v) for v in found]
+            yield rows(_SETS, column(part, "doc_id"), [len(v) for v in found], cls, [record_id(c) for c in cls])
+
+    sets = stored(docs.mapInArrow(describe, "doc_id long, n long, cls binary, rid long"), "sets")
+
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for part in chunks(batches):
-            out = []
-            for doc, values in zip(column(part, "doc_id").to_pylist(), shingle_sets(column(part, "text"), width)):
-                if not len(values):
-                    out.append((doc, 0, None, None, None))
+            keys, rids = [], []
+            for values in shingle_sets(column(part, "text"), width):
+                cls = class_of(values)
+                if cls is None or cls in seen:
                     continue
-                cls = xxhash.xxh3_128_digest(values.tobytes())
-                keys = None
-                if doc is not None and cls not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(cls)
-                    keys = record_keys(values, bands, lows, num, den).view(np.int64)
-                out.append((doc, len(values), cls, int.from_bytes(cls[:8], "little", signed=True), keys))
-            yield rows(_SETS, *zip(*out))
-
-    sets = stored(docs.mapInArrow(index, "doc_id long, n long, cls binary, rid long, keys array<long>"), "sets")
-    # candidate groups: everyone in a bucket hangs on its smallest record
-    key = F.explode("keys").alias("key")
-    bucket = sets.where(F.col("keys").isNotNull()).select(key, "rid")
-    low = F.min("rid").over(Window.partitionBy("key"))
-    edges = bucket.select(F.col("rid").alias("a"), low.alias("b")).where("a != b").distinct()
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(cls)
+                keys.append(record_keys(values, bands, lows, num, den))
+                rids.append(np.full(len(keys[-1]), record_id(cls)))
+            if keys:
+                yield from dealt(np.concatenate(keys), np.concatenate(rids), buckets)
+
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = docs.where(F.col("doc_id").isNotNull()).mapInArrow(index, "bucket int, pairs binary")
+    edges = postings.repartition(buckets // 8, "bucket").sortWithinPartitions("bucket").mapInArrow(smallest_links, "a long, b long").distinct()
     component = exact_components(sets, edges, docs, lambda texts: shingle_sets(texts, width), num, den)
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "cls")
     joined = out.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).join(component, "cls") \
@@ -288,7 +351,7 @@ def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
 
     def classed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            cls = [xxhash.xxh3_128_digest(v.tobytes()) if len(v) else None for v in shingle_sets(column(part, "text"), width)]
+            cls = [class_of(v) for v in shingle_sets(column(part, "text"), width)]
             yield part.append_column("_cls", pa.array(cls, pa.binary()))
 
     numbered = docs.mapInArrow(classed, StructType([*docs.schema.fields, StructField("_cls", BinaryType())])) \

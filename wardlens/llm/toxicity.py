@@ -118,19 +118,17 @@ def fit(sample: list[np.ndarray], labels: np.ndarray, penalty: float = 1e-3, rou
     if positive in (0.0, float(len(labels))):
         share = (positive + 1) / (len(labels) + 2)
         return Model(np.zeros(1), float(np.log(share / (1 - share))), none)
-    size = np.array([len(x) for x in sample], np.int64)
-    feature = np.concatenate(sample).astype(np.int64)
-    doc = np.repeat(np.arange(len(sample)), size)
-    toxic = labels[doc] == 1
-    p = np.bincount(feature[toxic], minlength=BUCKETS) + 1.0
-    q = np.bincount(feature[~toxic], minlength=BUCKETS) + 1.0
+    bad = labels == 1
+    p = np.bincount(np.concatenate([x for x, t in zip(sample, bad) if t]), minlength=BUCKETS) + 1.0
+    q = np.bincount(np.concatenate([x for x, t in zip(sample, bad) if not t]), minlength=BUCKETS) + 1.0
     used = p + q - 2 >= MIN_DOCS
     ratio = np.log(p / (positive + 2)) - np.log(q / (len(labels) - positive + 2))
     used &= np.abs(ratio) >= MIN_RATIO
     renumber = none.copy()
     renumber[used] = np.arange(int(used.sum()))
-    keep = used[feature]
-    feature, doc, ratio = renumber[feature[keep]], doc[keep], ratio[used]
+    # only the features in use are kept of each text
+    kept = [(own := renumber[x])[own >= 0] for x in sample]
+    feature, doc, ratio = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(x) for x in kept]), ratio[used]
     values = ratio[feature]
     balance = np.where(labels == 1, 0.5 / positive, 0.5 / (len(labels) - positive))
     weight, bias = np.zeros(len(ratio)), 0.0
