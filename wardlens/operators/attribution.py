@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.operators.evaluate import roc_auc
-from wardlens.operators.folds import HASH_MOD, HASH_MULT
+from wardlens.operators.folds import hash_bits
 from wardlens.operators.ordered import row_numbers
 
 
@@ -42,7 +42,7 @@ def importance_runs(fit_with_seed, df: DataFrame, features: Sequence[str], seeds
 
 
 def _hash(col, salt: int):
-    return (F.col(col).cast("long") * HASH_MULT + salt) % HASH_MOD
+    return hash_bits(col, salt)
 
 
 def permutation_importance(model, df: DataFrame, features: Sequence[str], key: str, label_col: str = "label",
@@ -100,10 +100,10 @@ def sampled_shapley(model, rows: DataFrame, background: Sequence[Sequence[float]
     bg = F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in background])
     x = rows.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_m"))
-    h = (F.col(key).cast("long") * HASH_MULT + F.col("_m") * 7919) % HASH_MOD
+    h = hash_bits(key, F.col("_m"))
     x = x.withColumn("_z", F.element_at(bg, (h % len(background)).cast("int") + 1))
     # random order: sort features by a hash of (key, m, feature)
-    order = F.array_sort(F.array(*[F.struct(((h * 31 + i * 104729) % HASH_MOD).alias("r"), F.lit(i).alias("i"))
+    order = F.array_sort(F.array(*[F.struct(hash_bits(key, F.concat_ws(":", F.col("_m").cast("string"), F.lit(f"f{i}"))).alias("r"), F.lit(i).alias("i"))
                                    for i in range(nf)]))
     x = x.withColumn("_pos", F.transform(F.sequence(F.lit(0), F.lit(nf - 1)),
                                          lambda i: F.array_position(F.transform(order, lambda s: s["i"]), i)))

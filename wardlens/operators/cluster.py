@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.operators.folds import HASH_MOD, HASH_MULT
+from wardlens.operators.folds import HASH_MOD, hash_bits
 from wardlens.session import ensure_checkpoint_dir
 
 MAX_K = 10_000
@@ -79,13 +79,13 @@ def _modes_from_long(long: DataFrame, k: int, cluster_col: str = "cluster") -> l
 
 def initial_modes(df: DataFrame, set_col: str, key: str, k: int, run: int = 0) -> list[list[str]]:
     """``k`` distinct sets, first in a run-salted hash order of their first key."""
-    h = (F.col(key).cast("long") * HASH_MULT + run * 7919) % HASH_MOD
+    h = hash_bits(key, run)
     firsts = df.groupBy(set_col).agg(F.min(h).alias("_h"))
     return [list(r[0]) for r in firsts.orderBy("_h").limit(k).collect()]
 
 
 def _run_hash(key: str, run: Column) -> Column:
-    return (F.col(key).cast("long") * HASH_MULT + run * 7919) % HASH_MOD
+    return hash_bits(key, run)
 
 
 def initial_modes_all_runs(base: DataFrame, set_col: str, key: str, k: int, n_init: int,
@@ -228,7 +228,7 @@ def som_train(df: DataFrame, vec_col: str, key: str, rows: int = 30, cols: int =
     spark = df.sparkSession
     width = len(df.select(vec_col).first()[0])
     units = rows * cols
-    h = (F.col(key).cast("long") * HASH_MULT) % HASH_MOD
+    h = hash_bits(key)
     init = [r[0] for r in df.orderBy(h, key).select(vec_col).limit(units).collect()]
     while len(init) < units:
         init.append(init[len(init) % max(len(init), 1)] if init else [0.0] * width)

@@ -30,19 +30,10 @@ PATHS = T.ArrayType(T.ArrayType(NODE))
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-_COUNT_MEMO: dict = {}
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is within ``max_rows``; otherwise
-    leave the join to a shuffle.  The count of a given plan is remembered for the
-    session (keyed by the plan's semantic hash), so a reference table checked once
-    is not counted again by the next query."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
-    n = _COUNT_MEMO.get(key)
-    if n is None:
-        n = _COUNT_MEMO[key] = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast ``df`` only when its row count is within ``max_rows`` (counted each
+    time, so a rewritten file is seen); otherwise leave the join to a shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 # ---------------------------------------------------------------- hierarchy
@@ -125,18 +116,10 @@ def code3_lookup(spark: SparkSession, intervals: DataFrame, bin_width: int = 100
     return first_interval_lookup(domain, "code3", intervals, bin_width).withColumnRenamed("name", "cluster")
 
 
-_LOOKUP_MEMO: dict = {}
-
-
 def code3_lookup_local(spark: SparkSession, intervals: DataFrame) -> DataFrame:
     """The prefix lookup as a local relation: at most 1000 rows by construction, so
-    it is collected once per session and intervals plan (memoised on the plan's
-    semantic hash) and then broadcast without further jobs."""
-    key = (spark.sparkContext.applicationId, intervals.semanticHash())
-    rows = _LOOKUP_MEMO.get(key)
-    if rows is None:
-        rows = [(int(r["code3"]), r["cluster"]) for r in code3_lookup(spark, intervals).collect()]
-        _LOOKUP_MEMO[key] = rows
+    it is collected and then broadcast without further jobs."""
+    rows = [(int(r["code3"]), r["cluster"]) for r in code3_lookup(spark, intervals).collect()]
     return spark.createDataFrame(rows, "code3 int, cluster string")
 
 
@@ -185,14 +168,14 @@ def attach_codes(stays: DataFrame, lists: DataFrame, key: str = "hadm_id", col:
 
 
 def prefix_categories(codes: DataFrame, code_col: str, prefixes: DataFrame, prefix_col: str = "prefix",
-                      value_col: str = "category", max_len: int = 8) -> DataFrame:
+                      value_col: str = "category") -> DataFrame:
     """Code table joined by prefix: the longest matching prefix wins.
 
-    Each code is expanded into its (at most ``max_len``) prefixes, so the theta
+    Each code is expanded into its prefixes, so the theta
     join ``code LIKE prefix || '%'`` becomes an equi-join.
     """
     p = bounded_broadcast(prefixes.select(F.col(prefix_col).alias("_p"), F.col(value_col).alias("_v")))
-    expanded = codes.select("*", F.explode(F.sequence(F.lit(1), F.least(F.length(code_col), F.lit(max_len))))
+    expanded = codes.select("*", F.explode(F.sequence(F.lit(1), F.length(code_col)))
                             .alias("_len")).withColumn("_p", F.expr(f"substr({code_col}, 1, _len)"))
     hit = expanded.join(p, "_p", "inner")
     return hit.groupBy(code_col).agg(F.max_by("_v", "_len").alias(value_col))

@@ -50,7 +50,9 @@ def label_correlations(df: DataFrame, cols: Sequence[str], label_col: str = "lab
     for c in cols:
         x = F.col(c).cast("double")
         y = F.col(label_col).cast("double")
-        aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(c))
+        # deviations over the same complete pairs as the covariance
+        both = x.isNotNull() & y.isNotNull()
+        aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))).alias(c))
     wide = df.agg(*aggs)
     stack = "stack({n}, {pairs}) AS (feature, corr)".format(
         n=len(cols), pairs=", ".join(f"'{c}', `{c}`" for c in cols))
@@ -90,12 +92,14 @@ def dissimilarity(counts: DataFrame, group_col: str, item: str, value: str = "n"
     """
     # with r_all = k - m + r: (2 r_all - k - 1) x = k x + (2r - 2m - 1) x, so k enters only
     # through k * sum(x) and is counted in the same final aggregate (no extra job).
+    counts = counts.where(F.col(group_col).isNotNull())
     w_cnt = Window.partitionBy(item)
     w_rank = Window.partitionBy(item).orderBy(F.col(value), F.col(group_col))
     ranked = counts.withColumn("_m", F.count(F.lit(1)).over(w_cnt)).withColumn("_r", F.row_number().over(w_rank))
     terms = ranked.select(item, group_col, F.col(value).alias("_x"),
                           ((2 * F.col("_r") - 2 * F.col("_m") - 1) * F.col(value)).alias("_t"),
                           F.when(F.col("_r") == 1, F.col("_m") * (F.col("_m") - 1) / 2).otherwise(0).alias("_o"))
+    # groups without a name are left out here and in the pair table alike
     k = F.lit(n_groups) if n_groups is not None else F.countDistinct(group_col)
     agg = terms.agg((k * F.sum("_x") + F.sum("_t")).cast("long").alias("score"),
                     F.sum("_o").cast("long").alias("overlap"), k.alias("_k"))

@@ -194,10 +194,10 @@ def accuracy(pred: DataFrame, label_col: str = "label", pred_col: str = "pred",
 
 def sensitivity_specificity(pred: DataFrame, label_col: str = "label", prob_col: str = "prob",
                             group_cols: Sequence[str] = (), eps: float = 1e-7) -> DataFrame:
-    """Soft sensitivity and specificity: round(clip(y * p)) sums over class sizes + eps."""
+    """Soft sensitivity and specificity: half-even round(clip(y * p)) sums over class sizes + eps."""
     y, p = F.col(label_col).cast("double"), F.col(prob_col).cast("double")
-    tp = F.sum(F.round(F.least(F.greatest(y * p, F.lit(0.0)), F.lit(1.0))))
-    tn = F.sum(F.round(F.least(F.greatest((1 - y) * (1 - p), F.lit(0.0)), F.lit(1.0))))
+    tp = F.sum(F.bround(F.least(F.greatest(y * p, F.lit(0.0)), F.lit(1.0))))
+    tn = F.sum(F.bround(F.least(F.greatest((1 - y) * (1 - p), F.lit(0.0)), F.lit(1.0))))
     return pred.groupBy(*group_cols).agg((tp / (F.sum(y) + eps)).alias("sensitivity"),
                                          (tn / (F.sum(1 - y) + eps)).alias("specificity"))
 

@@ -1,7 +1,7 @@
 """Splits and folds that do not depend on partitioning or task order.
 
-``randomSplit`` and ``rand()`` change with the partition layout; these use an
-arithmetic hash of the row key (portable to any SQL engine) or the declared
+``randomSplit`` and ``rand()`` change with the partition layout; these use a
+mixing hash of the row key (portable to any SQL engine) or the declared
 row order, so a rerun after executor loss gives the same rows.
 """
 
@@ -13,26 +13,37 @@ from pyspark.sql import functions as F
 
 from wardlens.operators.ordered import ntile_folds
 
-# The Park-Miller multiplier and modulus of the portable hash.
-HASH_MULT = 48271
-HASH_MOD = 2147483647
+# Hash values lie in [0, HASH_MOD): 12 hex digits of an MD5.
+HASH_MOD = 1 << 48
 
 
-def hash_bucket(key, buckets: int = 100) -> Column:
+def hash_bits(key, salt=0) -> Column:
+    """A mixing hash of any key (numbers of any size, strings, null as '') and a salt:
+    the first 12 hex digits of ``md5(key || ':' || salt)``, the same in any SQL engine."""
     k = F.col(key) if isinstance(key, str) else key
-    return ((k.cast("long") * HASH_MULT) % HASH_MOD) % buckets
+    s = salt if isinstance(salt, Column) else F.lit(salt)
+    text = F.concat(F.coalesce(k.cast("string"), F.lit("")), F.lit(":"), s.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
+def hash_sql(key: str, salt: int = 0) -> str:
+    """``hash_bits`` as DuckDB SQL."""
+    return f"CAST('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), '') || ':{salt}'), 1, 12) AS BIGINT)"
+
+
+def hash_bucket(key, buckets: int = 100) -> Column:
+    return hash_bits(key) % buckets
 
 
 def hash_split(df: DataFrame, key: str, test_fraction: float = 0.2, name: str = "split") -> DataFrame:
-    """``test`` when the hash bucket (of 100) is below ``100 * test_fraction``."""
-    cut = int(round(test_fraction * 100))
-    return df.withColumn(name, F.when(hash_bucket(key) < cut, F.lit("test")).otherwise(F.lit("train")))
+    """``test`` when the hash bucket (of a million) is below that share of them."""
+    cut = int(round(test_fraction * 1_000_000))
+    return df.withColumn(name, F.when(hash_bucket(key, 1_000_000) < cut, F.lit("test")).otherwise(F.lit("train")))
 
 
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """``n`` rows first in hash order (ties by key): a distributed top-n."""
-    h = (F.col(key).cast("long") * HASH_MULT) % HASH_MOD
-    return df.orderBy(h, F.col(key)).limit(n)
+    return df.orderBy(hash_bits(key), F.col(key)).limit(n)
 
 
 def stratified_folds(df: DataFrame, label_col: str, order_col: str, k: int = 5, name: str = "fold") -> DataFrame:
@@ -59,8 +70,7 @@ def train_class_weights(df: DataFrame, fold_col: str = "fold", label_col: str =
 
 def hash_fraction(df: DataFrame, key: str, fraction: float, salt: int = 0) -> DataFrame:
     """A repeatable fraction of the rows: those whose salted hash bucket (of
-    10000) falls below ``10000 * fraction``.  Unlike ``df.sample`` it does not
+    a million) falls below that share of them.  Unlike ``df.sample`` it does not
     change with the partition layout, so a task retry keeps the same rows."""
-    cut = int(round(fraction * 10000))
-    h = ((F.col(key).cast("long") * HASH_MULT + salt * 7919) % HASH_MOD) % 10000
-    return df.where(h < cut)
+    cut = int(round(fraction * 1_000_000))
+    return df.where(hash_bits(key, salt) % 1_000_000 < cut)

@@ -94,7 +94,13 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                             *([F.sum(f"_wl_t_{c}").over(w_grp).alias(f"tot_{c}") for c in sum_cols]
                               if with_totals else []))
     w = Window.partitionBy(*gb).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = src.join(offsets, on=gb, how="inner")
+    # null-safe: a null group is a group like any other
+    named = offsets.select(*[F.col(c).alias(f"_wl_k_{c}") for c in gb], *[c for c in offsets.columns if c not in gb])
+    same = None
+    for c in gb:
+        eq = src[c].eqNullSafe(named[f"_wl_k_{c}"])
+        same = eq if same is None else same & eq
+    out = src.join(named, same, "inner").drop(*[f"_wl_k_{c}" for c in gb])
     for c in sum_cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_wl_o_{c}") + F.sum(c).over(w))
     return out.drop(key, BUCKET, *[f"_wl_o_{c}" for c in sum_cols])

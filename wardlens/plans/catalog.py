@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlens.operators import codes, cohort, evaluate
+from wardlens.operators.folds import hash_sql
 from wardlens.operators.ordered import ntile_folds
 from wardlens.plans import bindings as B
 from wardlens.plans.hierarchy_data import BLOCKS, CHAPTERS, hierarchy_json
@@ -173,14 +174,16 @@ FEATURES = ["total_price", "acct_balance"] + [f"{c}_{s}" for c in TRIPLE_COLS fo
 def _stay_features(spark, sf_dir):
     from wardlens.operators.features import measurement_triples
     tri = measurement_triples(B.measurements(spark, sf_dir), "hadm_id", TRIPLE_COLS)
-    return B.stays(spark, sf_dir, with_customer=True).join(tri, "hadm_id", "inner")
+    measured = [f"{c}_{s}" for c in TRIPLE_COLS for s in ("min", "mean", "max")]
+    return B.stays(spark, sf_dir, with_customer=True).join(tri, "hadm_id", "left").na.fill(0, measured)   # every stay, 0 where nothing was measured
 
 
 TRIPLES_SQL = ("SELECT l_orderkey AS hadm_id, " + ", ".join(
     f"min({s}) AS {c}_min, avg({s}) AS {c}_mean, max({s}) AS {c}_max"
     for c, s in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount")))
     + " FROM lineitem GROUP BY l_orderkey")
-FEAT_CTE = f"tri AS ({TRIPLES_SQL}), sf AS (SELECT s.*, tri.* EXCLUDE (hadm_id) FROM ({B.SQL_STAYS_C}) s JOIN tri USING (hadm_id))"
+FILLED_SQL = ", ".join(f"coalesce(tri.{c}_{s}, 0) AS {c}_{s}" for c in TRIPLE_COLS for s in ("min", "mean", "max"))
+FEAT_CTE = f"tri AS ({TRIPLES_SQL}), sf AS (SELECT s.*, {FILLED_SQL} FROM ({B.SQL_STAYS_C}) s LEFT JOIN tri USING (hadm_id))"
 
 
 @register("stay_triples", f"SELECT hadm_id, " + ", ".join(
@@ -445,7 +448,7 @@ def stay_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_hot(B.stays(spark, sf_dir).select("hadm_id", "label", "priority"), ["priority"])
 
 
-SPLIT_SQL = "CASE WHEN ((doc_id * 48271) % 2147483647) % 100 < 20 THEN 'test' ELSE 'train' END"
+SPLIT_SQL = f"CASE WHEN {hash_sql('doc_id')} % 1000000 < 200000 THEN 'test' ELSE 'train' END"
 
 
 @register("train_test_split", f"SELECT doc_id, label, {SPLIT_SQL} AS split FROM ({B.SQL_DOC_SCORES}) s")
@@ -519,8 +522,8 @@ _PROB_SQL = f"(1 - exp(-score / {DOC_CUT}))"
 
 
 @register("doc_sensitivity_specificity", f"""
-SELECT lang, round(sum(round(least(greatest(label * {_PROB_SQL}, 0), 1))) / (sum(label) + 1e-7), 9) AS sensitivity,
-       round(sum(round(least(greatest((1 - label) * (1 - {_PROB_SQL}), 0), 1))) / (sum(1 - label) + 1e-7), 9) AS specificity
+SELECT lang, round(sum(round_even(least(greatest(label * {_PROB_SQL}, 0), 1), 0)) / (sum(label) + 1e-7), 9) AS sensitivity,
+       round(sum(round_even(least(greatest((1 - label) * (1 - {_PROB_SQL}), 0), 1), 0)) / (sum(1 - label) + 1e-7), 9) AS specificity
 FROM ({B.SQL_DOC_SCORES}) s GROUP BY lang""")
 def doc_sensitivity_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soft sensitivity / specificity of a probability derived from the score."""
@@ -579,7 +582,7 @@ def category_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("stay_sample", f"""
-SELECT hadm_id, label FROM ({B.SQL_STAYS}) s ORDER BY ((hadm_id * 48271) % 2147483647), hadm_id LIMIT 50""")
+SELECT hadm_id, label FROM ({B.SQL_STAYS}) s ORDER BY {hash_sql('hadm_id')}, hadm_id LIMIT 50""")
 def stay_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repeatable sample of 50 stays (the sampling operator: order by hash, take n)."""
     from wardlens.operators.folds import hash_sample
@@ -603,7 +606,7 @@ def centre_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MODES_CTE = (f"{DICT_CTE}, {SETS_CTE}, "
-              "hs AS (SELECT cats, min((hadm_id * 48271) % 2147483647) AS h FROM sets GROUP BY cats), "
+              f"hs AS (SELECT cats, min({hash_sql('hadm_id')}) AS h FROM sets GROUP BY cats), "
               "modes AS (SELECT row_number() OVER (ORDER BY h) - 1 AS k, cats AS m FROM hs ORDER BY h LIMIT 3), "
               "d AS (SELECT s.hadm_id, s.cats, modes.k, len(s.cats) + len(modes.m) - 2 * len(list_intersect(s.cats, modes.m)) AS cost "
               "FROM sets s CROSS JOIN modes), "
