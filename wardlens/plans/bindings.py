@@ -44,32 +44,6 @@ DICT_CODE_SQL = code_sql(f"(p_partkey % {DICT_DOMAIN})")
 LABEL_SQL = "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END"
 
 
-# A scan larger than this that arrives in fewer files than the cluster has cores
-# is spread round-robin before heavy per-row work (see ``balanced``).
-BALANCE_MIN_BYTES = 4 << 20
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a large scan that comes in too few files over all cores.
-
-    A table stored as one file with one row group is read by one task, so all
-    per-row work before the first shuffle would run on one core.  Used before
-    heavy per-row work only (text splitting): for cheap projections the extra
-    exchange costs more than it saves.  When the scan's estimated size exceeds ``BALANCE_MIN_BYTES``
-    and it has fewer input files than the default parallelism, a round-robin
-    repartition follows the scan; filters and column pruning still reach the
-    Parquet reader below it.  A table spread over many files (the cluster case)
-    is left alone, so no shuffle is added there.  Both checks are planning-time
-    metadata (file listing, size estimate), no job.
-    """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= BALANCE_MIN_BYTES and len(df.inputFiles()) < par:
-        return df.repartition(par)
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

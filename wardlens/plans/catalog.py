@@ -105,21 +105,28 @@ def block_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ category sets
 DICT_CTE = f"dict AS (SELECT icd9_code, arg_max(category, line_no) AS category FROM ({B.SQL_DICT}) x GROUP BY icd9_code)"
-SETS_CTE = (f"sets AS (SELECT hadm_id, list_sort(list(DISTINCT category)) AS cats FROM ({B.SQL_DIAG}) d "
-            f"JOIN dict USING (icd9_code) GROUP BY hadm_id)")
+SETS_CTE = (f"sets AS (SELECT s.hadm_id, coalesce(list_sort(list(DISTINCT category) FILTER (WHERE category IS NOT NULL)), []) AS cats "
+            f"FROM ({B.SQL_STAYS}) s LEFT JOIN ({B.SQL_DIAG}) d ON d.hadm_id = s.hadm_id LEFT JOIN dict ON dict.icd9_code = d.icd9_code "
+            f"GROUP BY s.hadm_id)")
+
+
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category set of every stay; empty where no code is known."""
+    known = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    return codes.attach_codes(B.stays(spark, sf_dir).select("hadm_id"), known, col="categories")
 
 
 @register("stay_categories", f"""
 WITH {DICT_CTE}, {SETS_CTE}
 SELECT hadm_id, array_to_string(cats, ',') AS categories, CAST(len(cats) AS BIGINT) AS n_categories FROM sets""")
 def stay_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    s = _sets(spark, sf_dir)
     return s.select("hadm_id", F.array_join("categories", ",").alias("categories"),
                     F.size("categories").cast("long").alias("n_categories"))
 
 
 def _priority_counts(spark, sf_dir):
-    s = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    s = _sets(spark, sf_dir)
     st = B.stays(spark, sf_dir).select("hadm_id", "priority")
     return cohort.category_counts(st.join(s, "hadm_id"), "priority", "categories")
 
@@ -419,7 +426,7 @@ SELECT lang, term, CAST(count(*) AS BIGINT) AS n FROM (
 WHERE length(term) > 0 GROUP BY lang, term""")
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term frequency per language over the whole texts (the table behind a word cloud)."""
-    return cohort.term_counts(B.balanced(B.table(spark, sf_dir, "documents").select("lang", "text")), "lang", "text")
+    return cohort.term_counts(B.table(spark, sf_dir, "documents").select("lang", "text"), "lang", "text")
 
 
 # ------------------------------------------------------------------ features
@@ -617,7 +624,7 @@ _MODES_CTE = (f"{DICT_CTE}, {SETS_CTE}, "
 def _kmodes_step(spark, sf_dir):
     from wardlens.operators.cluster import initial_modes, kmodes_assign
     from pyspark import StorageLevel
-    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir)) \
+    sets = _sets(spark, sf_dir) \
         .persist(StorageLevel.MEMORY_AND_DISK)   # read by the seed pass and the assignment
     modes = initial_modes(sets, "categories", "hadm_id", 3)
     return kmodes_assign(sets, "categories", modes)
@@ -646,7 +653,7 @@ def kmodes_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full k-modes (k = 3, 10 restarts advanced together; n_init=100 runs the same
     way, one pass per iteration) on the stays' category sets: stay, cluster, cost."""
     from wardlens.operators.cluster import kmodes
-    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    sets = _sets(spark, sf_dir)
     assigned, _, _, _ = kmodes(sets, "categories", "hadm_id", k=3, n_init=10, max_iter=10)
     return assigned.select("hadm_id", "cluster", "cost")
 
@@ -880,7 +887,7 @@ def category_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tf-idf (smoothed idf + 1, l2 rows) of the stays' category sets and the binary
     incidence vectors, as arrays."""
     from wardlens.operators.features import incidence_vectors, tfidf
-    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    sets = _sets(spark, sf_dir)
     t = tfidf(sets, "categories")
     bow, _ = incidence_vectors(t, "categories")
     from pyspark.ml.functions import vector_to_array
@@ -951,7 +958,7 @@ def som_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     from wardlens.operators.cluster import som_clusters as som
     from wardlens.operators.features import incidence_vectors
-    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    sets = _sets(spark, sf_dir)
     bow, vocab = incidence_vectors(sets, "categories")
     x = bow.select("hadm_id", vector_to_array("bow").alias("v"))
     n = len(vocab)
@@ -1012,7 +1019,7 @@ SELECT DISTINCT hadm_id, u.item FROM sets, unnest(sets.cats) u(item)""")
 def stay_category_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary stay x category incidence in long form (one row per present pair)."""
     from wardlens.operators.features import incidence_long
-    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    sets = _sets(spark, sf_dir)
     return incidence_long(sets, "hadm_id", "categories")
 
 
@@ -1021,5 +1028,5 @@ def kmeans_label_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories per k-means label (k = 4 on the standardised stay features): stays
     per (cluster, category), for every cluster (not only the last)."""
     labels = kmeans_labels(spark, sf_dir).select("hadm_id", "cluster")
-    sets = codes.category_sets(B.diagnoses(spark, sf_dir), B.code_dictionary(spark, sf_dir))
+    sets = _sets(spark, sf_dir)
     return cohort.category_counts(labels.join(sets, "hadm_id"), "cluster", "categories")
