@@ -132,3 +132,59 @@ def test_keep_first_on_repeated_ids(odd):
     # 7, 8, 9 and the row without an id stay; of the equal texts the first; of id 11 the text that is not a copy
     assert sorted((r["doc_id"] or -1, (r["text"] or "")[:7]) for r in kept if r["doc_id"] != 14) == [
         (-1, "a row w"), (7, ""), (8, ""), (9, "  \n\t "), (10, "Alpha b"), (11, "another"), (12, "word wo"), (13, "xxxxxxx")]
+
+
+def test_parities_keep_linked_records_together(monkeypatch):
+    """Over several levels of places: records whose sets link never end in different components of the edges."""
+    monkeypatch.setattr(simjoin, "BITS", 64)
+    monkeypatch.setattr(simjoin, "LEVELS", 3)
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (20, 60, 70, 130, 140, 300, 1200):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for _ in range(12):
+            part = base[rng.random(n) > rng.choice([0, .05, .15, .3])]
+            sets.append(np.unique(np.append(part, rng.integers(0, 1 << 63, int(rng.integers(1, max(2, n // 15)))).astype(np.uint64))))
+    size = np.array([len(s) for s in sets])
+    found, by_level = [], {}
+    for i, s in enumerate(sets):
+        for bits in (simjoin.parity_bits(s, simjoin.parity_level(len(s))), simjoin.lower_bits(s, 80, 100)):
+            if bits is not None:
+                by_level.setdefault(len(bits), []).append((i, bits))
+    for w, held in by_level.items():
+        at = np.array([i for i, _ in held])
+        matrix = np.frombuffer(b"".join(b for _, b in held), np.uint64).reshape(len(held), w // 8)
+        found += simjoin.near_edges(np.zeros(len(at), np.int64), at, size[at], matrix, 80, 100).tolist()
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in found:
+        root[top(a)] = top(b)
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                assert top(i) == top(j)
+    assert links > 50 and len({top(i) for i in range(len(sets))}) >= 7
+
+
+@pytest.mark.parametrize("limit", [16, 1_000_000])
+def test_shared_keys_in_parts(monkeypatch, limit):
+    """Every key of several records gives one group with all of them, also where a bucket is reduced in parts."""
+    monkeypatch.setattr(simjoin, "HELD_PAIRS", limit)
+    r = random.Random(limit)
+    pairs = [(r.randrange(40), r.randrange(30)) for _ in range(120)]
+    batches = [b for at in range(0, 120, 10)
+               for b in simjoin.dealt(np.array([k for k, _ in pairs[at:at + 10]], np.uint64), np.array([v for _, v in pairs[at:at + 10]]), 1)]
+    groups = {}
+    for batch in simjoin.shared_keys(batches):
+        for gid, rid in zip(*[c.to_pylist() for c in batch.columns]):
+            groups.setdefault(gid, set()).add(rid)
+    want = {frozenset(v for k, v in pairs if k == key) for key in range(40)}
+    assert {frozenset(g) for g in groups.values()} == {w for w in want if len(w) > 1}

@@ -8,9 +8,10 @@ record leave out up to E exact segments of few shingles, which unrelated sets sh
 of them indexes them all.  How many deletion segments a band has is chosen by estimated cost, from the number of
 records per band.  A set also visits the next band if a partner can lie there.
 
-Records that share a signature form candidate groups (hash-min components); each group is verified exactly from
-its texts, without listing its pairs: the most central record is compared with all others first, and a record is
-compared only with those in other components that size and triangle bounds allow.  Groups beyond
+Records that share a signature are compared by size and by the parities of ``BITS`` hashed places, which differ in no
+more places than the sets have differences: what cannot be a link goes, before texts are fetched.  The rest joins records into candidate groups; each group
+is verified exactly from its texts, without listing its pairs: the most central record is compared with all others
+first, and a record is compared only with those in other components that size and triangle bounds allow.  Groups beyond
 ``GROUP_SHINGLES`` are split into chunks and every pair of chunks is verified, so no link is lost.
 
 Defined cases: null text is an empty one; a text without words has the empty set and links with nothing; equal
@@ -37,15 +38,25 @@ from wardlens.llm.common import chunks, column, components, rows, splitmix, stor
 #: Shingles that one task verifies together.
 GROUP_SHINGLES = 2_000_000
 #: In the cost estimate: chance that a shingle of one record is also in an unrelated one.
-SHARED = 0.1
+SHARED = 0.02
 #: Classes whose signatures a task remembers to have sent.
 SEEN = 200_000
 PIVOTS = 16
 #: Pairs of key and record that a task gathers before it reduces them to one for each key.
 HELD_PAIRS = 4_000_000
-
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64())])
+#: Places of the parities that tell unlike sets apart before their texts are fetched; larger sets have up to
+#: ``BITS << LEVELS`` (beyond twice as many shingles, unlike sets are told apart by size only).
+BITS = 1024
+LEVELS = 5
+#: Records of a group that are compared together; larger groups are compared chunk by chunk.
+CELL = 4000
+#: Bytes of rows that a task gathers before it compares them (the last group may add up to two chunks).
+HELD_BYTES = 16_000_000
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64()), ("bits", pa.binary()),
+                   ("lower", pa.binary())])
 _DEALT = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())])
+_SHARED = pa.schema([("gid", pa.int64()), ("rid", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -208,39 +219,154 @@ def dealt(keys: np.ndarray, rids: np.ndarray, buckets: int) -> Iterator[pa.Recor
     yield rows(_DEALT, names, [p.tobytes() for p in np.split(pairs, first[1:])])
 
 
-def smallest_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From pairs sorted by bucket, links ``(a, b)`` of every record to the smallest seen with the same key.
-
-    Held are a bucket's keys with their smallest records and at most ``HELD_PAIRS`` pairs more."""
-    def settle(parts: list[bytes], out: list[np.ndarray]) -> bytes:
-        pairs = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        first = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])
-        low = pairs[first][np.cumsum(first) - 1, 1]
-        other = pairs[:, 1] != low
-        if other.any():
-            out.append(np.unique(np.stack([pairs[other, 1], low[other]], 1), axis=0))
-        return pairs[first].tobytes()
-
-    bucket, parts, held = None, [], 0
+def distinct_pairs(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
+
+
+def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pairs sorted by bucket, ``(gid, rid)``: the records of every key that several records have.
+
+    Keys with the same records are one group, named by the sum of the records' hashes.  Held are a bucket's keys with
+    their smallest records and at most ``HELD_PAIRS`` pairs more; a bucket beyond that names its groups by key."""
+    def settle(parts: list[bytes], by_key: bool, out: list[np.ndarray]) -> bytes:
+        pairs = distinct_pairs(np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2))
+        begins = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]]))
+        size = np.diff(np.append(begins, len(pairs)))
+        several = np.repeat(size > 1, size)
+        if several.any():
+            shared = pairs[several]
+            size = size[size > 1]
+            if not by_key:
+                starts = np.cumsum(size) - size
+                total = np.add.reduceat(splitmix(shared[:, 1].astype(np.uint64)), starts)
+                shared[:, 0] = np.repeat(total.view(np.int64), size)
+                shared = distinct_pairs(shared)
+            out.append(shared)
+        return pairs[begins].tobytes()
+
+    bucket, parts, held, cut = None, [], 0, False
     for batch in batches:
         out: list[np.ndarray] = []
         for name, data in zip(column(batch, "bucket").to_pylist(), column(batch, "pairs").to_pylist()):
             if name != bucket and parts:
-                settle(parts, out)
-                parts, held = [], 0
+                settle(parts, cut, out)
+                parts, held, cut = [], 0, False
             bucket = name
             parts.append(data)
             held += len(data)
             if held >= 16 * HELD_PAIRS:
-                parts, held = [settle(parts, out)], 0
-        for links in out:
-            yield rows(_LINKS, links[:, 0], links[:, 1])
+                parts, held, cut = [settle(parts, True, out)], 0, True
+        for shared in out:
+            yield rows(_SHARED, shared[:, 0], shared[:, 1])
     if parts:
         out = []
-        settle(parts, out)
-        for links in out:
-            yield rows(_LINKS, links[:, 0], links[:, 1])
+        settle(parts, cut, out)
+        for shared in out:
+            yield rows(_SHARED, shared[:, 0], shared[:, 1])
+
+
+def parity_level(n: int) -> int:
+    """Sets of up to ``BITS << level`` shingles have as many places, ``BITS << LEVELS`` at most."""
+    return min(LEVELS, max(0, (n - 1) // BITS).bit_length())
+
+
+def parity_bits(values: np.ndarray, level: int) -> bytes:
+    """The parities of the numbers of shingles that fall on each of ``BITS << level`` places.
+
+    A shingle in one of two sets only changes one parity, so the parities of linked sets differ in no more places than
+    the sets have differences."""
+    places = np.uint64(BITS << level)
+    place = (splitmix(values ^ np.uint64(BITS)) % places).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=BITS << level) & 1).astype(bool)).tobytes()
+
+
+def lower_bits(values: np.ndarray, num: int, den: int) -> bytes | None:
+    """Parities at the level of partners that are small enough to have fewer places, if there can be any."""
+    own, least = parity_level(len(values)), parity_level(-(-num * len(values) // den))
+    return parity_bits(values, own - 1) if least < own else None
+
+
+def near_edges(group: np.ndarray, rid: np.ndarray, size: np.ndarray, bits: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Edges between the records of each group (adjacent rows) whose sizes and parities allow a link: not all such
+    pairs, but as many as join the same records."""
+    parent = np.arange(len(group))
+    label = parent.copy()
+    most = int(np.max(np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))), initial=0))
+    edges = []
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    i = np.arange(len(group))
+    for step in range(1, most):
+        i = i[i + step < len(group)]
+        i = i[group[i] == group[i + step]]
+        k = i[label[i] != label[i + step]]
+        k = k[den * np.minimum(size[k], size[k + step]) >= num * np.maximum(size[k], size[k + step])]
+        for at in range(0, len(k), 100_000):
+            a = k[at:at + 100_000]
+            apart = np.bitwise_count(bits[a] ^ bits[a + step]).sum(1, dtype=np.int64)
+            for x in a[apart * (den + num) <= (size[a] + size[a + step]) * (den - num)].tolist():
+                p, q = top(x), top(x + step)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    edges.append((x, x + step))
+        while (parent[label] != label).any():
+            label = parent[label]
+    found = rid[np.array(edges, np.int64).reshape(-1, 2)]
+    return found[found[:, 0] != found[:, 1]]
+
+
+def candidate_edges(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``(a, b)`` from the groups ``shared(gid, rid)``: edges that leave no linked pair of a group apart.
+
+    Groups beyond ``CELL`` records are cut into chunks, and every pair of chunks is looked at."""
+    parts = F.ceil(F.col("size") / CELL).cast("long")
+    large = shared.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL).select("gid", parts.alias("parts"))
+    chunk = F.pmod(F.xxhash64("rid"), F.col("parts"))
+    cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
+                       lambda o: F.struct(F.least(chunk, o).alias("i"), F.greatest(chunk, o).alias("j")))
+    placed = shared.join(large, "gid", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))) \
+        .select("gid", "rid", F.explode(cell).alias("cell")) \
+        .select("rid", F.xxhash64("gid", "cell").alias("gid"))
+    described = sets.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls", "rid", "n") \
+        .agg(F.first("bits").alias("bits"), F.first("lower").alias("lower")) \
+        .select("rid", "n", F.explode(F.array_compact(F.array("bits", "lower"))).alias("bits"))
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(held: list[pa.RecordBatch], last: bool) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            group = column(whole, "gid").to_numpy()
+            end = len(group) if last else int(np.searchsorted(group, group[-1]))
+            part = whole.slice(0, end)
+            bits, found = column(part, "bits"), [np.zeros((0, 2), np.int64)]
+            width = pc.binary_length(bits).to_numpy()
+            for w in np.unique(width).tolist():  # the rows of a group have one width
+                own = np.flatnonzero(width == w)
+                same = part.take(pa.array(own))
+                matrix = np.frombuffer(b"".join(column(same, "bits").to_pylist()), np.uint64).reshape(len(own), w // 8)
+                found.append(near_edges(group[own], column(same, "rid").to_numpy(), column(same, "n").to_numpy(), matrix, num, den))
+            return np.concatenate(found), [whole.slice(end)] if end < len(group) else []
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= HELD_BYTES:
+                found, held = edges(held, False)
+                yield rows(_LINKS, found[:, 0], found[:, 1])
+        if held:
+            found, _ = edges(held, True)
+            yield rows(_LINKS, found[:, 0], found[:, 1])
+
+    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.hint("merge").join(described, "rid") \
+        .select(F.xxhash64("gid", F.octet_length("bits")).alias("gid"), "rid", "n", "bits").repartition(n, "gid").sortWithinPartitions("gid") \
+        .mapInArrow(near, "a long, b long").distinct()
 
 
 def exact_components(sets: DataFrame, edges: DataFrame, docs: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]],
@@ -310,9 +436,10 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         for part in chunks(batches):
             found = shingle_sets(column(part, "text"), width)
             cls = [class_of(v) for v in found]
-            yield rows(_SETS, column(part, "doc_id"), [len(v) for v in found], cls, [record_id(c) for c in cls])
+            yield rows(_SETS, column(part, "doc_id"), [len(v) for v in found], cls, [record_id(c) for c in cls],
+                       [parity_bits(v, parity_level(len(v))) for v in found], [lower_bits(v, num, den) for v in found])
 
-    sets = stored(docs.mapInArrow(describe, "doc_id long, n long, cls binary, rid long"), "sets")
+    sets = stored(docs.mapInArrow(describe, "doc_id long, n long, cls binary, rid long, bits binary, lower binary"), "sets")
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -332,7 +459,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = docs.where(F.col("doc_id").isNotNull()).mapInArrow(index, "bucket int, pairs binary")
-    edges = postings.repartition(buckets // 8, "bucket").sortWithinPartitions("bucket").mapInArrow(smallest_links, "a long, b long").distinct()
+    shared = stored(postings.repartition(buckets // 8, "bucket").sortWithinPartitions("bucket")
+                    .mapInArrow(shared_keys, "gid long, rid long").distinct(), "shared")
+    edges = candidate_edges(shared, sets, num, den)
     component = exact_components(sets, edges, docs, lambda texts: shingle_sets(texts, width), num, den)
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "cls")
     joined = out.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).join(component, "cls") \
