@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from wardlens.llm.common import chunks, column, stored
 from wardlens.llm.tok import encoder
 
+#: Bytes of text that a task encodes at a time (the arrays for it take about fifteen times as much).
+ENCODED_CHARS = 2_000_000
+
 WINDOW = 4096
 OPEN_WINDOWS = 64
 #: Groups merged by one task: partitions at the first level, partial windows after it.
@@ -120,7 +123,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(vocabulary), TaskContext.get().partitionId()
         packer = Packer(0, task, window, open_windows)
-        for part in chunks(batches):
+        for part in chunks(batches, chars=ENCODED_CHARS):
             ids, counts = enc.encode(column(part, "text"))
             ends = np.cumsum(counts)
             for doc, end, n in zip(column(part, "doc_id").to_pylist(), ends.tolist(), counts.tolist()):
