@@ -104,6 +104,14 @@ def test_spans_equal_brute_force(spark):
     assert any("term:" in k[2] for k in want) and any("class:" in k[2] for k in want)
 
 
+def test_repeated_rows_with_an_entity_count_once_each(spark):
+    twice, thrice = "Ann rare2x writes ann@mail.example.com", "Bob rare3x writes bob@mail.example.com"
+    docs = [(1, twice)] * 2 + [(2, "ann@mail.example.com writes")] + [(None, thrice)] * 3 + [(i, "Ann Bob writes") for i in range(10, 60)]
+    want = check(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), docs)
+    spans = {k[0]: k[2] for k in want}
+    assert "term:" not in spans[1] and "term:4:10" in spans[None]   # rare2x is held by two documents, below the support
+
+
 def test_whole_table(mid, mid_rows):
     check(mid, mid_rows)
 

@@ -156,12 +156,14 @@ def disclosures(docs: DataFrame, remove: float = REMOVE, generalize: float = GEN
             if out:
                 yield rows(pair_schema, *zip(*out))
 
-    # documents with an entity: their entities and terms
-    bearing = stored(docs.mapInArrow(held, "row long, entities array<long>, terms array<long>"), "bearing")
-    entities = bearing.select(F.explode("entities").alias("entity")).groupBy("entity") \
-        .agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= MIN_SUPPORT)
+    # documents with an entity: their entities and terms; equal rows are held once with their number m
+    bearing = docs.mapInArrow(held, "row long, entities array<long>, terms array<long>").groupBy("row") \
+        .agg(F.count(F.lit(1)).alias("m"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    bearing = stored(bearing, "bearing")
+    entities = bearing.select("m", F.explode("entities").alias("entity")).groupBy("entity") \
+        .agg(F.sum("m").alias("n_e")).where(F.col("n_e") >= MIN_SUPPORT)
     entities = stored(entities, "entities")
-    row_entity = stored(bearing.select("row", F.explode("entities").alias("entity")).join(entities, "entity"), "row-entities")
+    row_entity = stored(bearing.select("row", "m", F.explode("entities").alias("entity")).join(entities, "entity"), "row-entities")
     row_term = bearing.join(row_entity.select("row").distinct(), "row", "left_semi").select("row", F.explode("terms").alias("term"))
     wanted = row_term.select("term").distinct()
 
@@ -194,7 +196,7 @@ def disclosures(docs: DataFrame, remove: float = REMOVE, generalize: float = GEN
         .where(F.col("n_t") <= F.pow("n_e", F.lit(generalize)) * F.lit(float(max(1, total)) ** (1 - generalize)))
     both = stored(both, "pairs")
     share = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    shares = both.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et")) \
+    shares = both.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("m").alias("n_et")) \
         .where((F.col("n_et") >= MIN_SUPPORT) & (F.col("n_e") < total)).withColumn("share", share) \
         .where(F.col("share") >= generalize - 1e-12).select("entity", "term", "share")
     return both.select("row", "entity", "term").join(shares, ["entity", "term"]) \
