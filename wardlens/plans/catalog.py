@@ -705,26 +705,37 @@ def _fit(kind, train, **params):
     return scaled_pipeline(FEATURES, est).fit(tr)
 
 
-@register("cluster_model_reports")
-def cluster_model_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per priority cluster: class-weighted logistic fit on the 80 % part, class
-    report (precision / recall / f1 / support) on the 20 % part."""
+def _logistic_reports(df, cluster_col):
+    """Per cluster with both classes in both parts: class-weighted logistic fit on the
+    80 % part, class report on the 20 % part (one frame keyed by cluster); and the
+    skipped clusters as a column."""
     from wardlens.functions.columns import threshold
-    from wardlens.operators.models import fit_per_cluster, score_column
-    df = _model_frame(spark, sf_dir)
+    from wardlens.operators.models import fit_per_cluster, score_column, skipped_column
 
     def fit_eval(part):
         model = _fit("logistic", part.where(F.col("split") == "train"))
         pred = score_column(model.transform(part.where(F.col("split") == "test")), "logistic")
-        return evaluate.class_report(pred.withColumn("pred", threshold("score", 0.5)))
-    return fit_per_cluster(df, "priority", fit_eval).cache()
+        return pred.select("label", threshold("score", 0.5).alias("pred"))
+    df = df.select("label", "split", *dict.fromkeys([cluster_col, *FEATURES])).checkpoint(eager=True)   # read by every fit
+    preds, skipped = fit_per_cluster(df, cluster_col, fit_eval, test=F.col("split") == "test")
+    rep = evaluate.class_report(preds, group_cols=[cluster_col])
+    return rep.select(*[c for c in rep.columns if c != cluster_col], cluster_col).cache(), skipped_column(skipped)
+
+
+@register("cluster_model_reports")
+def cluster_model_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per priority cluster: class-weighted logistic fit on the 80 % part, class
+    report (precision / recall / f1 / support) on the 20 % part; ``skipped`` names
+    the clusters without both classes in both parts."""
+    rep, skipped = _logistic_reports(_model_frame(spark, sf_dir), "priority")
+    return rep.withColumn("skipped", skipped)
 
 
 @register("cluster_report_summary")
 def cluster_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and upper median over clusters of every metric, per class."""
-    rep = cluster_model_reports(spark, sf_dir)
-    return cohort.metric_summary(rep, ["class"], ["precision", "recall", "f1", "support"])
+    """Mean and upper median over clusters of every metric, per class; ``skipped`` as above."""
+    rep, skipped = _logistic_reports(_model_frame(spark, sf_dir), "priority")
+    return cohort.metric_summary(rep, ["class"], ["precision", "recall", "f1", "support"]).withColumn("skipped", skipped)
 
 
 @register("oof_evaluation")
@@ -981,21 +992,14 @@ def cluster_cross_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("chapter_model_reports")
 def chapter_model_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per hierarchy chapter with enough stays of both classes: class-weighted
-    logistic fit on the 80 % part, class report on the 20 % part; then mean,
-    support-weighted mean and upper median per class and metric over the chapters."""
-    from wardlens.functions.columns import threshold
-    from wardlens.operators.models import fit_per_cluster, score_column
+    """Per hierarchy chapter with both classes in both parts: class-weighted logistic
+    fit on the 80 % part, class report on the 20 % part; then mean, support-weighted
+    mean and upper median per class and metric over the chapters; ``skipped`` names
+    the other chapters."""
     ch = _stay_chapters(spark, sf_dir).select("hadm_id", "cluster")
     df = _model_frame(spark, sf_dir).join(ch, "hadm_id", "inner").where(F.col("cluster").isNotNull())
-
-    def fit_eval(part):
-        test = part.where(F.col("split") == "test")
-        model = _fit("logistic", part.where(F.col("split") == "train"))
-        pred = score_column(model.transform(test), "logistic")
-        return evaluate.class_report(pred.withColumn("pred", threshold("score", 0.5)))
-    rep = fit_per_cluster(df, "cluster", fit_eval, min_rows=200).cache()
-    return cohort.metric_summary(rep, ["class"], ["precision", "recall", "f1", "support"])
+    rep, skipped = _logistic_reports(df, "cluster")
+    return cohort.metric_summary(rep, ["class"], ["precision", "recall", "f1", "support"]).withColumn("skipped", skipped)
 
 
 @register("chapter_concentration", f"""
