@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
-from wardlens.operators import cohort
+from conftest import SF_MID, SF_SMALL
+from wardlens.operators import cluster, cohort
 from wardlens.operators.models import fit_per_cluster, skipped_column
 from wardlens.plans import catalog
 
@@ -27,3 +27,30 @@ def test_every_chapter_is_reported_or_skipped(spark, monkeypatch):
     fitted = {r[0] for r in reports[0].select("cluster").distinct().collect()}
     every = {r[0] for r in catalog._stay_chapters(spark, SF_MID).where("cluster IS NOT NULL").select("cluster").distinct().collect()}
     assert len(every) == 17 and fitted | skipped == every and not fitted & skipped
+
+
+def test_kmodes_fills_an_empty_cluster(spark):
+    sets = [["a"]] * 9 + [["b"]] * 9 + [["c"]] * 9 + [["a", "b"], ["b", "c"], ["d", "e", "f"]]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, cats array<string>")
+    for k in (2, 3, 4):
+        out, modes, cost, hist = cluster.kmodes(df, "cats", "id", k=k, n_init=4)
+        rows = out.collect()
+        assert {r["cluster"] for r in rows} == set(range(k)) and sum(r["cost"] for r in rows) == cost
+        for run in {h[0] for h in hist}:
+            costs = [h[2] for h in hist if h[0] == run]
+            assert all(b <= a for a, b in zip(costs, costs[1:])), costs
+    assert {r["cluster"] for r in cluster.kmodes(df.where("id < 9"), "cats", "id", k=3, n_init=2)[0].collect()} == {0}
+
+
+def test_loops_have_the_reference_sizes(spark, monkeypatch):
+    asked = {}
+    for name in ("kmodes", "som_clusters"):
+        monkeypatch.setattr(cluster, name, lambda *a, f=getattr(cluster, name), n=name, **k: (asked.update({n: (a[3:], k)}), f(*a, **k))[1])
+    sizes = catalog.kmodes_clusters(spark, SF_SMALL).groupBy("cluster").count().collect()
+    assert asked["kmodes"][1] == {"k": 3, "n_init": 100, "max_iter": 100} and len(sizes) == 3
+    units = catalog.som_clusters(spark, SF_SMALL).select("unit").distinct().count()
+    assert asked["som_clusters"][0] == (30, 30) and units > 100
+    assert [r["k"] for r in catalog.kmeans_elbow(spark, SF_SMALL).orderBy("k").collect()] == list(range(1, 11))
+    row = catalog.svd_singular_values(spark, SF_SMALL).first()
+    s = row["singular_values"]
+    assert len(row["svd"]) == len(s) == 50 and s == sorted(s, reverse=True) and s[0] == row["top_singular_value"] and 0.5 < row["explained_ratio"] <= 1

@@ -124,49 +124,101 @@ def _modes_literal(modes_by_run: dict[int, list[list[str]]]) -> Column:
     return F.create_map(*parts)
 
 
-def kmodes(df: DataFrame, set_col: str, key: str, k: int = 3, n_init: int = 10, max_iter: int = 20):
+def _kmodes_pass(sets: DataFrame, set_col: str, modes_by_run: dict[int, list[list[str]]], k: int) -> DataFrame:
+    """One pass over distinct sets with counts ``n``: ``(run, cluster, item, n, cost)``, rows
+    that hold the item per run and cluster; the row without an item has the cluster's size and cost."""
+    runs = sorted(modes_by_run)
+    flat = [set(m) for r in runs for m in modes_by_run[r]]
+
+    def step(batches):
+        import numpy as np
+        import pandas as pd
+        run_of, cluster_of = np.repeat(np.array(runs, dtype="int32"), k), np.tile(np.arange(k, dtype="int32"), len(runs))
+        for pdf in batches:
+            for lo in range(0, len(pdf), 2048):
+                part = [list(v) for v in pdf[set_col].iloc[lo:lo + 2048]]
+                n = pdf["n"].iloc[lo:lo + 2048].to_numpy().astype(float)
+                names = sorted({v for row in part for v in row})
+                at = {v: i for i, v in enumerate(names)}
+                x = np.zeros((len(part), len(names)))
+                for i, row in enumerate(part):
+                    x[i, [at[v] for v in row]] = 1
+                m = np.zeros((len(flat), len(names)))
+                for j, mode in enumerate(flat):
+                    m[j, [at[v] for v in mode if v in at]] = 1
+                cost = x.sum(1)[:, None] + np.array([len(mode) for mode in flat])[None, :] - 2 * x @ m.T
+                cost = cost.reshape(len(part), len(runs), k)
+                held = np.zeros(cost.shape)   # the count of each set at its nearest mode, ties to the first
+                np.put_along_axis(held, cost.argmin(2)[:, :, None], n[:, None, None], 2)
+                size, total = held.sum(0).ravel(), (held * cost).sum(0).ravel()
+                counts = held.reshape(len(part), -1).T @ x
+                c, i = np.nonzero(counts)
+                some = np.nonzero(size)[0]
+                yield pd.DataFrame({"run": run_of[np.r_[some, c]], "cluster": cluster_of[np.r_[some, c]],
+                                    "item": [None] * len(some) + [names[j] for j in i],
+                                    "n": np.r_[size[some], counts[c, i]].astype("int64"),
+                                    "cost": np.r_[total[some], np.zeros(len(c))].astype("int64")})
+    return sets.mapInPandas(step, "run int, cluster int, item string, n long, cost long") \
+        .groupBy("run", "cluster", "item").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"))
+
+
+def _farthest_sets(sets: DataFrame, set_col: str, modes_by_run: dict[int, list[list[str]]]) -> dict[int, list[str]]:
+    """Per run the set with the largest mismatch to its nearest mode, where that is above 0."""
+    x = sets.select(set_col, F.explode(F.array(*[F.lit(r) for r in modes_by_run])).alias("run"))
+    costs = F.transform(F.element_at(_modes_literal(modes_by_run), F.col("run")),
+                        lambda m: F.size(set_col) + F.size(m) - 2 * F.size(F.array_intersect(F.col(set_col), m)))
+    far = x.groupBy("run").agg(F.max(F.struct(F.array_min(costs).alias("cost"), F.col(set_col).alias("s"))).alias("far")).collect()
+    return {r["run"]: list(r["far"]["s"]) for r in far if r["far"]["cost"] > 0}
+
+
+def kmodes(df: DataFrame, set_col: str, key: str, k: int = 3, n_init: int = 100, max_iter: int = 100):
     """K-modes with set dissimilarity and ``n_init`` hash-seeded restarts, all
-    restarts advanced together: each iteration is one pass over the rows exploded
-    by active run (assignment against that run's modes, carried as a bounded
-    literal map), one aggregate of per-run costs and one of per-(run, cluster,
-    item) counts for the new modes.  A run stops when its modes stop changing;
-    the run with the lowest total mismatch wins.  Returns (assigned frame, modes,
+    restarts advanced together: each iteration is one pass over the distinct sets with
+    their counts (assignment against every active run's modes and one aggregate of
+    per-(run, cluster, item) counts for the new modes).  The mode of a cluster without
+    rows is reseeded by the set farthest from its nearest mode, one a run and iteration.
+    A run stops when its modes were had before; the run with the fewest empty clusters,
+    then the lowest total mismatch, wins.  Returns (assigned frame, modes,
     cost, history) where history lists (run, iteration, cost)."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    base = df.select(key, set_col).checkpoint(eager=True)   # reliable checkpoint, shared folder
-    modes = initial_modes_all_runs(base, set_col, key, k, n_init)
+    base = df.select(key, F.array_sort(F.array_distinct(set_col)).alias(set_col)).checkpoint(eager=True)   # reliable checkpoint, shared folder
+    sets = base.where(F.col(set_col).isNotNull()).groupBy(set_col) \
+        .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias(key)).checkpoint(eager=True)
+    modes = initial_modes_all_runs(sets, set_col, key, k, n_init)
     active = sorted(modes)
-    history, final, used = [], {}, {}
+    history, best, seen = [], {}, {r: set() for r in modes}
     for it in range(max_iter):
         if not active:
             break
-        lit_modes = _modes_literal({r: modes[r] for r in active})
-        x = base.select(key, set_col, F.explode(F.array(*[F.lit(r) for r in active])).alias("run"))
-        m = F.element_at(lit_modes, F.col("run"))
-        costs = F.transform(m, lambda mm: F.size(F.col(set_col)) + F.size(mm) - 2 * F.size(F.array_intersect(F.col(set_col), mm)))
-        assigned = x.withColumn("_c", costs).withColumn("cluster", (F.array_position("_c", F.array_min("_c")) - 1).cast("int")) \
-            .withColumn("cost", F.array_min("_c")).drop("_c")
-        totals = {r["run"]: int(r["c"] or 0) for r in assigned.groupBy("run").agg(F.sum("cost").alias("c")).collect()}
-        sizes = assigned.groupBy("run", "cluster").agg(F.count(F.lit(1)).alias("size"))
-        items = assigned.select("run", "cluster", F.explode(F.array_distinct(set_col)).alias("item")) \
-            .groupBy("run", "cluster", "item").agg(F.count(F.lit(1)).alias("n"))
-        keep = items.join(sizes, ["run", "cluster"]).where(2 * F.col("n") > F.col("size")) \
-            .groupBy("run", "cluster").agg(F.sort_array(F.collect_list("item")).alias("m")).collect()  # runs x k rows
+        tot = _kmodes_pass(sets, set_col, {r: modes[r] for r in active}, k).persist(StorageLevel.MEMORY_AND_DISK)
+        size, cost = {}, dict.fromkeys(active, 0)
+        for row in tot.where(F.col("item").isNull()).collect():   # runs x k rows
+            size[row["run"], row["cluster"]] = row["n"]
+            cost[row["run"]] += row["cost"]
         new = {r: [[] for _ in range(k)] for r in active}
-        for row in keep:
-            new[row["run"]][row["cluster"]] = list(row["m"])
-        still = []
+        if size:
+            of = F.create_map(*[F.lit(v) for (r, c), n in size.items() for v in (r * k + c, n)])
+            keep = tot.where(F.col("item").isNotNull() & (2 * F.col("n") > F.element_at(of, F.col("run") * k + F.col("cluster")))) \
+                .groupBy("run", "cluster").agg(F.sort_array(F.collect_list("item")).alias("m")).collect()  # runs x k rows
+            for row in keep:
+                new[row["run"]][row["cluster"]] = list(row["m"])
+        tot.unpersist()
+        empty = {r: [c for c in range(k) if (r, c) not in size] for r in active}
         for r in active:
-            history.append((r, it, totals.get(r, 0)))
-            final[r] = totals.get(r, 0)
-            used[r] = modes[r]
-            if new[r] != modes[r]:
-                modes[r] = new[r]
-                still.append(r)
-        active = still
-    best = min(final, key=lambda r: (final[r], r))
+            history.append((r, it, cost[r]))
+            seen[r].add(tuple(map(tuple, modes[r])))
+            best[r] = min(best.get(r, (k + 1, 0, 0, [])), (len(empty[r]), cost[r], it, modes[r]))
+            for c in empty[r]:   # a mode without rows stays until it is reseeded
+                new[r][c] = modes[r][c]
+        lacking = {r: new[r] for r in active if empty[r]}
+        for r, s in (_farthest_sets(sets, set_col, lacking) if lacking else {}).items():
+            new[r][empty[r][0]] = s
+        active = [r for r in active if tuple(map(tuple, new[r])) not in seen[r]]
+        modes |= {r: new[r] for r in active}
+    run = min(best, key=lambda r: (*best[r][:2], r))
     # the modes the winning run's recorded cost was measured with
-    return kmodes_assign(base, set_col, used[best]), used[best], final[best], history
+    return kmodes_assign(base, set_col, best[run][3]), best[run][3], best[run][1], history
 
 
 # ---------------------------------------------------------------- k-means

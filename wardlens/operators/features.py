@@ -141,5 +141,14 @@ def truncated_svd(df: DataFrame, k: int, input_col: str = "features"):
     v = svd.V.toArray()   # d x k, bounded by the feature width
     arr = vector_to_array(input_col)
     proj = [F.aggregate(F.zip_with(arr, F.array(*[F.lit(float(x)) for x in v[:, j]]), lambda a, b: a * b),
-                        F.lit(0.0), lambda acc, x: acc + x) for j in range(k)]
+                        F.lit(0.0), lambda acc, x: acc + x) for j in range(v.shape[1])]   # a lower rank gives fewer than k
     return df.withColumn("svd", F.array(*proj)), list(svd.s.toArray())
+
+
+def explained_ratio(projected: DataFrame, width: int, k: int, input_col: str = "features", out: str = "svd") -> float:
+    """Share of the columns' total variance that the ``k`` projected columns hold."""
+    from pyspark.ml.functions import vector_to_array
+    x = projected.select(vector_to_array(input_col).alias("x"), F.col(out).alias("p"))
+    row = x.agg(*[F.var_pop(F.col("p")[j]) for j in range(k)], *[F.var_pop(F.col("x")[j]) for j in range(width)]).first()
+    total = sum(v or 0.0 for v in row[k:])
+    return sum(v or 0.0 for v in row[:k]) / total if total else 0.0

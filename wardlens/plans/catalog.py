@@ -649,12 +649,12 @@ def kmodes_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("kmodes_clusters")
-def kmodes_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full k-modes (k = 3, 10 restarts advanced together; n_init=100 runs the same
-    way, one pass per iteration) on the stays' category sets: stay, cluster, cost."""
+def kmodes_clusters(spark: SparkSession, sf_dir: str, n_init: int = 100, max_iter: int = 100) -> DataFrame:
+    """Full k-modes (k = 3, 100 restarts advanced together, one pass per iteration) on
+    the stays' category sets: stay, cluster, cost."""
     from wardlens.operators.cluster import kmodes
     sets = _sets(spark, sf_dir)
-    assigned, _, _, _ = kmodes(sets, "categories", "hadm_id", k=3, n_init=10, max_iter=10)
+    assigned, _, _, _ = kmodes(sets, "categories", "hadm_id", k=3, n_init=n_init, max_iter=max_iter)
     return assigned.select("hadm_id", "cluster", "cost")
 
 
@@ -667,12 +667,12 @@ def kmodes_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("kmeans_elbow")
-def kmeans_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inertia of k-means for k = 1..6 on the embeddings."""
+def kmeans_elbow(spark: SparkSession, sf_dir: str, max_k: int = 10) -> DataFrame:
+    """Inertia of k-means for k = 1..10 on the embeddings."""
     from pyspark.ml.functions import array_to_vector
     from wardlens.operators.cluster import kmeans_elbow as elbow
     emb = B.table(spark, sf_dir, "embeddings").select(array_to_vector("embedding").alias("features"))
-    return elbow(emb.cache(), "features", range(1, 7))
+    return elbow(emb.cache(), "features", range(1, max_k + 1))
 
 
 @register("kmeans_labels")
@@ -883,14 +883,17 @@ def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("svd_singular_values")
-def svd_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank-10 truncated SVD of the embedding matrix: singular values and the
-    projected rows."""
+def svd_singular_values(spark: SparkSession, sf_dir: str, dims: int = 50) -> DataFrame:
+    """Rank-50 truncated SVD of the embedding matrix: the projected rows, all singular
+    values and the explained variance ratio."""
     from pyspark.ml.functions import array_to_vector
-    from wardlens.operators.features import truncated_svd
+    from wardlens.operators.features import explained_ratio, truncated_svd
     emb = B.table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    proj, s = truncated_svd(emb, 10)
-    return proj.select("vec_id", "svd", F.lit(float(s[0])).alias("top_singular_value"))
+    width = emb.first()["features"].size
+    proj, s = truncated_svd(emb, min(dims, width))
+    return proj.select("vec_id", "svd", F.lit(float(s[0])).alias("top_singular_value"),
+                       F.array(*[F.lit(float(v)) for v in s]).alias("singular_values"),
+                       F.lit(explained_ratio(proj, width, len(s))).alias("explained_ratio"))
 
 
 @register("category_tfidf")
@@ -962,8 +965,8 @@ def stay_code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("som_clusters")
-def som_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Self-organising map (10 x 10, batch, 2 rough + 2 fine epochs) on the
+def som_clusters(spark: SparkSession, sf_dir: str, side: int = 30) -> DataFrame:
+    """Self-organising map (30 x 30, batch, 2 rough + 2 fine epochs) on the
     variance-normalised category incidence of every stay; units clustered by
     k-means (k = 3); stay -> unit -> cluster."""
     from pyspark.ml.functions import vector_to_array
@@ -979,7 +982,7 @@ def som_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     sd = [r["s"] or 1.0 for r in stats]
     z = x.select("hadm_id", F.transform("v", lambda b, i: (b - F.element_at(F.array(*[F.lit(v) for v in m]), i + 1))
                                         / F.element_at(F.array(*[F.lit(v) for v in sd]), i + 1)).alias("v"))
-    return som(z.checkpoint(eager=True) if n else z, "v", "hadm_id", 10, 10, k=3, rough_epochs=2, finetune_epochs=2)
+    return som(z.checkpoint(eager=True) if n else z, "v", "hadm_id", side, side, k=3, rough_epochs=2, finetune_epochs=2)
 
 
 @register("cluster_cross_tab", f"""
