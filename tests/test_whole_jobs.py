@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
-from wardlens.operators import cluster, cohort
+from wardlens.operators import attribution, cluster, cohort, models
 from wardlens.operators.models import fit_per_cluster, skipped_column
 from wardlens.plans import catalog
 
@@ -54,3 +54,30 @@ def test_loops_have_the_reference_sizes(spark, monkeypatch):
     row = catalog.svd_singular_values(spark, SF_SMALL).first()
     s = row["singular_values"]
     assert len(row["svd"]) == len(s) == 50 and s == sorted(s, reverse=True) and s[0] == row["top_singular_value"] and 0.5 < row["explained_ratio"] <= 1
+
+
+def test_searches_have_the_reference_sizes(spark, monkeypatch):
+    asked = {}
+    small = {"staged_search": lambda df, make, stages, fold, **k: (None, df.select(fold).distinct()),
+             "grid_search": lambda df, est, *a, **k: (asked.update(max_iter=est.getMaxIter()), df, None)}
+    monkeypatch.setattr(models, "staged_search", lambda df, make, stages, fold: (asked.update(stages=stages), small["staged_search"](df, make, stages, fold))[1])
+    monkeypatch.setattr(models, "grid_search", small["grid_search"])
+    assert catalog.staged_search_progress(spark, SF_SMALL).count() == 5
+    assert [len(list(v)) for stage in asked["stages"] for v in stage.values()] == [20, 9, 9, 5, 9, 9]
+    catalog.grid_search_results(spark, SF_SMALL)
+    assert asked["max_iter"] == 100
+    monkeypatch.setattr(attribution, "importance_runs", lambda fit, df, f, seeds: (asked.update(seeds=seeds), df)[1])
+    monkeypatch.setattr(cohort, "importance_stats", lambda runs: runs)
+    catalog.importance_stability(spark, SF_SMALL)
+    assert len(set(asked["seeds"])) == 500
+    monkeypatch.setattr(attribution, "sampled_shapley", lambda *a, **k: (asked.update(k), a[1])[1])
+    catalog.sampled_shapley(spark, SF_SMALL)
+    assert asked["n_perm"] * 2 * len(catalog.FEATURES) >= 2 * len(catalog.FEATURES) + 2048
+
+
+def test_every_stage_and_refit_runs(spark):
+    stages = [{k: list(v)[:2] if k != "maxIter" else [2, 3] for k, v in s.items()} for s in catalog.SEARCH_STAGES]
+    prog = catalog.staged_search_progress(spark, SF_SMALL, stages=stages, folds=2).orderBy("stage").collect()
+    assert len(prog) == 4 and all(p in prog[-1]["params"] for s in stages for p in s)
+    stable = catalog.importance_stability(spark, SF_SMALL, refits=5).collect()
+    assert len(stable) == len(catalog.FEATURES) and sum(r["times_in_top"] for r in stable) == 5 * 7

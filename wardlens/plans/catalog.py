@@ -749,26 +749,32 @@ def oof_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("grid_search_results")
-def grid_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid_search_results(spark: SparkSession, sf_dir: str, max_iter: int = 100) -> DataFrame:
     """Exhaustive grid over the logistic penalty with 5-fold mean / std ROC area and rank."""
     from wardlens.operators.models import add_class_weight, grid_search, make_estimator
     from wardlens.operators.features import assemble
     df = add_class_weight(assemble(_model_frame(spark, sf_dir), FEATURES)).cache()
-    est = make_estimator("logistic", weight_col="weight", maxIter=10)
+    est = make_estimator("logistic", weight_col="weight", maxIter=max_iter)
     _, res, _ = grid_search(df, est, {"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]}, "fold")
     return res
 
 
+# The stages of the original search that have a Spark parameter (not those of the L1 penalty).
+SEARCH_STAGES = ({"maxIter": range(50, 250, 10)},
+                 {"maxDepth": range(1, 10), "minInstancesPerNode": range(1, 10)},
+                 {"minInfoGain": [i / 10 for i in range(5)]},
+                 {"subsamplingRate": [i / 10 for i in range(1, 10)], "featureSubsetStrategy": [str(i / 10) for i in range(1, 10)]})
+
+
 @register("staged_search_progress")
-def staged_search_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinate search for boosted trees: depth, then min rows per node, then
-    row sampling, each stage from the best so far; score per stage."""
+def staged_search_progress(spark: SparkSession, sf_dir: str, stages=SEARCH_STAGES, folds: int = 5) -> DataFrame:
+    """Coordinate search for boosted trees: rounds, then depth x min rows per node, then
+    min gain, then row x column sampling, each stage from the best so far; score per stage."""
     from wardlens.operators.models import add_class_weight, make_estimator, staged_search
     from wardlens.operators.features import assemble
     df = _model_frame(spark, sf_dir).drop("fold")
-    df = add_class_weight(assemble(ntile_folds(df, "hadm_id", 3, ["label"]), FEATURES)).cache()
-    stages = [{"maxDepth": [2, 3]}, {"minInstancesPerNode": [1, 20]}, {"subsamplingRate": [0.8, 1.0]}]
-    _, prog = staged_search(df, lambda p: make_estimator("gbt", weight_col="weight", maxIter=5, **p), stages, "fold")
+    df = add_class_weight(assemble(ntile_folds(df, "hadm_id", folds, ["label"]), FEATURES)).cache()
+    _, prog = staged_search(df, lambda p: make_estimator("gbt", weight_col="weight", **p), stages, "fold")
     return prog
 
 
@@ -802,11 +808,11 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("importance_stability")
-def importance_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, population std and top-7 count of forest importances over 3 seeded refits."""
+def importance_stability(spark: SparkSession, sf_dir: str, refits: int = 500) -> DataFrame:
+    """Mean, population std and top-7 count of forest importances over 500 seeded refits."""
     from wardlens.operators.attribution import importance_runs
     df = _model_frame(spark, sf_dir).cache()
-    runs = importance_runs(lambda s, d: _fit("random_forest", d, seed=s).stages[-1], df, FEATURES, [1, 2, 3])
+    runs = importance_runs(lambda s, d: _fit("random_forest", d, seed=s).stages[-1], df, FEATURES, range(1, refits + 1))
     return cohort.importance_stats(runs)
 
 
@@ -841,10 +847,14 @@ def linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lin(zscore(df, FEATURES), FEATURES, w)
 
 
+SHAPLEY_ORDERS = -(-(2 * len(FEATURES) + 2048) // (2 * len(FEATURES)))   # an order scores 2 M vectors
+
+
 @register("sampled_shapley")
-def sampled_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled Shapley values of a boosted-tree probability for every stay (4 sampled
-    feature orders each), against a 10-centre k-means background of all stays."""
+def sampled_shapley(spark: SparkSession, sf_dir: str, n_perm: int = SHAPLEY_ORDERS) -> DataFrame:
+    """Sampled Shapley values of a boosted-tree probability for every stay, against a
+    10-centre k-means background of all stays; as many sampled feature orders a stay as
+    give the kernel explainer's 2 M + 2048 scores (M features)."""
     from pyspark.ml import PipelineModel
     from wardlens.operators.attribution import sampled_shapley as shap
     from wardlens.operators.cluster import background_summary
@@ -854,7 +864,7 @@ def sampled_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = PipelineModel(stages=model.stages[1:])
     bg = background_summary(assemble(df, FEATURES, out="features"), "features", k=10).collect()
     background = [r["centre"] for r in bg]
-    return shap(_RenamedModel(inner), df, background, FEATURES, "hadm_id", n_perm=4)
+    return shap(_RenamedModel(inner), df, background, FEATURES, "hadm_id", n_perm=n_perm)
 
 
 class _RenamedModel:
