@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
 from wardlens.operators import attribution, cluster, cohort, models
+from wardlens.operators.features import incidence_vectors, tfidf
 from wardlens.operators.models import fit_per_cluster, skipped_column
 from wardlens.plans import catalog
 
@@ -81,3 +82,9 @@ def test_every_stage_and_refit_runs(spark):
     assert len(prog) == 4 and all(p in prog[-1]["params"] for s in stages for p in s)
     stable = catalog.importance_stability(spark, SF_SMALL, refits=5).collect()
     assert len(stable) == len(catalog.FEATURES) and sum(r["times_in_top"] for r in stable) == 5 * 7
+
+
+def test_no_item_is_dropped_from_the_vocabulary(spark):
+    df = spark.range(270_000).select(F.array(F.col("id").cast("string")).alias("items"))
+    assert len(incidence_vectors(df, "items")[1]) == 270_000
+    assert tfidf(df.limit(5), "items").count() == 5

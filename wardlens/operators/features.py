@@ -77,11 +77,16 @@ def incidence_long(df: DataFrame, key: str, array_col: str, item: str = "item")
     return df.select(key, F.explode(F.array_distinct(array_col)).alias(item)).distinct()
 
 
+def vocab_size(df: DataFrame, array_col: str) -> int:
+    """Distinct items: ``CountVectorizer`` drops the rarest beyond its ``vocabSize`` (262,144 by default)."""
+    return max(1, df.select(F.explode(array_col).alias("item")).distinct().count())
+
+
 def incidence_vectors(df: DataFrame, array_col: str, out: str = "bow", min_df: float = 1.0):
     """Binary bag-of-items vectors (sparse) with Spark ML ``CountVectorizer``.
     Returns (transformed frame, vocabulary)."""
     from pyspark.ml.feature import CountVectorizer
-    model = CountVectorizer(inputCol=array_col, outputCol=out, binary=True, minDF=min_df).fit(df)
+    model = CountVectorizer(inputCol=array_col, outputCol=out, binary=True, minDF=min_df, vocabSize=vocab_size(df, array_col)).fit(df)
     return model.transform(df), model.vocabulary
 
 
@@ -90,7 +95,7 @@ def tfidf(df: DataFrame, array_col: str, out: str = "tfidf", smooth_plus_one: bo
     added here) and l2 row normalisation."""
     from pyspark.ml.feature import CountVectorizer, IDF, Normalizer
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    cv = CountVectorizer(inputCol=array_col, outputCol="_tf").fit(df)
+    cv = CountVectorizer(inputCol=array_col, outputCol="_tf", vocabSize=vocab_size(df, array_col)).fit(df)
     tf = cv.transform(df)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf)
     x = idf.transform(tf)
