@@ -20,7 +20,7 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in E.oracle_sql()])
 def test_query_matches_oracle(spark, name):
-    from conftest import SF_SMALL
+    from sf_dirs import SF_SMALL
     import oracle_compare
     oracle_compare.STRICT = True   # exact float equality, as a value hash would see it
     res = compare(spark, SF_SMALL, [name], verbose=False)

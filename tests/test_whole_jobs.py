@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from sf_dirs import SF_MID, SF_SMALL
 from wardlens.operators import attribution, cluster, cohort, models
 from wardlens.operators.features import incidence_vectors, tfidf
 from wardlens.operators.models import fit_per_cluster, skipped_column
