@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import chat, hashtree, idfile, packing, pii, simjoin, spm, spotsigs, topk, toxicity
+from wardlens.llm import chat, hashtree, idfile, packing, pii, repair, simjoin, spm, spotsigs, stable, topk, toxicity, whitening
 from wardlens.llm.common import ship, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,18 @@ def op10_simjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.jaccard_classes(table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("cls", "root")
 
 
+def op11_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +77,6 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_topk, op2_merge_dropout, op3_pii, op4_packing, op5_toxicity, op6_chat, op7_idfile, op8_hashtree, op9_spotsigs, op10_simjoin)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_topk, op2_merge_dropout, op3_pii, op4_packing, op5_toxicity, op6_chat, op7_idfile, op8_hashtree, op9_spotsigs, op10_simjoin,
+                                                op11_stable, op12_repair, op13_whitening)}
 ORACLE = {"op1_topk": topk.ORACLE, "op6_chat": chat.ORACLE}
