@@ -162,6 +162,42 @@ def test_blocks_below_the_threshold_are_not_opened(monkeypatch):
     assert sum(opened) < 600
 
 
+def test_share_of_postings_scored(spark):
+    """With the production setting, queries that have met one shard score less than 0.6 of their terms' postings in the
+    next, and less than 0.75 with the block maxima that they look at; the result is whole."""
+    mid_rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 6000").select("doc_id", "text").collect()]
+    half = len(mid_rows) // 2
+    shards, lengths = [], []
+    for part in (mid_rows[:half], mid_rows[half:]):
+        row = next(iter(_index_rows([t for _, t in part])))
+        shards.append(row)
+        lengths.append(np.frombuffer(row["lengths"], np.int64))
+    mean = float(np.concatenate(lengths).mean())
+    asked = [np.unique(topk.text_terms(pa.array([t]))[0]) for _, t in mid_rows[::50]]
+    terms, bounds = np.concatenate(asked), np.concatenate([[0], np.cumsum([len(a) for a in asked])])
+    frequency = {}
+    for row in shards:
+        for t, n in zip(np.frombuffer(row["terms"], np.int64).tolist(), np.diff(np.frombuffer(row["starts"], np.int64)).tolist()):
+            frequency[t] = frequency.get(t, 0) + n
+    df = np.array([frequency[t] for t in terms.tolist()])
+    weights = np.log(1 + (len(mid_rows) - df + 0.5) / (df + 0.5))
+    first, second = (topk.Shard(r, mean) for r in shards)
+    floors = np.zeros(len(asked))
+    for q, _, score in first.search(bounds, terms, weights, floors, 10):
+        floors[q] = np.sort(score)[-10] if len(score) >= 10 else 0
+    found = {q: dict(zip(place.tolist(), score.tolist())) for q, place, score in second.search(bounds, terms, weights, floors, 10)}
+    assert second.scored < 0.6 * second.asked and second.scored + second.looked < 0.75 * second.asked and first.scored < first.asked
+    for q, own in enumerate(np.split(np.arange(len(terms)), bounds[1:-1])):
+        score = np.zeros(len(second.docs))
+        for i in own:
+            if terms[i] in second.terms:
+                at = int(np.searchsorted(second.terms, terms[i]))
+                run = slice(second.starts[at], second.starts[at + 1])
+                score[second.places[run]] += np.floor(weights[i] * second.parts[run] * topk.UNIT + 0.5)
+        best = max(floors[q], np.sort(score)[-10], 1)
+        assert found.get(q, {}) == {int(p): int(score[p]) for p in np.flatnonzero(score >= best)}
+
+
 def _index_rows(texts):
     """Rows of the index, built without a session."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
