@@ -19,8 +19,8 @@ from wardlens.llm.common import ragged
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words and ids that a worker remembers at most.
-MAX_WORDS = 1_000_000
-MAX_IDS = 8_000_000
+MAX_WORDS = 250_000
+MAX_IDS = 2_000_000
 #: Put between words that are encoded together; a single id which words seldom contain.
 SEPARATOR = "日"
 

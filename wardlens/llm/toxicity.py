@@ -31,8 +31,9 @@ MIN_DOCS = 3
 #: Features with a smaller log-count ratio than this, either way, are not used.
 MIN_RATIO = 2.0
 THRESHOLD = 0.7
-#: Words whose features a worker remembers at most.
-MAX_WORDS = 400_000
+#: Words whose features a task remembers at most; bytes of text whose features it has at a time.
+MAX_WORDS = 100_000
+TEXT_BYTES = 500_000
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -91,6 +92,7 @@ class Features:
             self._learn(new)
         offsets = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
         text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        # a word counts once in a text, before its features are laid out
         pair = np.unique(text * len(unique) + coded.indices.to_numpy())
         text, word = np.divmod(pair, max(1, len(unique)))
         number = unique[word] if len(unique) else word
@@ -162,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         schema = pa.schema([("label", pa.int32()), ("grams", pa.binary())])
-        for part in chunks(batches):
+        for part in chunks(batches, chars=TEXT_BYTES):
             text, feature = features.of(column(part, "text"))
             cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
             yield rows(schema, column(part, "_label"),
@@ -183,7 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         features = Features(own.renumber)
-        for part in chunks(batches):
+        for part in chunks(batches, chars=TEXT_BYTES):
             yield rows(_SCORED, column(part, "doc_id"), own.scores(features, column(part, "text")))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -202,6 +204,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         features = Features(own.renumber)
-        for part in chunks(batches):
+        for part in chunks(batches, chars=TEXT_BYTES):
             yield part.filter(pa.array(own.scores(features, column(part, "text")) < threshold))
     return docs.mapInArrow(run, docs.schema)
