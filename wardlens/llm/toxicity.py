@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import chunks, column, ragged, rows, splitmix
+from wardlens.llm.common import chunks, column, ragged, rows, splitmix, stored
 
 BUCKETS = 1 << 20
 ORDERS = (3, 4, 5, 6)
@@ -112,25 +112,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(sample: list[np.ndarray], labels: np.ndarray, penalty: float = 1e-3, rounds: int = 200) -> Model:
-    """Log-count ratios of the features and a logistic regression on the scaled features (full batches,
-    Adam, both labels with equal weight in total)."""
+def ratios(positive: float, total: float, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Log-count ratios of features held by ``p`` toxic and ``q`` other documents of ``total``."""
+    return np.log((p + 1) / (positive + 2)) - np.log((q + 1) / (total - positive + 2))
+
+
+def fit(sample: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, penalty: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on the features scaled by their ratios (full batches, Adam, both
+    labels with equal weight in total); the documents hold numbers of the features in use."""
     positive = float((labels == 1).sum())
-    none = np.full(BUCKETS, -1, np.int32)
-    if positive in (0.0, float(len(labels))):
-        share = (positive + 1) / (len(labels) + 2)
-        return Model(np.zeros(1), float(np.log(share / (1 - share))), none)
-    bad = labels == 1
-    p = np.bincount(np.concatenate([x for x, t in zip(sample, bad) if t]), minlength=BUCKETS) + 1.0
-    q = np.bincount(np.concatenate([x for x, t in zip(sample, bad) if not t]), minlength=BUCKETS) + 1.0
-    used = p + q - 2 >= MIN_DOCS
-    ratio = np.log(p / (positive + 2)) - np.log(q / (len(labels) - positive + 2))
-    used &= np.abs(ratio) >= MIN_RATIO
-    renumber = none.copy()
-    renumber[used] = np.arange(int(used.sum()))
-    # only the features in use are kept of each text
-    kept = [(own := renumber[x])[own >= 0] for x in sample]
-    feature, doc, ratio = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(x) for x in kept]), ratio[used]
+    feature, doc = np.concatenate(sample), np.repeat(np.arange(len(sample)), [len(x) for x in sample])
     values = ratio[feature]
     balance = np.where(labels == 1, 0.5 / positive, 0.5 / (len(labels) - positive))
     weight, bias = np.zeros(len(ratio)), 0.0
@@ -143,7 +134,7 @@ def fit(sample: list[np.ndarray], labels: np.ndarray, penalty: float = 1e-3, rou
         moments[1] = 0.999 * moments[1] + 0.001 * grad ** 2
         move = 0.01 * (moments[0] / (1 - 0.9 ** step)) / (np.sqrt(moments[1] / (1 - 0.999 ** step)) + 1e-8)
         weight, bias = weight - move[:-1], bias - move[-1]
-    return Model(weight * ratio, float(bias), renumber)
+    return weight * ratio, float(bias)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -170,12 +161,41 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
             yield rows(schema, column(part, "_label"),
                        [feature[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
 
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for label, grams in zip(column(batch, "label").to_pylist(), column(batch, "grams").to_pylist()):
+                held[label][np.frombuffer(grams, "<u4")] += 1
+        found = np.flatnonzero(held.sum(0))
+        yield rows(pa.schema([("feature", pa.int32()), ("p", pa.int64()), ("q", pa.int64())]), found, held[1][found], held[0][found])
+
     # ids that occur more than once give one row each: the first text by hash
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id") \
         .groupBy("doc_id", "_label").agg(F.min("text").alias("text")).select("_label", "text")
-    got = chosen.mapInArrow(extract, "label int, grams binary").toArrow()
-    grams = [np.frombuffer(b.as_py(), "<u4") for b in got["grams"]]
-    return fit(grams, got["label"].to_numpy().astype(np.float64))
+    sample_grams = stored(chosen.mapInArrow(extract, "label int, grams binary"), "grams")
+    of = {r["label"]: r["n"] for r in sample_grams.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    none = np.full(BUCKETS, -1, np.int32)
+    if len(of) < 2:
+        share = (of.get(1, 0) + 1) / (sum(of.values()) + 2)
+        return Model(np.zeros(1), float(np.log(share / (1 - share))), none)
+    # counts of the features stay with the tasks; those in use come here, at most one row a bucket
+    used = sample_grams.mapInArrow(count, "feature int, p long, q long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q")) \
+        .where(F.col("p") + F.col("q") >= MIN_DOCS)
+    positive, total = float(of[1]), float(sum(of.values()))
+    log_ratio = F.log((F.col("p") + 1) / F.lit(positive + 2)) - F.log((F.col("q") + 1) / F.lit(total - positive + 2))
+    used = used.where(F.abs(log_ratio) >= MIN_RATIO).toArrow().combine_chunks()
+    order = np.argsort(used["feature"].to_numpy())
+    none[used["feature"].to_numpy()[order]] = np.arange(len(order))
+    ratio = ratios(positive, total, used["p"].to_numpy()[order], used["q"].to_numpy()[order])
+    shared = docs.sparkSession.sparkContext.broadcast(none)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shared.value[np.frombuffer(g, "<u4")] for g in column(batch, "grams").to_pylist()]
+            yield rows(pa.schema([("label", pa.int32()), ("grams", pa.binary())]), column(batch, "label"), [x[x >= 0].tobytes() for x in own])
+    got = sample_grams.mapInArrow(keep, "label int, grams binary").toArrow()
+    weights, bias = fit([np.frombuffer(b.as_buffer(), np.int32) for b in got["grams"]], got["label"].to_numpy().astype(np.float64), ratio)
+    return Model(weights, bias, none)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
