@@ -1047,3 +1047,52 @@ def kmeans_label_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = kmeans_labels(spark, sf_dir).select("hadm_id", "cluster")
     sets = _sets(spark, sf_dir)
     return cohort.category_counts(labels.join(sets, "hadm_id"), "cluster", "categories")
+
+
+# ------------------------------------------------------------------ boosted trees with leaf penalties
+SPLIT_BINS = 16
+SPLIT_L1, SPLIT_L2, SPLIT_CHILD = 0.5, 1.0, 20.0
+
+
+def _split_sql() -> str:
+    bins = SPLIT_BINS
+    cells = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CASE WHEN hi.{c} > lo.{c} THEN CAST(greatest(least(floor((sf.{c} - lo.{c}) / ((hi.{c} - lo.{c}) / {bins})), {bins - 1}), 0) AS INTEGER) "
+        f"ELSE 0 END AS bin, sf.label FROM sf, lo, hi" for c in FEATURES)
+    def part(g, h):
+        return f"power(greatest(abs({g}) - {SPLIT_L1}, 0), 2) / ({h} + {SPLIT_L2})"
+    return f"""
+WITH {FEAT_CTE}, lo AS (SELECT {", ".join(f"min({c}) AS {c}" for c in FEATURES)} FROM sf), hi AS (SELECT {", ".join(f"max({c}) AS {c}" for c in FEATURES)} FROM sf),
+c AS (SELECT feature, bin, sum(0.5 - label) AS g, count(*) * 0.25 AS h FROM ({cells}) x GROUP BY feature, bin),
+w AS (SELECT feature, bin, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht
+      FROM c WINDOW u AS (PARTITION BY feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT feature, bin, CAST(gl AS DOUBLE) AS g_left, CAST(hl AS DOUBLE) AS h_left,
+       CASE WHEN hl >= {SPLIT_CHILD} AND ht - hl >= {SPLIT_CHILD} THEN round(CAST(({part("gl", "hl")} + {part("(gt - gl)", "(ht - hl)")} - {part("gt", "ht")}) / 2 AS DOUBLE), 6) END AS gain
+FROM w"""
+
+
+@register("first_split_table", _split_sql())
+def first_split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every split that the first boosting round weighs: gradient and hessian of the left side and the penalised gain,
+    per feature and bin (one aggregate of binned rows)."""
+    from wardlens.operators import boosting as bo
+    df = _stay_features(spark, sf_dir)
+    edges = bo.width_edges(df, FEATURES, SPLIT_BINS)
+    cells = bo.first_cells(df, FEATURES, edges, SPLIT_BINS)
+    p = bo.Penalties(l1=SPLIT_L1, l2=SPLIT_L2, min_child_weight=SPLIT_CHILD)
+    return bo.split_table(cells, p).withColumn("gain", F.round("gain", 6))
+
+
+@register("boosted_round_scores")
+def boosted_round_scores(spark: SparkSession, sf_dir: str, counts=(5, 10, 15, 20), folds: int = 5) -> DataFrame:
+    """The search over the number of rounds: one ensemble per fold, all folds fitted together, and every number of rounds
+    scored as a prefix of it in one pass; per number of rounds the pooled out-of-fold ROC area and log loss.  ``counts=range(50, 250, 10)`` is the original
+    search's first stage (240 rounds of three jobs each)."""
+    from wardlens.operators import boosting as bo
+    from wardlens.operators.models import add_class_weight
+    df = add_class_weight(_model_frame(spark, sf_dir).select("hadm_id", "label", "fold", *FEATURES)).checkpoint(eager=True)
+    model = bo.fit_boosted(df, FEATURES, max(counts), bo.Penalties(), weight_col="weight", fold_col="fold", folds=folds)
+    scored = bo.score_prefixes(df, model, list(counts), "fold", ["label"]).checkpoint(eager=True)
+    right = F.when(F.col("label") == 1, F.col("score")).otherwise(1 - F.col("score"))
+    loss = scored.groupBy("rounds").agg(F.avg(-F.log(F.greatest(right, F.lit(1e-15)))).alias("log_loss"))
+    return evaluate.roc_auc(scored, group_cols=["rounds"]).join(loss, "rounds").select("rounds", "auc", "log_loss")
