@@ -707,19 +707,16 @@ def _fit(kind, train, **params):
 
 def _logistic_reports(df, cluster_col):
     """Per cluster with both classes in both parts: class-weighted logistic fit on the
-    80 % part, class report on the 20 % part (one frame keyed by cluster); and the
-    skipped clusters as a column."""
+    80 % part (all clusters advance together), class report on the 20 % part (one frame
+    keyed by cluster); and the skipped clusters as a column."""
     from wardlens.functions.columns import threshold
-    from wardlens.operators.models import fit_per_cluster, score_column, skipped_column
-
-    def fit_eval(part):
-        model = _fit("logistic", part.where(F.col("split") == "train"))
-        pred = score_column(model.transform(part.where(F.col("split") == "test")), "logistic")
-        return pred.select("label", threshold("score", 0.5).alias("pred"))
-    df = df.select("label", "split", *dict.fromkeys([cluster_col, *FEATURES])).checkpoint(eager=True)   # read by every fit
-    preds, skipped = fit_per_cluster(df, cluster_col, fit_eval, test=F.col("split") == "test")
+    from wardlens.operators.models import skipped_column
+    from wardlens.operators.newton import grouped_logistic
+    df = df.select("label", "split", *dict.fromkeys([cluster_col, *FEATURES]))
+    scored, skipped, _ = grouped_logistic(df, cluster_col, FEATURES, test=F.col("split") == "test")
+    preds = scored.where(F.col("split") == "test").select(cluster_col, "label", threshold("score", 0.5).alias("pred"))
     rep = evaluate.class_report(preds, group_cols=[cluster_col])
-    return rep.select(*[c for c in rep.columns if c != cluster_col], cluster_col).cache(), skipped_column(skipped)
+    return rep.select(*[c for c in rep.columns if c != cluster_col], cluster_col), skipped_column(skipped)
 
 
 @register("cluster_model_reports")
@@ -1096,3 +1093,14 @@ def boosted_round_scores(spark: SparkSession, sf_dir: str, counts=(5, 10, 15, 20
     right = F.when(F.col("label") == 1, F.col("score")).otherwise(1 - F.col("score"))
     loss = scored.groupBy("rounds").agg(F.avg(-F.log(F.greatest(right, F.lit(1e-15)))).alias("log_loss"))
     return evaluate.roc_auc(scored, group_cols=["rounds"]).join(loss, "rounds").select("rounds", "auc", "log_loss")
+
+
+@register("cluster_newton_sums", f"WITH {FEAT_CTE} " + " UNION ALL ".join(
+    f"SELECT priority, '{t}' AS term, round(sum((0.5 - label) * {x}), 4) AS gradient, round(sum(0.25 * {x} * {x}), 2) AS curvature FROM sf GROUP BY priority"
+    for t, x in [("intercept", "1.0"), *((c, c) for c in ("quantity_mean", "discount_mean"))]))
+def cluster_newton_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First Newton step of the grouped logistic fit: gradient and curvature of every cluster's coefficients, one scan
+    for all clusters."""
+    from wardlens.operators.newton import first_step_sums
+    s = first_step_sums(_stay_features(spark, sf_dir), "priority", ["quantity_mean", "discount_mean"])
+    return s.select("priority", "term", F.round("gradient", 4).alias("gradient"), F.round("curvature", 2).alias("curvature"))
