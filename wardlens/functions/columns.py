@@ -106,6 +106,11 @@ def pad_to_width(arr_col, width: int, fill=0) -> Column:
     return F.concat(a, F.array_repeat(F.lit(fill), F.greatest(F.lit(width) - F.size(a), F.lit(0))))
 
 
+def replace_text(col, old: str, new: str) -> Column:
+    """Every occurrence of ``old`` replaced (plain text, no pattern)."""
+    return F.replace(_c(col), F.lit(old), F.lit(new))
+
+
 def squeeze_blanks(col) -> Column:
     return F.regexp_replace(F.trim(_c(col)), r"\s+", " ")
 

@@ -90,12 +90,12 @@ def linear_contributions(df: DataFrame, features: Sequence[str], weights: Sequen
 
 
 def sampled_shapley(model, rows: DataFrame, background: Sequence[Sequence[float]], features: Sequence[str],
-                    key: str, n_perm: int = 8, features_col: str = "features") -> DataFrame:
+                    key: str, n_perm: int = 8, features_col: str = "features", weights: Sequence[int] | None = None) -> DataFrame:
     """Sampled Shapley values (Strumbelj and Kononenko, 2014) of the positive-class
     probability, averaged as mean |value| per feature.
 
     For each row and sample m: a feature order and a background row are drawn
-    from a hash of (key, m); for feature j the model scores x with j and the
+    from a hash of (key, m), background rows in proportion to ``weights``; for feature j the model scores x with j and the
     features before j from x, the rest from the background row, and the same
     with j also from the background.  Rows x samples x features are exploded
     and scored by one ``transform``.
@@ -105,7 +105,9 @@ def sampled_shapley(model, rows: DataFrame, background: Sequence[Sequence[float]
     x = rows.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_m"))
     h = hash_bits(key, F.col("_m"))
-    x = x.withColumn("_z", F.element_at(bg, (h % len(background)).cast("int") + 1))
+    upto = [sum((weights or [1] * len(background))[:i + 1]) for i in range(len(background))]
+    drawn = F.size(F.filter(F.array(*[F.lit(int(u)) for u in upto]), lambda u: u <= h % int(upto[-1])))
+    x = x.withColumn("_z", F.element_at(bg, drawn + 1))
     # random order: sort features by a hash of (key, m, feature)
     order = F.array_sort(F.array(*[F.struct(hash_bits(key, F.concat_ws(":", F.col("_m").cast("string"), F.lit(f"f{i}"))).alias("r"), F.lit(i).alias("i"))
                                    for i in range(nf)]))

@@ -161,6 +161,24 @@ def code_lists(diag: DataFrame, key: str = "hadm_id", code_col: str = "icd9_code
     return diag.groupBy(key).agg(F.sort_array(F.collect_set(code_col)).alias("codes"))
 
 
+def ordered_blocks(df: DataFrame, key: str, order_col: str, value_col: str, size: int = 1000) -> DataFrame:
+    """The values of every key in the order of ``order_col`` (unique numbers), repeats kept, as arrays of at most
+    ``size`` values: ``key, block, values``.  A key with a third of all rows is many blocks, never one array."""
+    from wardlens.operators.ordered import row_numbers
+    numbered = row_numbers(df.select(key, order_col, value_col), order_col, [key], name="_at")
+    block = F.floor((F.col("_at") - 1) / size).cast("long")
+    ordered = F.sort_array(F.collect_list(F.struct("_at", value_col)))
+    return numbered.groupBy(key, block.alias("block")).agg(F.transform(ordered, lambda s: s[value_col]).alias("values"))
+
+
+def prefix_flags(diag: DataFrame, prefixes: DataFrame, names: list[str], key: str = "hadm_id", code_col: str = "icd9_code") -> DataFrame:
+    """One row per key and a 0 / 1 column for each category in ``names``: whether one of its codes has the category by
+    its longest matching prefix.  Distinct codes are looked up, then joined back."""
+    found = prefix_categories(diag.select(code_col).where(F.col(code_col).isNotNull()).distinct(), code_col, prefixes)
+    j = diag.select(key, code_col).join(found, code_col, "left")
+    return j.groupBy(key).agg(*[F.max(F.coalesce((F.col("category") == n).cast("int"), F.lit(0))).alias(n) for n in names])
+
+
 def attach_codes(stays: DataFrame, lists: DataFrame, key: str = "hadm_id", col: str = "codes") -> DataFrame:
     """Left lookup: stays without codes get an empty list."""
     return stays.join(lists, key, "left").withColumn(

@@ -256,3 +256,35 @@ def mean_roc(spark: SparkSession, pred: DataFrame, fold_col: str = "fold", score
     out = seg.withColumn("auc", F.sum("_s").over(Window.partitionBy(*g)))
     return out.select(*g, "i", F.round("x", digits).alias("x"), F.round("tpr", digits).alias("tpr"),
                       F.round("auc", digits).alias("auc")).drop(*extra)
+
+
+SCORES = ("accuracy", "precision", "recall", "f1", "balanced_accuracy")
+
+
+def fold_scores(pred: DataFrame, point_cols: Sequence[str], fold_col: str = "fold", label_col: str = "label", pred_col: str = "pred") -> DataFrame:
+    """Every score of every (point, fold) from one aggregate of pooled fold predictions: ``point, fold, metric, value``.
+    Undefined ratios are 0."""
+    n = lambda y, q: F.sum(F.when((F.col(label_col) == y) & (F.col(pred_col) == q), 1).otherwise(0)).cast("double")
+    c = pred.groupBy(*point_cols, fold_col).agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"))
+
+    def share(a: str, b: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0))
+    precision, recall, specificity = share("tp", "fp"), share("tp", "fn"), share("tn", "fp")
+    values = {"accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), "precision": precision, "recall": recall,
+              "f1": F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)), "balanced_accuracy": (recall + specificity) / 2}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), values[m].alias("value")) for m in SCORES])).alias("s")
+    return c.select(*point_cols, fold_col, each).select(*point_cols, fold_col, "s.*")
+
+
+def search_table(pred: DataFrame, point_cols: Sequence[str], refit: str = "f1", digits: int = 9, **columns) -> DataFrame:
+    """``point, metric, mean, std, rank, best``: mean and population std over the folds of every score, the rank of the
+    point by it, and whether the point is the first by ``refit`` (ties to the smallest point)."""
+    if refit not in SCORES:
+        raise ValueError(refit)
+    t = fold_scores(pred, point_cols, **columns).groupBy(*point_cols, "metric") \
+        .agg(F.round(F.avg("value"), digits).alias("mean"), F.round(F.stddev_pop("value"), digits).alias("std"))
+    # windows over one row per point and metric
+    t = t.withColumn("rank", F.rank().over(Window.partitionBy("metric").orderBy(F.desc("mean"))))
+    first = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("mean"), *point_cols))
+    t = t.withColumn("_first", (first == 1) & (F.col("metric") == refit))
+    return t.withColumn("best", F.max("_first").over(Window.partitionBy(*point_cols))).drop("_first")

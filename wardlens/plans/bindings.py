@@ -58,7 +58,7 @@ def stays(spark: SparkSession, sf_dir: str, with_customer: bool = False) -> Data
     c = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("segment"),
         F.col("c_acctbal").alias("acct_balance"))
-    return o.join(c, "subject_id", "inner")
+    return o.join(c, "subject_id", "left")
 
 
 def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_STAYS = f"SELECT o_orderkey AS hadm_id, o_custkey AS subject_id, {LABEL_SQL} AS label, " \
             f"o_orderpriority AS priority, o_totalprice AS total_price FROM orders"
 SQL_STAYS_C = ("SELECT s.*, c_mktsegment AS segment, c_acctbal AS acct_balance FROM "
-               f"({SQL_STAYS}) s JOIN customer ON c_custkey = s.subject_id")
+               f"({SQL_STAYS}) s LEFT JOIN customer ON c_custkey = s.subject_id")
 SQL_DIAG = f"SELECT l_orderkey AS hadm_id, l_linenumber AS seq_num, {DIAG_CODE_SQL} AS icd9_code FROM lineitem"
 SQL_DICT = (f"SELECT p_partkey AS line_no, {DICT_CODE_SQL} AS icd9_code, p_brand AS category, "
             f"p_type AS descr FROM part")

@@ -182,7 +182,8 @@ def _stay_features(spark, sf_dir):
     from wardlens.operators.features import measurement_triples
     tri = measurement_triples(B.measurements(spark, sf_dir), "hadm_id", TRIPLE_COLS)
     measured = [f"{c}_{s}" for c in TRIPLE_COLS for s in ("min", "mean", "max")]
-    return B.stays(spark, sf_dir, with_customer=True).join(tri, "hadm_id", "left").na.fill(0, measured)   # every stay, 0 where nothing was measured
+    # every stay, also those without a known customer; 0 where nothing was measured
+    return B.stays(spark, sf_dir, with_customer=True).join(tri, "hadm_id", "left").na.fill(0, ["acct_balance", *measured])
 
 
 TRIPLES_SQL = ("SELECT l_orderkey AS hadm_id, " + ", ".join(
@@ -190,7 +191,7 @@ TRIPLES_SQL = ("SELECT l_orderkey AS hadm_id, " + ", ".join(
     for c, s in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount")))
     + " FROM lineitem GROUP BY l_orderkey")
 FILLED_SQL = ", ".join(f"coalesce(tri.{c}_{s}, 0) AS {c}_{s}" for c in TRIPLE_COLS for s in ("min", "mean", "max"))
-FEAT_CTE = f"tri AS ({TRIPLES_SQL}), sf AS (SELECT s.*, {FILLED_SQL} FROM ({B.SQL_STAYS_C}) s LEFT JOIN tri USING (hadm_id))"
+FEAT_CTE = f"tri AS ({TRIPLES_SQL}), sf AS (SELECT s.* REPLACE (coalesce(s.acct_balance, 0) AS acct_balance), {FILLED_SQL} FROM ({B.SQL_STAYS_C}) s LEFT JOIN tri USING (hadm_id))"
 
 
 @register("stay_triples", f"SELECT hadm_id, " + ", ".join(
@@ -837,11 +838,12 @@ class _AssembledModel:
 def linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact contributions of a linear score (standardised features): mean |w (x - mean)|."""
     from wardlens.operators.attribution import linear_contributions as lin
-    from wardlens.operators.features import zscore
     df = _model_frame(spark, sf_dir)
     model = _fit("logistic", df)
-    w = model.stages[-1].coefficients.toArray()
-    return lin(zscore(df, FEATURES), FEATURES, w)
+    # weights of raw features: those of the fitted scaler's units over its own deviations
+    std = model.stages[1].std.toArray()
+    w = [float(v / d) if d else 0.0 for v, d in zip(model.stages[-1].coefficients.toArray(), std)]
+    return lin(df, FEATURES, w)
 
 
 SHAPLEY_ORDERS = -(-(2 * len(FEATURES) + 2048) // (2 * len(FEATURES)))   # an order scores 2 M vectors
@@ -861,7 +863,7 @@ def sampled_shapley(spark: SparkSession, sf_dir: str, n_perm: int = SHAPLEY_ORDE
     inner = PipelineModel(stages=model.stages[1:])
     bg = background_summary(assemble(df, FEATURES, out="features"), "features", k=10).collect()
     background = [r["centre"] for r in bg]
-    return shap(_RenamedModel(inner), df, background, FEATURES, "hadm_id", n_perm=n_perm)
+    return shap(_RenamedModel(inner), df, background, FEATURES, "hadm_id", n_perm=n_perm, weights=[r["n"] for r in bg])
 
 
 class _RenamedModel:
@@ -1104,3 +1106,6 @@ def cluster_newton_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardlens.operators.newton import first_step_sums
     s = first_step_sums(_stay_features(spark, sf_dir), "priority", ["quantity_mean", "discount_mean"])
     return s.select("priority", "term", F.round("gradient", 4).alias("gradient"), F.round("curvature", 2).alias("curvature"))
+
+
+from wardlens.plans import tables  # noqa: E402, F401  (registers its queries)
