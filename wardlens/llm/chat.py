@@ -30,7 +30,7 @@ def render(role: Column, text: Column) -> Column:
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """``conv_id, key, role, text, position, last, p1, p2`` of every distinct turn."""
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flat = turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("key"), "turn",
+    flat = turns.select("conv_id", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n")).alias("key"), "turn",
                         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     order = ["key", "turn", "role", "text"]
