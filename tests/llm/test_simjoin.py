@@ -188,3 +188,18 @@ def test_shared_keys_in_parts(monkeypatch, limit):
             groups.setdefault(gid, set()).add(rid)
     want = {frozenset(v for k, v in pairs if k == key) for key in range(40)}
     assert {frozenset(g) for g in groups.values()} == {w for w in want if len(w) > 1}
+
+
+def test_many_texts_under_one_id_do_not_multiply(spark, monkeypatch):
+    """The texts that are looked at again grow in proportion to the rows, not to their square."""
+    seen = {}
+    shared = " ".join(f"common{i}" for i in range(60))
+    for m in (60, 120):
+        docs = spark.createDataFrame([(1, f"{shared} tail{i % 40} end{i}") for i in range(m)], "doc_id long, text string")
+        count = spark.sparkContext.accumulator(0)
+        monkeypatch.setattr(simjoin, "shingle_sets", lambda texts, width, f=simjoin.shingle_sets, c=count: (c.add(len(texts)), f(texts, width))[1])
+        found = simjoin.jaccard_classes(docs, width=3, num=80, den=100).collect()
+        monkeypatch.undo()
+        assert len(found) == m and {r["component_id"] for r in found} == {1}
+        seen[m] = count.value
+    assert seen[120] <= 3 * seen[60]

@@ -53,7 +53,7 @@ CELL = 4000
 #: Bytes of rows that a task gathers before it compares them (the last group may add up to two chunks).
 HELD_BYTES = 16_000_000
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64()), ("bits", pa.binary()),
+_SETS = pa.schema([("doc_id", pa.int64()), ("said", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64()), ("bits", pa.binary()),
                    ("lower", pa.binary())])
 _DEALT = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())])
 _SHARED = pa.schema([("gid", pa.int64()), ("rid", pa.int64())])
@@ -377,7 +377,8 @@ def exact_components(sets: DataFrame, edges: DataFrame, docs: DataFrame, sets_of
     texts again, and ``cls`` is the 128-bit hash of a set."""
     groups = components(edges, "groups")
     classes = sets.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()) \
-        .groupBy("cls", "rid", "n").agg(F.min("doc_id").alias("doc_id"))
+        .groupBy("cls", "rid", "n").agg(F.min(F.struct("doc_id", "said")).alias("least")) \
+        .select("cls", "rid", "n", "least.doc_id", "least.said")
     member = stored(classes.join(groups.withColumnRenamed("id", "rid"), "rid"), "members")
     total = member.groupBy("root").agg(F.sum("n").alias("total"))
     parts = F.ceil(F.col("total") / GROUP_SHINGLES)
@@ -385,16 +386,16 @@ def exact_components(sets: DataFrame, edges: DataFrame, docs: DataFrame, sets_of
     cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
                        lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
     placed = member.join(total, "root").withColumn("parts", parts).withColumn("chunk", chunk) \
-        .select("root", "cls", "doc_id", F.explode(cell).alias("cell"))
-    # the same plan at every size: texts are shuffled once, never a side broadcast
-    texts = placed.hint("merge").join(docs, "doc_id").select("root", "cell", "cls", "text")
+        .select("root", "cls", "doc_id", "said", F.explode(cell).alias("cell"))
+    # a class brings the text of one row: many texts under one doc_id do not meet each other's classes.  The same plan at every size: texts are shuffled once, never a side broadcast
+    texts = placed.hint("merge").join(docs.select("doc_id", "text", F.xxhash64("text").alias("said")), ["doc_id", "said"]).select("root", "cell", "cls", "text")
 
     def verify(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         found: dict[bytes, np.ndarray] = {}
         for batch in group.to_batches():
             for cls, values in zip(column(batch, "cls").to_pylist(), sets_of(column(batch, "text"))):
-                # a repeated doc_id may bring the text of another class
+                # equal hashes of texts may bring the text of another class
                 if class_of(values) == cls:
                     found[cls] = values
         names = list(found)
@@ -436,10 +437,10 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         for part in chunks(batches):
             found = shingle_sets(column(part, "text"), width)
             cls = [class_of(v) for v in found]
-            yield rows(_SETS, column(part, "doc_id"), [len(v) for v in found], cls, [record_id(c) for c in cls],
+            yield rows(_SETS, column(part, "doc_id"), column(part, "said"), [len(v) for v in found], cls, [record_id(c) for c in cls],
                        [parity_bits(v, parity_level(len(v))) for v in found], [lower_bits(v, num, den) for v in found])
 
-    sets = stored(docs.mapInArrow(describe, "doc_id long, n long, cls binary, rid long, bits binary, lower binary"), "sets")
+    sets = stored(docs.withColumn("said", F.xxhash64("text")).mapInArrow(describe, "doc_id long, said long, n long, cls binary, rid long, bits binary, lower binary"), "sets")
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
