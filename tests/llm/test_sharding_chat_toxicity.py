@@ -131,3 +131,9 @@ def test_toxicity_corner_rows(spark, odd, empty):
     kept = toxicity.keep_clean(odd, labels)
     assert kept.schema == odd.schema
     assert kept.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_a_conversation_named_null_is_not_the_missing_one(spark):
+    from wardlens.llm import chat
+    df = spark.createDataFrame([("null", 1, "user", "one"), (None, 1, "user", "two")], "conv_id string, turn long, role string, text string")
+    assert [r["n_turns"] for r in chat.format_chats(df).collect()] == [1, 1]
