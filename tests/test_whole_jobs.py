@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sf_dirs import SF_MID, SF_SMALL
-from wardlens.operators import attribution, cluster, cohort, models
+from wardlens.operators import attribution, cluster, cohort, forest, models
 from wardlens.operators.features import incidence_vectors, tfidf
 from wardlens.operators.models import fit_per_cluster, skipped_column
 from wardlens.plans import catalog
@@ -67,10 +67,11 @@ def test_searches_have_the_reference_sizes(spark, monkeypatch):
     assert [len(list(v)) for stage in asked["stages"] for v in stage.values()] == [20, 9, 9, 5, 9, 9]
     catalog.grid_search_results(spark, SF_SMALL)
     assert asked["max_iter"] == 100
-    monkeypatch.setattr(attribution, "importance_runs", lambda fit, df, f, seeds: (asked.update(seeds=seeds), df)[1])
+    monkeypatch.setattr(forest, "fit_forest", lambda df, f, trees, *a, **k: (asked.update(trees=trees), trees)[1])
+    monkeypatch.setattr(forest, "importance_blocks", lambda df, model, per_run: (asked.update(runs=model // per_run), df)[1])
     monkeypatch.setattr(cohort, "importance_stats", lambda runs: runs)
     catalog.importance_stability(spark, SF_SMALL)
-    assert len(set(asked["seeds"])) == 500
+    assert asked["trees"] == 10_000 and asked["runs"] == 500
     monkeypatch.setattr(attribution, "sampled_shapley", lambda *a, **k: (asked.update(k), a[1])[1])
     catalog.sampled_shapley(spark, SF_SMALL)
     assert asked["n_perm"] * 2 * len(catalog.FEATURES) >= 2 * len(catalog.FEATURES) + 2048
