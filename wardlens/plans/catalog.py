@@ -1110,4 +1110,4 @@ def cluster_newton_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("priority", "term", F.round("gradient", 4).alias("gradient"), F.round("curvature", 2).alias("curvature"))
 
 
-from wardlens.plans import forests, tables  # noqa: E402, F401  (they register their queries)
+from wardlens.plans import centres, forests, tables  # noqa: E402, F401  (they register their queries)
