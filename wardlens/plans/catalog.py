@@ -669,11 +669,10 @@ def kmodes_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("kmeans_elbow")
 def kmeans_elbow(spark: SparkSession, sf_dir: str, max_k: int = 10) -> DataFrame:
-    """Inertia of k-means for k = 1..10 on the embeddings."""
-    from pyspark.ml.functions import array_to_vector
-    from wardlens.operators.cluster import kmeans_elbow as elbow
-    emb = B.table(spark, sf_dir, "embeddings").select(array_to_vector("embedding").alias("features"))
-    return elbow(emb.cache(), "features", range(1, max_k + 1))
+    """Inertia of k-means for k = 1..10 on the embeddings, ten starts each, all k and starts at once."""
+    from wardlens.operators.kmeans import kmeans_all
+    got = kmeans_all(B.table(spark, sf_dir, "embeddings"), "embedding", "vec_id", range(1, max_k + 1))
+    return spark.createDataFrame([(k, float(v)) for k, v in sorted(got.inertia.items())], "k int, inertia double")
 
 
 @register("kmeans_labels")
@@ -1110,4 +1109,4 @@ def cluster_newton_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("priority", "term", F.round("gradient", 4).alias("gradient"), F.round("curvature", 2).alias("curvature"))
 
 
-from wardlens.plans import centres, forests, tables  # noqa: E402, F401  (they register their queries)
+from wardlens.plans import centres, forests, spectra, tables  # noqa: E402, F401  (they register their queries)
