@@ -222,29 +222,11 @@ def kmodes(df: DataFrame, set_col: str, key: str, k: int = 3, n_init: int = 100,
 
 
 # ---------------------------------------------------------------- k-means
-def inertia_k1(df: DataFrame, vec_col: str) -> float:
-    """Sum of squared distances to the mean (k = 1), one aggregate pass per moment."""
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array(vec_col) if dict(df.dtypes)[vec_col] == "vector" else F.col(vec_col)
-    x = df.select(F.posexplode(arr).alias("pos", "v"))
-    r = x.groupBy("pos").agg((F.sum(F.col("v") * F.col("v")) - F.sum("v") * F.sum("v") / F.count("v")).alias("ss"))
-    return float(r.agg(F.sum("ss")).first()[0] or 0.0)
-
-
 def kmeans_fit(df: DataFrame, vec_col: str, k: int, seed: int = 1, max_iter: int = 20):
     from pyspark.ml.clustering import KMeans
     return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=vec_col, predictionCol="cluster").fit(df)
 
 
-def kmeans_elbow(df: DataFrame, vec_col: str, ks: Sequence[int] = range(1, 11), seed: int = 1) -> DataFrame:
-    """Inertia for each k (k = 1 from the mean; k >= 2 from Spark ML k-means)."""
-    rows = []
-    for k in ks:
-        cost = inertia_k1(df, vec_col) if k == 1 else float(kmeans_fit(df, vec_col, k, seed).summary.trainingCost)
-        rows.append((int(k), cost))
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double")
-
-
 def cluster_sizes(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     return df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("n"))
 
