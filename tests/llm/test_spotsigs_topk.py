@@ -3,12 +3,16 @@ import math
 import random
 import re
 from collections import Counter
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from rows import ODD
 
 from wardlens.llm import queries, spotsigs, topk
+from wardlens.llm.common import splitmix
 
 
 def words(text):
@@ -18,27 +22,13 @@ def words(text):
 def signatures(text):
     """Signatures as word tuples, one text at a time."""
     ws = words(text)
-    out = set()
-    for i, w in enumerate(ws):
-        if w in spotsigs.ANCHORS:
-            chain = [x for x in ws[i + 1:] if x not in spotsigs.ANCHORS][:spotsigs.CHAIN] if len(ws) < 3000 else _chain(ws, i)
-            if len(chain) == spotsigs.CHAIN:
-                out.add((i, w, *chain))
-    many = len(out) >= spotsigs.LEAST
-    found = {s[1:] for s in out}
-    if not many:
-        found |= {("", *ws[i:i + 1 + spotsigs.CHAIN]) for i in range(len(ws))}
-    return found
-
-
-def _chain(ws, i):
-    got = []
-    for x in ws[i + 1:]:
-        if x not in spotsigs.ANCHORS:
-            got.append(x)
-            if len(got) == spotsigs.CHAIN:
-                break
-    return got
+    return {(w, *islice((x for x in islice(ws, i + 1, None) if x not in spotsigs.ANCHORS), spotsigs.CHAIN))
+            for i, w in enumerate(ws) if i == 0 or w in spotsigs.ANCHORS or sparse(w)}
+
+
+@cache
+def sparse(word):
+    return int(splitmix(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))[0]) % spotsigs.SPARSE == 0
 
 
 def jaccard(a, b):
@@ -54,8 +44,8 @@ def test_signature_sets_equal_one_by_one(mid_rows):
         assert math.isclose(spotsigs.likeness(got[i], got[i + 1]), jaccard(want[i], want[i + 1]))
 
 
-def check(rows, docs):
-    order = sorted(docs, key=lambda d: -(1 << 63) if d[0] is None else d[0], reverse=True)
+def check(rows, docs, tied=False):
+    order = docs if tied else sorted(docs, key=lambda d: -(1 << 63) if d[0] is None else d[0], reverse=True)
     want = Counter()
     for i, (d, t) in enumerate(order):
         t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
@@ -68,7 +58,7 @@ def check(rows, docs):
     prints = {}
     texts = {d: t for d, t in docs}
     for r in rows:
-        if r["doc_id"] is not None and r["doc_id"] != 11:
+        if not tied and r["doc_id"] is not None and r["doc_id"] != 11:
             assert prints.setdefault(texts[r["doc_id"]] or "", r["fingerprint"]) == r["fingerprint"]
 
 
@@ -89,8 +79,9 @@ def test_repeated_rows_and_ids(odd):
     assert Counter(r["doc_id"] for r in rows) == Counter(d for d, _ in ODD)
 
 
-def test_near_classes_equal_brute_force(mid, mid_rows):
-    sets = [signatures(t) for _, t in mid_rows]
+def components(docs):
+    """Smallest id reachable of each row, by comparing all sets that share a signature."""
+    sets = [signatures(t) if d is not None else set() for d, t in docs]
     root = list(range(len(sets)))
 
     def find(i):
@@ -106,10 +97,33 @@ def test_near_classes_equal_brute_force(mid, mid_rows):
         for x in s:
             place.setdefault(x, []).append(i)
     least = {}
-    for i, (d, _) in enumerate(mid_rows):
-        least[find(i)] = min(least.get(find(i), d), d)
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [least.get(find(i)) for i in range(len(docs))]
+
+
+def test_near_classes_equal_brute_force(mid, mid_rows):
     got = {r["doc_id"]: r["component_id"] for r in spotsigs.near_classes(mid).collect()}
-    assert got == {d: least[find(i)] for i, (d, _) in enumerate(mid_rows)}
+    assert got == {d: c for (d, _), c in zip(mid_rows, components(mid_rows))}
+    assert {r["doc_id"]: r["component_id"] for r in spotsigs.fingerprints(mid).collect()} == got
+
+
+def test_components_of_odd_rows(odd):
+    want = Counter((d, c) for (d, _), c in zip(ODD, components(ODD)))
+    assert Counter((r["doc_id"], r["component_id"]) for r in spotsigs.near_classes(odd).collect()) == want
+    assert Counter((r["doc_id"], r["component_id"]) for r in spotsigs.fingerprints(odd).collect()) == want
+
+
+def test_texts_under_one_id_fill_many_ranges(spark):
+    rng = random.Random(4)
+    names = ["the", "and", "of", *(f"w{i}" for i in range(300))]
+    docs = [(i if i % 3 else 7, " ".join(rng.choice(names) for _ in range(20))) for i in range(900)] + [(None, f"none {i}") for i in range(60)]
+    rows = spotsigs.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    by_hash = {(r["doc_id"], r["text"]): r["h"] for r in spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "xxhash64(text) h").collect()}
+    low = -(1 << 63)
+    order = sorted(docs, key=lambda d: (-(low if d[0] is None else d[0]), by_hash[d]))
+    check(rows, order, tied=True)
 
 
 # search -------------------------------------------------------------------

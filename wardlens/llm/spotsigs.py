@@ -1,34 +1,36 @@
 """Document fingerprints by SpotSigs: chains of content words that follow common words.
 
-At every occurrence of a common word (an anchor) a signature is made of the anchor and the next ``CHAIN`` content
-words (words that are no anchors).  A text's fingerprint is its set of signatures, written as sorted 32-bit hashes in
-hex.  Texts with fewer than ``LEAST`` signatures take every word as an anchor besides, and those with fewer than
-``CHAIN`` words after it a shorter chain, so that only texts without words have an empty fingerprint.
+A signature is made of an anchor and the content words (words that are no common words) after it: the next ``CHAIN``, or
+fewer at the end of a text.  Anchors are the common words and, so that texts in any language and of any length have
+signatures by the same rule, the first word and one word in ``SPARSE`` by its hash.  A text's fingerprint is its set of
+signatures, written as sorted 32-bit hashes in hex; only texts without words have an empty one.
 
 Likeness is the Jaccard similarity of the sets.  ``near_classes`` finds all sets that are alike: sets are dealt to
-partitions of set length such that alike sets lie in one partition or in neighbours, indexed there by their rarest
-signatures (enough of them that alike sets share one), and compared exactly in the groups this forms.
-
-Defined cases: null text is an empty one; two empty fingerprints have likeness 1, an empty and another 0; equal ids
-are ordered by a hash of the text; rows without id come last; a single row is its own next document; empty input gives no
-row; extra columns are ignored.
+partitions of set length such that alike sets lie in one partition or in neighbours, and indexed there by their rarest
+signatures, enough of them that alike sets share one.  Records that share one are pruned by set length and by the
+parities of hashed places, and what is left is compared exactly in the groups this forms.  ``fingerprints`` gives each
+document the component it belongs to.
+
+Defined cases: null text is an empty one; two empty fingerprints have likeness 1, an empty and another 0, but an empty
+one is alone in its component; equal ids are ordered by a hash of the text; rows without id come last and have no
+component; a single row is its own next document; empty input gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.common import chunks, column, rows, splitmix, stored
-from wardlens.llm.simjoin import exact_components
+from wardlens.llm.simjoin import candidate_edges, class_of, dealt, exact_components, lower_bits, parity_bits, parity_level, record_id, shared_keys
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset("""
@@ -39,28 +41,31 @@ au aux avec ce cette dans de du elle en est et il la le les mais ne nous ou par
 al como con del el ella ellos era lo los las más no para pero por se sin su sus una y
 """.split())
 CHAIN = 2
-LEAST = 4
+#: One word in so many is an anchor by its hash.
+SPARSE = 8
+#: Cells that count signatures; a signature's rarity is the power of two of its cell.
+CELLS = 1 << 18
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+                     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("component_id", pa.int64())])
 PRINTS_DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-              "near_edited double, near_next double")
+              "near_edited double, near_next double, component_id long")
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("said", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64()), ("bits", pa.binary()),
+                     ("lower", pa.binary()), ("sigs", pa.binary())])
 
 
-def _chains(word: np.ndarray, anchor: np.ndarray, content: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each anchor place and its chain of content places before ``end``, with the length of the chain."""
+def _chains(word: np.ndarray, anchor: np.ndarray, content: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each anchor place and its chain of content places before ``end``."""
     place = np.flatnonzero(content)
     at = np.flatnonzero(anchor)
     nxt = np.searchsorted(place, at, side="right")
     h = splitmix(word[at])
-    length = np.zeros(len(at), np.int64)
     padded = np.append(place, np.full(CHAIN, len(word)))
     for k in range(CHAIN):
         p = padded[np.minimum(nxt + k, len(place))]
-        real = (p < end[at]) & (length == k)
+        real = p < end[at]
         h[real] = splitmix(h[real] ^ word[p[real]])
-        length += real
-    return h, length
+    return h
 
 
 def signature_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -80,15 +85,10 @@ def signature_sets(texts: pa.Array) -> list[np.ndarray]:
     common = np.array([w in ANCHORS for w in names], bool)[index]
     end = np.repeat(bounds[1:], np.diff(bounds))
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    h, length = _chains(word, common, ~common, end)
-    full = length == CHAIN
-    own = owner[np.flatnonzero(common)[full]]
-    scarce = np.bincount(own, minlength=len(texts)) < LEAST
-    # texts with few signatures: every word with the words after it
-    every = scarce[owner]
-    more, _ = _chains(word, every, np.ones(len(word), bool), end)
-    hashes = np.concatenate([h[full], splitmix(more + np.uint64(1))]) >> np.uint64(32)
-    pairs = np.unique(np.concatenate([own, owner[every]]).astype(np.uint64) << np.uint64(32) | hashes)
+    anchor = common | (splitmix(word) % np.uint64(SPARSE) == 0)
+    anchor[bounds[:-1][np.diff(bounds) > 0]] = True
+    hashes = _chains(word, anchor, ~common, end) >> np.uint64(32)
+    pairs = np.unique(owner[anchor].astype(np.uint64) << np.uint64(32) | hashes)
     cuts = np.searchsorted(pairs, np.arange(len(texts) + 1).astype(np.uint64) << np.uint64(32))
     low = pairs & np.uint64(0xFFFFFFFF)
     return [low[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
@@ -116,72 +116,97 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - k] + following[:k]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every document.
+def fingerprints(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id`` of every
+    document; ``component_id`` is that of ``near_classes`` at a likeness of ``num / den``.
 
-    Documents are dealt by ranges of doc_id; each range's first row also goes to the end of the range before it (the
-    very first to the last), so every row meets the next one in its own task and texts are shuffled once.
+    Documents are dealt by ranges of doc_id, and of the text's hash within an id that fills several ranges; each range's
+    first row also goes to the end of the range before it (the very first to the last), so every row meets the next one
+    in its own task and texts are shuffled once.  The components come to the same ranges as rows without text.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     none = -(1 << 63)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    ids = docs.select(F.coalesce("doc_id", F.lit(none)).alias("id"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    known = near_classes(docs, num, den).groupBy("doc_id", F.col("said").alias("h")).agg(F.max("component_id").alias("component_id"))
+    ids = docs.select(F.coalesce("doc_id", F.lit(none)).alias("id"), "h")
     # a few ranges for each partition, dealt by hash
     ranges = 4 * parts
     at = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
-    cuts = sorted({int(x) for x in at or []})
-
-    def bucket(values: np.ndarray) -> np.ndarray:
-        return len(cuts) - np.searchsorted(np.array(cuts, np.int64), values, side="left")
+    # an id that is a quantile k times has k ranges of hashes
+    times = {int(x): (at or []).count(x) for x in at or []}
+    cuts = np.array(sorted(times), np.int64)
+    pieces = np.array([1, *(times[c] for c in cuts[::-1].tolist())], np.int64)
+    offset = np.cumsum(pieces) - pieces
+
+    def bucket(values: np.ndarray, h: np.ndarray) -> np.ndarray:
+        low = np.searchsorted(cuts, values, side="left")
+        b = len(cuts) - low
+        hot = np.append(cuts, 0)[low] == values
+        hot &= low < len(cuts)
+        piece = ((h >> 32) + (1 << 31)) * pieces[b] >> 32
+        return offset[b] + np.where(hot, piece, pieces[b] - 1)
 
     head_schema = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("h", pa.int64())])
 
     def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, int] = {}
+        best: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            values = column(batch, "id").to_numpy()
-            for b, i in zip(bucket(values).tolist(), values.tolist()):
-                if i >= best.get(b, none):
-                    best[b] = i
-        yield rows(head_schema, list(best), list(best.values()), [0] * len(best))
-
-    # one row for each range that has rows: its largest id
-    first = {r["bucket"]: r["id"] for r in ids.mapInArrow(heads, "bucket int, id long, h long").groupBy("bucket").agg(F.max("id").alias("id")).collect()}
+            values, h = column(batch, "id").to_numpy(), column(batch, "h").to_numpy()
+            own = bucket(values, h)
+            order = np.lexsort((h, ~values, own))
+            first = order[np.concatenate([[True], own[order][1:] != own[order][:-1]])] if len(order) else order
+            for b, i, x in zip(own[first].tolist(), values[first].tolist(), h[first].tolist()):
+                best[b] = min(best.get(b, (~i, x)), (~i, x))
+        yield rows(head_schema, list(best), [~i for i, _ in best.values()], [x for _, x in best.values()])
+
+    # one row for each range that has rows: its largest id, and the smallest hash of that
+    first = {r["bucket"]: (r["least"]["id"], r["least"]["h"]) for r in ids.mapInArrow(heads, "bucket int, id long, h long").groupBy("bucket")
+             .agg(F.min_by(F.struct("id", "h"), F.struct(F.bitwise_not("id"), "h")).alias("least")).collect()}
     filled = sorted(first)
-    before = {b: filled[i - 1] for i, b in enumerate(filled)}
-    deal_schema = pa.schema([("bucket", pa.int32()), ("copy", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
+    before = {first[b]: filled[i - 1] for i, b in enumerate(filled)}
+    deal_schema = pa.schema([("bucket", pa.int32()), ("copy", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()),
+                             ("text", pa.string()), ("component_id", pa.int64())])
+    deal_ddl = "bucket int, copy boolean, id long, h long, place int, doc_id long, text string, component_id long"
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leading = np.array(sorted(first.values()), np.int64)
         for part in chunks(batches):
             doc, text = column(part, "doc_id"), column(part, "text")
-            values = pc.fill_null(doc, none).to_numpy()
-            own = bucket(values)
-            h = np.array([xxhash.xxh3_64_intdigest(t or "") >> 1 for t in text.to_pylist()], np.int64)
-            lead = np.flatnonzero(np.isin(values, leading))
-            for copy, pick in ((False, np.arange(len(values))), (True, lead)):
-                to = np.array([before[b] for b in own[pick].tolist()], np.int32) if copy else own
-                yield rows(deal_schema, to.astype(np.int32), [copy] * len(pick), values[pick], h[pick], doc.take(pa.array(pick)), text.take(pa.array(pick)))
+            values, h = pc.fill_null(doc, none).to_numpy(), column(part, "h").to_numpy()
+            leads = {key: i for i, key in enumerate(zip(values.tolist(), h.tolist())) if key in before}
+            lead, n = np.array(list(leads.values()), np.int64), len(part)
+            yield rows(deal_schema, bucket(values, h), [False] * n, values, h, [1] * n, doc, text, [None] * n)
+            if len(lead):
+                yield rows(deal_schema, [before[key] for key in leads], [True] * len(lead), values[lead], h[lead], [1] * len(lead),
+                           doc.take(pa.array(lead)), text.take(pa.array(lead)), [None] * len(lead))
+
+    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, n = column(batch, "doc_id"), len(batch)
+            values, h = pc.fill_null(doc, none).to_numpy(), column(batch, "h").to_numpy()
+            yield rows(deal_schema, bucket(values, h), [False] * n, values, h, [0] * n, doc, [None] * n, column(batch, "component_id"))
 
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order: each with the one after it in its range (the first copy, at the end)."""
-        held: tuple | None = None       # (bucket, doc, text, signatures) waiting for its next row
+        """Rows in order: each with the one after it in its range (the first copy, at the end); a label before its texts."""
+        held: tuple | None = None       # (bucket, doc, text, signatures, component) waiting for its next row
+        component = None
 
         def result(group: list[tuple], following: list[tuple]) -> pa.RecordBatch:
             changed = [edited(g[2], f[2]) for g, f in zip(group, following)]
             marks = signature_sets(pa.array(changed, pa.string()))
             return rows(_PRINTS, [g[1] for g in group], [len(g[2]) for g in group], [hashlib.sha256(c.encode()).hexdigest() for c in changed],
                         [written(g[3]) for g in group], [written(m) for m in marks], [likeness(g[3], m) for g, m in zip(group, marks)],
-                        [likeness(g[3], f[3]) for g, f in zip(group, following)])
+                        [likeness(g[3], f[3]) for g, f in zip(group, following)], [g[4] for g in group])
 
         for part in chunks(batches):
-            got = list(zip(column(part, "bucket").to_pylist(), column(part, "doc_id").to_pylist(),
-                           [t or "" for t in column(part, "text").to_pylist()], signature_sets(column(part, "text"))))
-            copies = column(part, "copy").to_pylist()
             group, following = [], []
-            for row, copy in zip(got, copies):
-                if held is not None and held[0] == row[0]:
+            for b, copy, place, doc, text, sigs, own in zip(*(column(part, c).to_pylist() for c in ("bucket", "copy", "place", "doc_id", "text")),
+                                                            signature_sets(column(part, "text")), column(part, "component_id").to_pylist()):
+                if place == 0:
+                    component = own
+                    continue
+                row = b, doc, text, sigs, component
+                if held is not None and held[0] == b:
                     group.append(held)
                     following.append(row)
                 # after the first copy a range is done
@@ -189,47 +214,70 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if group:
                 yield result(group, following)
 
-    dealt = docs.mapInArrow(deal, "bucket int, copy boolean, id long, h long, doc_id long, text string")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "copy", F.desc("id"), "h") \
-        .select("bucket", "copy", "doc_id", "text").mapInArrow(prints, PRINTS_DDL)
+    dealt_rows = docs.mapInArrow(deal, deal_ddl).unionByName(known.mapInArrow(label, deal_ddl))
+    return dealt_rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "copy", F.desc("id"), "h", "place") \
+        .select("bucket", "copy", "place", "doc_id", "text", "component_id").mapInArrow(prints, PRINTS_DDL)
 
 
-def length_partitions(longest: int, least: float) -> list[int]:
-    """First set length of each partition: sets of likeness ``least`` lie in one partition or in neighbours."""
+def length_partitions(longest: int, num: int, den: int) -> list[int]:
+    """First set length of each partition: sets of likeness ``num / den`` lie in one partition or in neighbours."""
     bounds, n = [1], 1
     while n <= longest:
-        n = max(n + 1, math.floor(n / least) + 1)
+        n = n * den // num + 1
         bounds.append(n)
     return bounds
 
 
 def near_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id, n_signatures, component_id``: smallest doc_id reachable over fingerprints of likeness ``num / den`` or more."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    """``doc_id, said, n_signatures, component_id``: smallest doc_id reachable over fingerprints of likeness ``num / den``
+    or more; ``said`` is the hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            out = []
-            for doc, s in zip(column(part, "doc_id").to_pylist(), signature_sets(column(part, "text"))):
-                cls = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                out.append((doc, len(s), cls, int.from_bytes(cls[:8], "little", signed=True) if cls else None, s.astype(np.int64)))
-            yield rows(schema, *zip(*out))
-
-    sets = stored(docs.mapInArrow(make, "doc_id long, n long, cls binary, rid long, sigs array<long>"), "signatures")
-    longest = sets.agg(F.max("n")).first()[0] or 0
-    bounds = length_partitions(longest, num / den)
+            found = signature_sets(column(part, "text"))
+            cls = [class_of(s) for s in found]
+            yield rows(_SIGNED, column(part, "doc_id"), column(part, "said"), [len(s) for s in found], cls, [record_id(c) for c in cls],
+                       [parity_bits(s, parity_level(len(s))) for s in found], [lower_bits(s, num, den) for s in found], [s.astype("<u4").tobytes() for s in found])
+
+    sets = stored(docs.withColumn("said", F.xxhash64("text"))
+                  .mapInArrow(make, "doc_id long, said long, n long, cls binary, rid long, bits binary, lower binary, sigs binary"), "signatures")
     named = sets.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
-    sigs = named.groupBy("cls", "rid", "n").agg(F.first("sigs").alias("sigs")).select("rid", "n", F.explode("sigs").alias("sig"))
-    ranked = sigs.join(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "sig") \
-        .withColumn("r", F.row_number().over(Window.partitionBy("rid", "n").orderBy("df", "sig")))
-    # alike sets of n and more differ in at most n - ceil(n * num / den) of the smaller one's signatures
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
-    lengths = F.array(*[F.lit(b) for b in bounds])
-    at = F.size(F.filter(lengths, lambda b: b <= F.col("n")))
-    keys = prefix.select("rid", "sig", F.explode(F.array(at, at + 1)).alias("part"))
-    low = F.min("rid").over(Window.partitionBy("part", "sig"))
-    edges = keys.select(F.col("rid").alias("a"), low.alias("b")).where("a != b").distinct()
-    component = exact_components(sets.select("doc_id", "n", "cls", "rid"), edges, docs, signature_sets, num, den)
-    return sets.select("doc_id", F.col("n").alias("n_signatures"), "cls").join(component, "cls", "left") \
-        .select("doc_id", "n_signatures", F.when(F.col("cls").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+    def cell(signatures: np.ndarray) -> np.ndarray:
+        return (splitmix(signatures) % np.uint64(CELLS)).astype(np.int64)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(cell(np.frombuffer(b"".join(column(batch, "sigs").to_pylist()), "<u4").astype(np.uint64)), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["cell", "n"])
+
+    # one number a cell, whatever the number of signatures
+    counted = named.select("sigs").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rarity = np.zeros(CELLS, np.int8)
+    rarity[counted.column("cell").to_numpy()] = np.log2(counted.column("n").to_numpy()).astype(np.int8)
+    bounds = length_partitions(sets.agg(F.max("n")).first()[0] or 0, num, den)
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rids = [], []
+            for rid, data in zip(column(batch, "rid").to_pylist(), column(batch, "sigs").to_pylist()):
+                s = np.frombuffer(data, "<u4").astype(np.uint64)
+                # alike sets have all but n - ceil(n * num / den) signatures in common, whichever are the first ones in an order that all share
+                prefix = s[np.lexsort((splitmix(s), rarity[cell(s)]))[:len(s) - -(-len(s) * num // den) + 1]]
+                own = bisect_right(bounds, len(s))
+                keys += [splitmix(prefix | np.uint64(p << 32)) for p in (own, own + 1)]
+                rids.append(np.full(2 * len(prefix), rid, np.int64))
+            if keys:
+                yield from dealt(np.concatenate(keys), np.concatenate(rids), buckets)
+
+    postings = named.groupBy("cls", "rid").agg(F.first("sigs").alias("sigs")).select("rid", "sigs").mapInArrow(index, "bucket int, pairs binary")
+    shared = stored(postings.repartition(buckets // 8, "bucket").sortWithinPartitions("bucket")
+                    .mapInArrow(shared_keys, "gid long, rid long").distinct(), "shared")
+    component = exact_components(sets, candidate_edges(shared, sets, num, den), docs, signature_sets, num, den)
+    return sets.select("doc_id", "said", F.col("n").alias("n_signatures"), "cls").join(component, "cls", "left") \
+        .select("doc_id", "said", "n_signatures",
+                F.when(F.col("cls").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
