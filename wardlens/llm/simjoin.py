@@ -374,7 +374,10 @@ def exact_components(sets: DataFrame, edges: DataFrame, docs: DataFrame, sets_of
     """``(cls, root, component_id)`` of the classes in ``sets(doc_id, n, cls, rid)``, exactly.
 
     ``edges(a, b)`` join records (``rid``) into candidate groups that no link leaves; ``sets_of`` makes the sets of
-    texts again, and ``cls`` is the 128-bit hash of a set."""
+    texts again, and ``cls`` is the 128-bit hash of a set.  ``docs(doc_id, text)`` may carry the sets themselves as
+    ``text``, then with the ``said`` of ``sets``."""
+    if "said" not in docs.columns:
+        docs = docs.withColumn("said", F.xxhash64("text"))
     groups = components(edges, "groups")
     classes = sets.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()) \
         .groupBy("cls", "rid", "n").agg(F.min(F.struct("doc_id", "said")).alias("least")) \
@@ -388,7 +391,7 @@ def exact_components(sets: DataFrame, edges: DataFrame, docs: DataFrame, sets_of
     placed = member.join(total, "root").withColumn("parts", parts).withColumn("chunk", chunk) \
         .select("root", "cls", "doc_id", "said", F.explode(cell).alias("cell"))
     # a class brings the text of one row: many texts under one doc_id do not meet each other's classes.  The same plan at every size: texts are shuffled once, never a side broadcast
-    texts = placed.hint("merge").join(docs.select("doc_id", "text", F.xxhash64("text").alias("said")), ["doc_id", "said"]).select("root", "cell", "cls", "text")
+    texts = placed.hint("merge").join(docs.select("doc_id", "text", "said"), ["doc_id", "said"]).select("root", "cell", "cls", "text")
 
     def verify(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()

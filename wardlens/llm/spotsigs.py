@@ -277,7 +277,8 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     postings = named.groupBy("cls", "rid").agg(F.first("sigs").alias("sigs")).select("rid", "sigs").mapInArrow(index, "bucket int, pairs binary")
     shared = stored(postings.repartition(buckets // 8, "bucket").sortWithinPartitions("bucket")
                     .mapInArrow(shared_keys, "gid long, rid long").distinct(), "shared")
-    component = exact_components(sets, candidate_edges(shared, sets, num, den), docs, signature_sets, num, den)
+    component = exact_components(sets, candidate_edges(shared, sets, num, den), named.select("doc_id", "said", F.col("sigs").alias("text")),
+                                 lambda column: [np.frombuffer(x, "<u4").astype(np.uint64) for x in column.to_pylist()], num, den)
     return sets.select("doc_id", "said", F.col("n").alias("n_signatures"), "cls").join(component, "cls", "left") \
         .select("doc_id", "said", "n_signatures",
                 F.when(F.col("cls").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
