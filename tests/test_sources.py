@@ -66,6 +66,41 @@ def test_keyed_files(spark):
     assert got == [("390-459", 2), ("460-519", 2)]
 
 
+def test_lines_are_numbered_across_blocks(spark):
+    p = os.path.join(_tmp(), "many.txt")
+    want = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
+    with open(p, "w") as f:
+        f.write("\n".join(want) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        lines = io.numbered_lines(spark, p)
+        assert [r["value"] for r in lines.orderBy("line_no").collect()] == want
+        assert [r["line_no"] for r in lines.orderBy("line_no").collect()] == list(range(5000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_paired_files_name_what_they_skip(spark):
+    d = _tmp()
+    files = {"X_c_a b.csv": "p,q\n1,2.5\n\n3,4.5\n", "Y_c_a b.csv": "0\n1\n",
+             "X_c_broken.csv": "p,q\n1,2\n1,2,3\n", "Y_c_broken.csv": "0\n1\n",
+             "X_c_typed.csv": "p,q\n1,two\n", "Y_c_typed.csv": "0\n",
+             "X_c_empty.csv": "", "Y_c_empty.csv": "1\n",
+             "X_c_header.csv": "p,q\n", "Y_c_header.csv": "",
+             "X_c_alone.csv": "p,q\n5,6\n", "Y_c_only.csv": "1\n",
+             "X_c_short.csv": "p,q\n5,6\n7,8\n", "Y_c_short.csv": "1\n"}
+    for name, text in files.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    rows, skipped = io.read_paired_files(spark, os.path.join(d, "X_*.csv"), "p int, q double", os.path.join(d, "Y_*.csv"))
+    assert sorted(map(tuple, rows.select("cluster", "row_no", "p", "q", "label").collect())) == [("a b", 0, 1, 2.5, 0), ("a b", 1, 3, 4.5, 1)]
+    assert {r["cluster"]: r["reason"] for r in skipped.collect()} == {
+        "broken": "features: 1 lines do not fit the schema; no features", "typed": "features: 1 lines do not fit the schema; no features",
+        "empty": "features: empty or not readable; no features", "header": "features: no rows; labels: empty or not readable", "alone": "no labels", "only": "no features",
+        "short": "2 rows of features, 1 of labels"}
+
+
 def test_parse_report_text(spark):
     text = ("             precision    recall  f1-score   support\n\n"
             "   Class One       0.50      0.25      0.33        40\n"

@@ -8,9 +8,10 @@ file per cluster.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,22 +40,43 @@ def read_headerless(spark: SparkSession, path: str, names: Sequence[str], types:
     return spark.read.schema(schema).option("header", skip_header).csv(path)
 
 
+def _file_name(path: str) -> Column:
+    """A file's decoded path as ``file``; local ones with one slash, however Spark wrote them."""
+    return F.regexp_replace(F.url_decode(F.col(path)), "^file:/+", "file:/").alias("file")
+
+
+def numbered_lines(spark: SparkSession, path: str | Sequence[str], blanks: bool = True) -> DataFrame:
+    """``file, line_no, value`` of every physical line of text files, numbered from 0 in each file (``blanks=False``:
+    blank lines neither come nor count).
+
+    A file is read in blocks: each counts its lines, and the counts of the blocks before it, a few numbers a file, are
+    its offset.  Files that cannot be read are left out."""
+    lines = spark.read.option("ignoreCorruptFiles", True).text(path).select(
+        _file_name("_metadata.file_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), "value")
+    if not blanks:
+        lines = lines.where(F.trim("value") != "")
+    block = Window.partitionBy("file", "_block")
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n")) \
+        .select("file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return lines.withColumn("_in", F.row_number().over(block.orderBy("_at"))).join(offsets, ["file", "_block"]) \
+        .select("file", (F.col("_offset") + F.col("_in") - 1).alias("line_no"), "value")
+
+
 def read_skipping_lines(spark: SparkSession, path: str, skip: Sequence[int] = (0, 2),
                         strip: str = QUOTE_BLANKS) -> DataFrame:
     """CSV whose listed physical lines are junk; the first kept line is the header.
 
-    Header names and every value are stripped of quotes and blanks.  Line numbers
-    come from ``zipWithIndex`` (consecutive across partitions); this is meant for
-    reference files such as a code dictionary.
+    Header names and every value are stripped of quotes and blanks.  Of several files each has its own junk and header;
+    names come from the first one.
     """
-    skip = set(skip)
-    lines = spark.read.text(path).rdd.zipWithIndex().filter(lambda t: t[1] not in skip) \
-        .map(lambda t: (t[1], t[0][0])).toDF("line_no long, value string")
-    first = lines.orderBy("line_no").first()
+    lines = numbered_lines(spark, path).where(~F.col("line_no").isin(list(skip)))
+    at = next(i for i in itertools.count() if i not in set(skip))
+    first = lines.where(F.col("line_no") == at).orderBy("file").first()
     header = [h.strip(strip) for h in _split_csv_line(first["value"])]
-    body = lines.where(F.col("line_no") != first["line_no"])
     schema = ", ".join(f"c{i} string" for i in range(len(header)))
-    parsed = body.select("line_no", F.from_csv("value", schema).alias("r"))
+    parsed = lines.where(F.col("line_no") > at).select("line_no", F.from_csv("value", schema).alias("r"))
     return parsed.select("line_no", *[trim_chars(F.col(f"r.c{i}"), strip).alias(h) for i, h in enumerate(header)])
 
 
@@ -85,6 +107,53 @@ def read_keyed_files(spark: SparkSession, glob: str, key_pattern: str = r"_([^_/
     return df.withColumn(key_col, file_key("_file", key_pattern)).drop("_file")
 
 
+def read_whole_files(spark: SparkSession, glob: str, schema: str, key_pattern: str = r"_([^_/]+)\.[A-Za-z]+$", key_col: str = "cluster",
+                     header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(rows, skipped)`` of many CSV files: a file comes whole or not at all.
+
+    ``rows`` has the key parsed from the file's name, ``row_no`` (from 0, blank lines and the header not counted) and the
+    columns of ``schema``.  ``skipped(file, key, reason)`` names every listed file that gives no rows: empty or not readable,
+    no rows, or lines that do not fit the schema (wrong number of fields or a value of another type).  Line breaks inside
+    quotes are not supported.
+    """
+    # the listing of a scan, empty files included, which the driver holds in any case
+    listed = spark.createDataFrame([(f,) for f in spark.read.text(glob).inputFiles()], "file string").select(_file_name("file"))
+    head = 1 if header else 0
+    lines = numbered_lines(spark, glob, blanks=False).withColumn("r", F.from_csv(
+        "value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
+    body = F.col("line_no") >= head
+    counts = lines.groupBy("file").agg(F.count_if(body).alias("n"), F.count_if(body & F.col("r._corrupt").isNotNull()).alias("bad"))
+    state = listed.join(counts, "file", "left").withColumn(key_col, file_key("file", key_pattern)).withColumn(
+        "reason", F.when(F.col("n").isNull(), "empty or not readable").when(F.col("n") == 0, "no rows")
+        .when(F.col("bad") > 0, F.format_string("%d lines do not fit the schema", "bad")))
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    rows = lines.where(body).join(state.where("reason IS NULL").select("file", key_col), "file") \
+        .select(key_col, (F.col("line_no") - head).alias("row_no"), *[F.col(f"r.`{c}`").alias(c) for c in names])
+    return rows, state.where("reason IS NOT NULL").select("file", key_col, "reason")
+
+
+def read_paired_files(spark: SparkSession, x_glob: str, x_schema: str, y_glob: str, y_schema: str = "label int",
+                      key_pattern: str = r"_([^_/]+)\.[A-Za-z]+$", key_col: str = "cluster", x_header: bool = True,
+                      y_header: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(rows, skipped)``: feature files paired with label files by the key in their names, row by row.
+
+    ``skipped(key, reason)`` names every key that gives no rows: a file skipped by ``read_whole_files``, one without a
+    partner, or two with different numbers of rows (several files of one key on a side count as that, too)."""
+    x, x_skipped = read_whole_files(spark, x_glob, x_schema, key_pattern, key_col, x_header)
+    y, y_skipped = read_whole_files(spark, y_glob, y_schema, key_pattern, key_col, y_header)
+    size = x.groupBy(key_col).agg(F.count(F.lit(1)).alias("nx"), F.max("row_no").alias("mx")) \
+        .join(y.groupBy(key_col).agg(F.count(F.lit(1)).alias("ny"), F.max("row_no").alias("my")), key_col, "full")
+    state = size.withColumn("reason", F.when(F.col("ny").isNull(), "no labels").when(F.col("nx").isNull(), "no features")
+                            .when((F.col("nx") != F.col("ny")) | (F.col("mx") != F.col("nx") - 1) | (F.col("my") != F.col("ny") - 1),
+                                  F.format_string("%d rows of features, %d of labels", "nx", "ny")))
+    bad = x_skipped.select(key_col, F.concat(F.lit("features: "), "reason").alias("reason")) \
+        .unionByName(y_skipped.select(key_col, F.concat(F.lit("labels: "), "reason").alias("reason"))) \
+        .unionByName(state.where("reason IS NOT NULL").select(key_col, "reason"))
+    usable = state.where("reason IS NULL").select(key_col)
+    rows = x.join(usable, key_col, "left_semi").join(y, [key_col, "row_no"])
+    return rows, bad.groupBy(key_col).agg(F.array_join(F.sort_array(F.collect_set("reason")), "; ").alias("reason"))
+
+
 def usable_groups(df: DataFrame, group_col: str, label_col: str = "label", min_rows: int = 2) -> DataFrame:
     """Rows of the groups that can be fitted: at least ``min_rows`` rows and both
     classes (the explicit form of skipping unusable inputs)."""
