@@ -269,14 +269,18 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
                 # alike sets have all but n - ceil(n * num / den) signatures in common, whichever are the first ones in an order that all share
                 prefix = s[np.lexsort((splitmix(s), rarity[cell(s)]))[:len(s) - -(-len(s) * num // den) + 1]]
                 own = bisect_right(bounds, len(s))
-                keys += [splitmix(prefix | np.uint64(p << 32)) for p in (own, own + 1)]
+                keys += [splitmix(prefix | np.uint64(p << 32)) >> np.uint64(1) for p in (own, own + 1)]
                 rids.append(np.full(2 * len(prefix), rid, np.int64))
             if keys:
-                yield from dealt(np.concatenate(keys), np.concatenate(rids), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rids))], ["key", "rid"])
 
-    postings = named.groupBy("cls", "rid").agg(F.first("sigs").alias("sigs")).select("rid", "sigs").mapInArrow(index, "bucket int, pairs binary")
-    shared = stored(postings.repartition(buckets // 8, "bucket").sortWithinPartitions("bucket")
-                    .mapInArrow(shared_keys, "gid long, rid long").distinct(), "shared")
+    def shared_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return shared_keys(b for batch in batches for b in dealt(batch["key"].to_numpy().view(np.uint64), batch["rid"].to_numpy(), buckets))
+
+    postings = named.groupBy("cls", "rid").agg(F.first("sigs").alias("sigs")).select("rid", "sigs").mapInArrow(index, "key long, rid long")
+    # a row a signature: rows of a bucket and task would grow with the square of the partitions
+    shared = stored(postings.repartition(buckets // 8, "key").sortWithinPartitions(F.pmod("key", F.lit(buckets)))
+                    .mapInArrow(shared_rows, "gid long, rid long").distinct(), "shared")
     component = exact_components(sets, candidate_edges(shared, sets, num, den), named.select("doc_id", "said", F.col("sigs").alias("text")),
                                  lambda column: [np.frombuffer(x, "<u4").astype(np.uint64) for x in column.to_pylist()], num, den)
     return sets.select("doc_id", "said", F.col("n").alias("n_signatures"), "cls").join(component, "cls", "left") \
