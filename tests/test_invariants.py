@@ -143,3 +143,27 @@ def test_hot_group_is_split_across_buckets(spark):
     sizes = _with_bucket(df.withColumn("kd", F.col("k").cast("double")), "kd", 16) \
         .groupBy("g", BUCKET).count().where(F.col("g") == 0).select(F.max("count")).first()[0]
     assert sizes <= (n // 3) / 8        # the hot group is spread over many window partitions
+
+
+def test_sampled_shapley_scores_each_step_of_an_order_once(spark):
+    df = _separable(spark, 20)
+    pipe = models.make_estimator("logistic", maxIter=5).fit(assemble(df, ["x1", "x2"]))
+
+    class Counted:
+        rows = 0
+
+        def transform(self, vectors):
+            self.rows = vectors.count()
+            return pipe.transform(vectors)
+    model = Counted()
+    assert attribution.sampled_shapley(model, df, [[1.0, 0.0]], ["x1", "x2"], "id", n_perm=3).count() == 2
+    assert model.rows == df.count() * 3 * (2 + 1)
+
+
+def test_model_frame_is_read_from_one_stored_table(spark):
+    from sf_dirs import SF_SMALL
+    from wardlens.plans import catalog
+    df = catalog._model_frame(spark, SF_SMALL)
+    assert all("/model_frame-" in f for f in df.inputFiles())
+    again = catalog._model_frame(spark, SF_SMALL)
+    assert df.exceptAll(again).count() == 0 and df.count() == catalog._stay_features(spark, SF_SMALL).count()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from wardlens.operators.evaluate import roc_auc
 from wardlens.operators.folds import hash_bits
 from wardlens.operators.ordered import row_numbers
+from wardlens.session import shuffle_partitions
 
 
 def named_importances(model, features: Sequence[str], top: int | None = None) -> DataFrame:
@@ -95,38 +96,33 @@ def sampled_shapley(model, rows: DataFrame, background: Sequence[Sequence[float]
     probability, averaged as mean |value| per feature.
 
     For each row and sample m: a feature order and a background row are drawn
-    from a hash of (key, m), background rows in proportion to ``weights``; for feature j the model scores x with j and the
-    features before j from x, the rest from the background row, and the same
-    with j also from the background.  Rows x samples x features are exploded
-    and scored by one ``transform``.
+    from a hash of (key, m), background rows in proportion to ``weights``; the model scores the background row with the
+    first 0, 1, ... features of the order taken from x, and a feature's value is the rise of the score where it joins.
+    Rows x samples x (features + 1) vectors are exploded and scored by one ``transform``; only one row a key and its
+    sums are shuffled after it.
     """
-    nf = len(features)
+    nf, spark = len(features), rows.sparkSession
     bg = F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in background])
     x = rows.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    # a row is some hundred vectors: every core gets rows
+    x = x.repartition(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)))
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_m"))
-    h = hash_bits(key, F.col("_m"))
     upto = [sum((weights or [1] * len(background))[:i + 1]) for i in range(len(background))]
-    drawn = F.size(F.filter(F.array(*[F.lit(int(u)) for u in upto]), lambda u: u <= h % int(upto[-1])))
-    x = x.withColumn("_z", F.element_at(bg, drawn + 1))
+    x = x.withColumn("_h", hash_bits(key, F.col("_m")) % int(upto[-1]))
+    drawn = sum((F.when(F.col("_h") >= int(u), 1).otherwise(0) for u in upto), F.lit(0))
     # random order: sort features by a hash of (key, m, feature)
-    order = F.array_sort(F.array(*[F.struct(hash_bits(key, F.concat_ws(":", F.col("_m").cast("string"), F.lit(f"f{i}"))).alias("r"), F.lit(i).alias("i"))
+    order = F.sort_array(F.array(*[F.struct(hash_bits(key, F.concat_ws(":", F.col("_m").cast("string"), F.lit(f"f{i}"))).alias("r"), F.lit(i).alias("i"))
                                    for i in range(nf)]))
-    x = x.withColumn("_pos", F.transform(F.sequence(F.lit(0), F.lit(nf - 1)),
-                                         lambda i: F.array_position(F.transform(order, lambda s: s["i"]), i)))
-    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("_j"))
-    pj = F.element_at("_pos", F.col("_j") + 1)
-
-    def mix(include_j: bool):
-        return F.transform(F.sequence(F.lit(0), F.lit(nf - 1)), lambda i: F.when(
-            (F.element_at("_pos", i + 1) < pj) | ((i == F.col("_j")) if include_j else F.lit(False)),
-            F.element_at("_x", i + 1)).otherwise(F.element_at("_z", i + 1)))
-    both = x.select(key, "_m", "_j", F.explode(F.array(
-        F.struct(F.lit(1).alias("_w"), mix(True).alias("_v")),
-        F.struct(F.lit(-1).alias("_w"), mix(False).alias("_v")))).alias("_s"))
-    both = both.select(key, "_m", "_j", "_s._w", array_to_vector("_s._v").alias(features_col))
-    scored = model.transform(both).withColumn("_p", vector_to_array("probability")[1] * F.col("_w"))
-    phi = scored.groupBy(key, "_m", "_j").agg(F.sum("_p").alias("phi")) \
-        .groupBy(key, "_j").agg(F.avg("phi").alias("phi"))
-    names = F.array(*[F.lit(f) for f in features])
-    return phi.groupBy("_j").agg(F.avg(F.abs("phi")).alias("mean_abs"), F.avg("phi").alias("mean")) \
-        .select(F.element_at(names, F.col("_j") + 1).alias("feature"), "mean_abs", "mean")
+    x = x.withColumn("_z", F.element_at(bg, drawn + 1)).withColumn("_order", order["i"])
+    x = x.withColumn("_pos", F.array(*[F.array_position("_order", F.lit(i)) for i in range(nf)]))
+    x = x.select(key, "_x", "_z", "_order", "_pos", F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("_t"))
+    vector = F.array(*[F.when(F.col("_pos")[i] <= F.col("_t"), F.col("_x")[i]).otherwise(F.col("_z")[i]) for i in range(nf)])
+    # the score with t features adds to the t-th and takes from the next
+    steps = x.select(key, F.when(F.col("_t") > 0, F.get("_order", F.col("_t") - 1)).alias("_up"),
+                     F.get("_order", F.col("_t")).alias("_down"), array_to_vector(vector).alias(features_col))
+    scored = model.transform(steps).withColumn("_p", vector_to_array("probability")[1])
+    phi = scored.groupBy(key).agg(*[F.sum(F.when(F.col("_up") == i, F.col("_p")).when(F.col("_down") == i, -F.col("_p"))).alias(f"_s{i}")
+                                    for i in range(nf)])
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"_s{i}") / n_perm).alias("phi")) for i, f in enumerate(features)])
+    return phi.select(F.explode(each).alias("_e")).groupBy("_e.feature") \
+        .agg(F.avg(F.abs("_e.phi")).alias("mean_abs"), F.avg("_e.phi").alias("mean"))
