@@ -690,11 +690,16 @@ def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ fits, search, attribution
 def _model_frame(spark, sf_dir):
-    """Stay features + label + fold (5 stratified) + 80/20 split, ready for fits."""
+    """Stay features + label + fold (5 stratified) + 80/20 split, ready for fits; written once, as fits, folds and
+    scores read it many times."""
     from wardlens.operators.folds import hash_split
+    from wardlens.session import tmp_output_dir
     f = _stay_features(spark, sf_dir).select("hadm_id", "label", "priority", *FEATURES)
-    f = ntile_folds(f, "hadm_id", 5, ["label"])
-    return hash_split(f, "hadm_id", 0.2)
+    f = hash_split(ntile_folds(f, "hadm_id", 5, ["label"]), "hadm_id", 0.2)
+    path = tmp_output_dir(spark, "model_frame")
+    f.write.parquet(path)
+    spark.catalog.clearCache()   # the folds' ranks
+    return spark.read.schema(f.schema).parquet(path)
 
 
 def _fit(kind, train, **params):
