@@ -81,3 +81,24 @@ def test_background_draw_follows_the_weights(blobs):
     got = km.kmeans_all(df, "v", "id", [3], F.col("w"))
     drawn = np.bincount(km.draw_background(got, 3, 4000), minlength=3) / 4000
     assert np.allclose(drawn, got.weights[3] / w.sum(), atol=0.04)
+
+
+def test_a_pass_over_one_file_has_a_task_for_every_core(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "id long, v array<double>").coalesce(1)
+    parts, plain_step = [], km.step_sums
+    monkeypatch.setattr(km, "step_sums", lambda rows, *a: (parts.append(rows.rdd.getNumPartitions()), plain_step(rows, *a))[1])
+    km.kmeans_all(df, "v", "id", [2])
+    assert parts and min(parts) >= spark.sparkContext.defaultParallelism
+
+
+def test_products_choose_the_centre_that_differences_choose(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([1e6 + rng.integers(0, 3, (300, 4)) / 2, [[1e12, 0, 0, 0]]])
+    rows = km.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "v", "id")
+    centres = {(k, run): x[rng.choice(300, k, replace=False)] + run * 1e-7 for k in (1, 4, 9) for run in (0, 1)} | {(5, 0): x[-5:]}
+    got = {(r["k"], r["run"], r["centre"]): (r["n"], r["cost"]) for r in km.step_sums(rows, centres, 4).where("dim = 0").collect()}
+    for (k, run), c in centres.items():
+        d = ((x[:, None] - c) ** 2).sum(2)
+        for i in range(k):
+            n, cost = got[k, run, i]
+            assert n == (d.argmin(1) == i).sum() and np.isclose(cost, d.min(1)[d.argmin(1) == i].sum(), rtol=1e-9, atol=0)

@@ -8,7 +8,9 @@ k-means++: the next one is the row with the least ``-ln(u) / (weight * squared d
 and the start, which is a draw in proportion to weight times squared distance, for all starts by one aggregate; k starts
 from the first k of them.
 
-Squared distances are sums of squared differences, so k = 1 loses nothing to cancellation.  Rows whose vector is null
+Squared distances come from one matrix product with the centres of all k, taken about their mean; where its rounding could
+choose another centre or show in the distance, they are sums of squared differences, so k = 1 loses nothing to
+cancellation.  Rows whose vector is null
 or holds null or non-finite entries, or whose weight is null or not positive, are left out.  With fewer distinct vectors
 than k, the centres that draw no row are dropped, and a centre that loses its rows stays where it was.
 """
@@ -24,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.operators.mixing import mixed_uniform
-from wardlens.session import tmp_output_dir
+from wardlens.session import spread
 
 #: Distances held at once in a task (rows x centres x width).
 CELLS = 2_000_000
+#: A squared distance from a matrix product stands when its rounding error is below this share of it.
+EXACT = 1e-10
 
 
 @dataclass
@@ -60,6 +64,21 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> Iterator[tuple[slice, np.n
         yield part, ((x[part, None, :] - centres[None]) ** 2).sum(2)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, product: np.ndarray, x2: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre (ties to the first) and its squared distance for each row, from the products (centres x rows) and
+    squared lengths of both about a common point."""
+    rough = c2[:, None] - 2 * product
+    which = rough.argmin(0)
+    least = rough[which, np.arange(len(x))]
+    # a product of n terms is off by n roundings of the lengths at most
+    error = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (x2 + c2.max())
+    d = least + x2
+    unsure = np.flatnonzero(~(error <= EXACT * d) | ((rough <= least + 2 * error).sum(0) > 1))
+    for part, exact in _distances(x[unsure], centres):
+        which[unsure[part]], d[unsure[part]] = exact.argmin(1), exact.min(1)
+    return which, d
+
+
 def next_seeds(rows: DataFrame, centres: dict[int, np.ndarray], turn: int, seed: int, width: int) -> dict[int, np.ndarray]:
     """One more starting centre for each start; a start is missing where every row lies on one of its centres."""
     shared = rows.sparkSession.sparkContext.broadcast(centres)
@@ -89,15 +108,26 @@ def step_sums(rows: DataFrame, centres: dict[tuple[int, int], np.ndarray], width
     shared = rows.sparkSession.sparkContext.broadcast(centres)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {at: np.zeros((len(c), width + 3)) for at, c in shared.value.items()}
+        every = np.concatenate(list(shared.value.values()))
+        ends = np.cumsum([len(c) for c in shared.value.values()])
+        middle = every.mean(0)
+        moved = every - middle
+        c2, sums = (moved ** 2).sum(1), np.zeros((len(every), width + 3))
+        step = max(1, CELLS // len(every))
         for batch in batches:
             x, w = _matrix(batch["v"], width), batch["w"].to_numpy()
-            for at, c in shared.value.items():
-                for part, d in _distances(x, c):
-                    which, xs, ws = d.argmin(1), x[part], w[part]
-                    member = np.zeros((len(c), len(xs)))
-                    member[which, np.arange(len(xs))] = 1.0
-                    total[at] += np.concatenate([member @ (xs * ws[:, None]), member @ np.stack([ws, np.ones(len(ws)), ws * d.min(1)], 1)], 1)
+            weighted = np.concatenate([x * w[:, None], w[:, None], np.ones((len(x), 1))], 1)
+            for at in range(0, len(x), step):
+                xs, ws = x[at:at + step], w[at:at + step]
+                near = xs - middle
+                x2, product, member = (near ** 2).sum(1), moved @ near.T, np.zeros((len(every), len(near)))
+                for end, c in zip(ends, shared.value.values()):
+                    own = slice(end - len(c), end)
+                    which, d = _nearest(xs, c, product[own], x2, c2[own])
+                    member[own.start + which, np.arange(len(near))] = 1.0
+                    sums[own, width + 2] += np.bincount(which, ws * d, len(c))
+                sums[:, :width + 2] += member @ weighted[at:at + step]
+        total = {at: sums[end - len(c):end] for end, (at, c) in zip(ends, shared.value.items())}
         for (k, run), t in total.items():
             rest = np.zeros((len(t), width, 3))
             rest[:, 0] = t[:, width:]
@@ -116,10 +146,7 @@ def kmeans_all(df: DataFrame, vec_col: str, key_col: str, ks: Sequence[int], wei
 
     A start rests when no centre moved further than ``tol`` or after ``max_iter`` moves; weights and inertia belong to
     the centres returned, those of the start with the least inertia (ties to the first).  k = 1 has one start."""
-    spark, path = df.sparkSession, tmp_output_dir(df.sparkSession, "kmeans")
-    rows = usable(df, vec_col, key_col, weight)
-    rows.write.parquet(path)
-    rows = spark.read.schema(rows.schema).parquet(path)
+    rows = spread(usable(df, vec_col, key_col, weight), "kmeans")
     sizes = [r[0] for r in rows.select(F.size("v")).distinct().limit(2).collect()]
     if len(sizes) > 1:
         raise ValueError("vectors differ in length")
