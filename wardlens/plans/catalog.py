@@ -116,6 +116,12 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.attach_codes(B.stays(spark, sf_dir).select("hadm_id"), known, col="categories")
 
 
+def _stored_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``_sets`` written once, for fits that read them many times."""
+    from wardlens.session import spread
+    return spread(_sets(spark, sf_dir), "sets")
+
+
 @register("stay_categories", f"""
 WITH {DICT_CTE}, {SETS_CTE}
 SELECT hadm_id, array_to_string(cats, ',') AS categories, CAST(len(cats) AS BIGINT) AS n_categories FROM sets""")
@@ -916,7 +922,7 @@ def category_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tf-idf (smoothed idf + 1, l2 rows) of the stays' category sets and the binary
     incidence vectors, as arrays."""
     from wardlens.operators.features import incidence_vectors, tfidf
-    sets = _sets(spark, sf_dir)
+    sets = _stored_sets(spark, sf_dir)
     t = tfidf(sets, "categories")
     bow, _ = incidence_vectors(t, "categories")
     from pyspark.ml.functions import vector_to_array
@@ -987,7 +993,8 @@ def som_clusters(spark: SparkSession, sf_dir: str, side: int = 30) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     from wardlens.operators.cluster import som_clusters as som
     from wardlens.operators.features import incidence_vectors
-    sets = _sets(spark, sf_dir)
+    from wardlens.session import spread
+    sets = _stored_sets(spark, sf_dir)
     bow, vocab = incidence_vectors(sets, "categories")
     x = bow.select("hadm_id", vector_to_array("bow").alias("v"))
     n = len(vocab)
@@ -997,7 +1004,7 @@ def som_clusters(spark: SparkSession, sf_dir: str, side: int = 30) -> DataFrame:
     sd = [r["s"] or 1.0 for r in stats]
     z = x.select("hadm_id", F.transform("v", lambda b, i: (b - F.element_at(F.array(*[F.lit(v) for v in m]), i + 1))
                                         / F.element_at(F.array(*[F.lit(v) for v in sd]), i + 1)).alias("v"))
-    return som(z.checkpoint(eager=True) if n else z, "v", "hadm_id", side, side, k=3, rough_epochs=2, finetune_epochs=2)
+    return som(spread(z, "incidence") if n else z, "v", "hadm_id", side, side, k=3, rough_epochs=2, finetune_epochs=2)
 
 
 @register("cluster_cross_tab", f"""
