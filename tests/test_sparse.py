@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from wardlens.operators import sparse
 from wardlens.operators.sparse import sparse_svd
 
 
@@ -39,3 +40,28 @@ def test_repeats_add_up_and_odd_values_are_left_out(spark):
 def test_empty_matrix(spark):
     s, p = sparse_svd(spark.createDataFrame([], "row long, col string, value double"), 3)
     assert len(s) == 0 and p.count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_both_forms_take_the_same_steps(spark, monkeypatch, few):
+    passes, step = [], sparse._step
+    monkeypatch.setattr(sparse, "FEW", few)
+    monkeypatch.setattr(sparse, "ENTRIES", 7)
+    monkeypatch.setattr(sparse, "_step", lambda *a: (passes.append(1), step(*a))[1])
+    rng = np.random.default_rng(8)
+    m = rng.random((40, 9)) * (rng.random((40, 9)) < 0.4)
+    s, rows = sparse_svd(spark.createDataFrame(triples(m), "row long, col string, value double").repartition(3), 4, oversample=3, max_iter=4 if few else 2)
+    assert bool(passes) == bool(few) and len(passes) < 9
+    want = np.linalg.svd(m, compute_uv=False)[:4]
+    assert np.abs(s / want - 1).max() < 0.1
+    if few:
+        p = np.array([list(r)[1:] for r in rows.orderBy("id").collect()])
+        assert np.allclose(p.T @ p, np.diag(s ** 2), atol=1e-9)
+
+
+def test_weights_keep_their_rules_for_nulls_and_repeats(spark):
+    rows = [(1, ["a", "a", "b", None]), (2, ["b"]), (3, None), (4, []), (None, ["a"]), (1, ["b"])]
+    got = {(r["id"], r["item"]): r["weight"] for r in sparse.tfidf_long(spark.createDataFrame(rows, "id long, items array<string>"), "id", "items").collect()}
+    idf = np.log(7 / 3) + 1
+    # counts of key 1: a twice, b twice; both items are in two keys (the null key counts, but has no rows)
+    assert set(got) == {(1, "a"), (1, "b"), (2, "b")} and np.isclose(got[1, "a"], 2 * idf / np.hypot(2 * idf, 2 * idf)) and got[2, "b"] == 1
