@@ -167,3 +167,19 @@ def test_model_frame_is_read_from_one_stored_table(spark):
     assert all("/model_frame-" in f for f in df.inputFiles())
     again = catalog._model_frame(spark, SF_SMALL)
     assert df.exceptAll(again).count() == 0 and df.count() == catalog._stay_features(spark, SF_SMALL).count()
+
+
+def test_som_passes_sum_whole_batches(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(cluster, "SOM_ROWS", 7)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((150, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    w, grid = cluster.som_train(df, "v", "id", 2, 3, rough_epochs=1, finetune_epochs=0)
+    start = np.array([r["v"] for r in df.orderBy(cluster.hash_bits("id"), "id").limit(6).collect()])
+    best = ((x[:, None] - start) ** 2).sum(2).argmin(1)
+    near = np.exp(-((grid[:, None] - grid) ** 2).sum(-1) / (2 * 1.5 ** 2))
+    member = (best[:, None] == np.arange(6)).astype(float)
+    assert np.allclose(w, near @ member.T @ x / (near @ member.sum(0))[:, None])
+    units = {r["id"]: r["unit"] for r in cluster.som_best_unit(df, "v", w).collect()}
+    assert [units[i] for i in range(150)] == ((x[:, None] - w) ** 2).sum(2).argmin(1).tolist()

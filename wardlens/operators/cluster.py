@@ -241,24 +241,41 @@ def background_summary(df: DataFrame, vec_col: str, k: int = 10, seed: int = 1)
 
 
 # ---------------------------------------------------------------- self-organising map
+#: Rows compared with the map at once.
+SOM_ROWS = 1000
+
+
 def _grid_coords(rows: int, cols: int):
     import numpy as np
     return np.array([(r, c) for r in range(rows) for c in range(cols)], dtype=float)
 
 
+def _best_units(vectors, code):
+    """Some rows at a time: their matrix and the nearest unit of each (ties to the first)."""
+    import numpy as np
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, code.shape[1]))
+    c2, twice = (code ** 2).sum(1), -2 * code.T
+    for at in range(0, len(x), SOM_ROWS):
+        part = x[at:at + SOM_ROWS]
+        d = part @ twice
+        d += c2
+        yield part, d.argmin(1)
+
+
 def som_train(df: DataFrame, vec_col: str, key: str, rows: int = 30, cols: int = 30,
               rough_epochs: int = 2, finetune_epochs: int = 2, sigma_rough: tuple = (None, None),
               sigma_fine: tuple = (None, 1.0)):
     """Batch self-organising map on a rectangular grid with a Gaussian neighbourhood.
 
     Each epoch is one distributed pass: the best unit of every row is found in
-    ``mapInPandas`` (numpy on Arrow batches) against the broadcast codebook, and
+    ``mapInArrow`` (numpy on Arrow batches) against the broadcast codebook, and
     per-unit counts and sums come back through a ``groupBy`` on the unit.  Only
     the codebook (units x width, bounded) lives on the driver, where the
     neighbourhood-weighted update ``W = (H S) / (H N)`` is applied.  The codebook
     starts from the first rows in hash order.  Returns (codebook ndarray, grid coords).
     """
     import numpy as np
+    import pyarrow as pa
     spark = df.sparkSession
     width = len(df.select(vec_col).first()[0])
     units = rows * cols
@@ -280,25 +297,18 @@ def som_train(df: DataFrame, vec_col: str, key: str, rows: int = 30, cols: int =
         bw = spark.sparkContext.broadcast(w)
 
         def partial_sums(batches, bw=bw):
-            import pandas as pd
-            code = bw.value
-            c2 = (code ** 2).sum(1)
-            acc_n = np.zeros(len(code))
-            acc_s = np.zeros_like(code)
-            for pdf in batches:
-                x = np.stack(pdf[vec_col].to_numpy()).astype(float) if len(pdf) else np.zeros((0, code.shape[1]))
-                if not len(x):
-                    continue
-                best = np.argmin(c2[None, :] - 2 * x @ code.T, axis=1)
-                np.add.at(acc_n, best, 1)
-                np.add.at(acc_s, best, x)
+            acc_n = np.zeros(len(bw.value), dtype="int64")
+            acc_s = np.zeros_like(bw.value)
+            for batch in batches:
+                for x, best in _best_units(batch[vec_col], bw.value):
+                    order = np.argsort(best, kind="stable")
+                    hit, first = np.unique(best[order], return_index=True)
+                    acc_n += np.bincount(best, minlength=len(acc_n))
+                    acc_s[hit] += np.add.reduceat(x[order], first)
             hit = np.nonzero(acc_n)[0]
             if len(hit):
-                d = {"unit": hit.astype("int32"), "n": acc_n[hit].astype("int64")}
-                for i in range(code.shape[1]):
-                    d[f"s{i}"] = acc_s[hit, i]
-                yield pd.DataFrame(d)
-        part = df.select(vec_col).mapInPandas(partial_sums, out_schema)
+                yield pa.RecordBatch.from_pydict({"unit": hit.astype("int32"), "n": acc_n[hit]} | {f"s{i}": acc_s[hit, i] for i in range(width)})
+        part = df.select(vec_col).mapInArrow(partial_sums, out_schema)
         tot = part.groupBy("unit").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
         n = np.zeros(units)
         s = np.zeros((units, width))
@@ -314,24 +324,20 @@ def som_train(df: DataFrame, vec_col: str, key: str, rows: int = 30, cols: int =
 
 
 def som_best_unit(df: DataFrame, vec_col: str, codebook, out: str = "unit") -> DataFrame:
-    """Best-matching unit per row (``mapInPandas`` against the broadcast codebook)."""
+    """Best-matching unit per row (``mapInArrow`` against the broadcast codebook)."""
     import numpy as np
+    import pyarrow as pa
     spark = df.sparkSession
     bw = spark.sparkContext.broadcast(np.asarray(codebook, dtype=float))
     from pyspark.sql.types import IntegerType, StructType
     schema = StructType(list(df.schema.fields)).add(out, IntegerType())
 
     def best(batches):
-        code = bw.value
-        c2 = (code ** 2).sum(1)
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf[vec_col].to_numpy()).astype(float)
-                pdf[out] = np.argmin(c2[None, :] - 2 * x @ code.T, axis=1).astype("int32")
-            else:
-                pdf[out] = np.zeros(0, dtype="int32")
-            yield pdf
-    return df.mapInPandas(best, schema)
+        for batch in batches:
+            found = [unit for _, unit in _best_units(batch[vec_col], bw.value)]
+            units = np.concatenate([np.zeros(0, "int64"), *found]).astype("int32")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(units)], names=[*batch.schema.names, out])
+    return df.mapInArrow(best, schema)
 
 
 def som_clusters(df: DataFrame, vec_col: str, key: str, rows: int = 30, cols: int = 30, k: int = 3,
