@@ -238,3 +238,15 @@ def test_top_k_equals_sql(spark):
 
 def test_empty_index(spark, empty):
     assert topk.top_k(empty, spark.createDataFrame([(1, "a")], "query_id long, text string")).count() == 0
+
+
+def test_packed_texts_come_back_whole_and_smaller():
+    import pyarrow as pa
+    from wardlens.llm import common
+    texts = pa.array(["", None, "é" * 3, "a word and another word " * 400, "\x00\n"], pa.string())
+    data = common.packed(texts)
+    sizes = pa.array([None if t is None else len(t.encode()) for t in texts.to_pylist()], pa.int64())
+    assert common.unpacked(pa.array(data, pa.binary()), sizes).equals(texts) and len(data[3]) < 1000
+    # a chunk is bounded by the texts' sizes, not by what is left of them
+    batch = pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), sizes], names=["text", "size"])
+    assert [len(c) for c in common.chunks([batch], chars=9000, size="size")] == [3, 1, 1]

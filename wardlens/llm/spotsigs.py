@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import chunks, column, rows, splitmix, stored
+from wardlens.llm.common import chunks, column, packed, rows, splitmix, stored, unpacked
 from wardlens.llm.simjoin import candidate_edges, class_of, dealt, exact_components, lower_bits, parity_bits, parity_level, record_id, shared_keys
 
 #: Common words of English, German, French and Spanish.
@@ -122,7 +122,7 @@ def fingerprints(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
 
     Documents are dealt by ranges of doc_id, and of the text's hash within an id that fills several ranges; each range's
     first row also goes to the end of the range before it (the very first to the last), so every row meets the next one
-    in its own task and texts are shuffled once.  The components come to the same ranges as rows without text.
+    in its own task and texts are shuffled once, each compressed.  The components come to the same ranges as rows without text.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -166,25 +166,26 @@ def fingerprints(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     filled = sorted(first)
     before = {first[b]: filled[i - 1] for i, b in enumerate(filled)}
     deal_schema = pa.schema([("bucket", pa.int32()), ("copy", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()),
-                             ("text", pa.string()), ("component_id", pa.int64())])
-    deal_ddl = "bucket int, copy boolean, id long, h long, place int, doc_id long, text string, component_id long"
+                             ("text", pa.binary()), ("size", pa.int64()), ("component_id", pa.int64())])
+    deal_ddl = "bucket int, copy boolean, id long, h long, place int, doc_id long, text binary, size long, component_id long"
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            doc, text = column(part, "doc_id"), column(part, "text")
+            doc, size = column(part, "doc_id"), pc.binary_length(column(part, "text")).cast(pa.int64())
+            text = pa.array(packed(column(part, "text")), pa.binary())
             values, h = pc.fill_null(doc, none).to_numpy(), column(part, "h").to_numpy()
             leads = {key: i for i, key in enumerate(zip(values.tolist(), h.tolist())) if key in before}
             lead, n = np.array(list(leads.values()), np.int64), len(part)
-            yield rows(deal_schema, bucket(values, h), [False] * n, values, h, [1] * n, doc, text, [None] * n)
+            yield rows(deal_schema, bucket(values, h), [False] * n, values, h, [1] * n, doc, text, size, [None] * n)
             if len(lead):
                 yield rows(deal_schema, [before[key] for key in leads], [True] * len(lead), values[lead], h[lead], [1] * len(lead),
-                           doc.take(pa.array(lead)), text.take(pa.array(lead)), [None] * len(lead))
+                           doc.take(pa.array(lead)), text.take(pa.array(lead)), size.take(pa.array(lead)), [None] * len(lead))
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, n = column(batch, "doc_id"), len(batch)
             values, h = pc.fill_null(doc, none).to_numpy(), column(batch, "h").to_numpy()
-            yield rows(deal_schema, bucket(values, h), [False] * n, values, h, [0] * n, doc, [None] * n, column(batch, "component_id"))
+            yield rows(deal_schema, bucket(values, h), [False] * n, values, h, [0] * n, doc, [None] * n, [None] * n, column(batch, "component_id"))
 
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order: each with the one after it in its range (the first copy, at the end); a label before its texts."""
@@ -198,10 +199,11 @@ def fingerprints(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
                         [written(g[3]) for g in group], [written(m) for m in marks], [likeness(g[3], m) for g, m in zip(group, marks)],
                         [likeness(g[3], f[3]) for g, f in zip(group, following)], [g[4] for g in group])
 
-        for part in chunks(batches):
+        for part in chunks(batches, size="size"):
             group, following = [], []
-            for b, copy, place, doc, text, sigs, own in zip(*(column(part, c).to_pylist() for c in ("bucket", "copy", "place", "doc_id", "text")),
-                                                            signature_sets(column(part, "text")), column(part, "component_id").to_pylist()):
+            texts = unpacked(column(part, "text"), column(part, "size"))
+            for b, copy, place, doc, text, sigs, own in zip(*(column(part, c).to_pylist() for c in ("bucket", "copy", "place", "doc_id")),
+                                                            texts.to_pylist(), signature_sets(texts), column(part, "component_id").to_pylist()):
                 if place == 0:
                     component = own
                     continue
@@ -216,7 +218,7 @@ def fingerprints(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
 
     dealt_rows = docs.mapInArrow(deal, deal_ddl).unionByName(known.mapInArrow(label, deal_ddl))
     return dealt_rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "copy", F.desc("id"), "h", "place") \
-        .select("bucket", "copy", "place", "doc_id", "text", "component_id").mapInArrow(prints, PRINTS_DDL)
+        .select("bucket", "copy", "place", "doc_id", "text", "size", "component_id").mapInArrow(prints, PRINTS_DDL)
 
 
 def length_partitions(longest: int, num: int, den: int) -> list[int]:
