@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from rows import ODD
 
-from wardlens.llm import idfile, packing
+from wardlens.llm import idfile, packing, tok
 from wardlens.llm.tok import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +44,28 @@ def test_words_equal_whole_texts_on_odd_characters(enc):
         assert ids.tolist() == [i for t in texts for i in library(enc, t)]
 
 
+def test_words_that_come_again_stay_when_the_table_is_full(monkeypatch):
+    monkeypatch.setattr(tok, "MAX_WORDS", 300)
+    enc, asked = WordEncoder(PATH), []
+    bulk = enc._bulk
+    monkeypatch.setattr(enc, "_bulk", lambda words: (asked.extend(words), bulk(words))[1])
+    for i in range(40):
+        texts = [" ".join(f"common{j} Common{j}" for j in range(50)), None, "", " ".join(f"rare{i}x{j}" for j in range(60))]
+        ids, counts = enc.encode(pa.array(texts))
+        expected = [library(enc, t) for t in texts]
+        assert ids.tolist() == [x for e in expected for x in e] and counts.tolist() == [len(e) for e in expected]
+        assert enc.known <= 300 + 110
+    assert len(asked) == len(set(asked)) == 51 + 40 * 60  # and the empty word
+
+
+def test_words_that_fill_the_table_alone_leave_it(monkeypatch):
+    monkeypatch.setattr(tok, "MAX_WORDS", 30)
+    enc = WordEncoder(PATH)
+    for _ in range(4):
+        text = " ".join(f"word{j}" for j in range(60))
+        assert enc.encode(pa.array([text]))[0].tolist() == library(enc, text) and enc.known == 60
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
