@@ -212,6 +212,35 @@ def test_share_of_postings_scored(spark):
         assert found.get(q, {}) == {int(p): int(score[p]) for p in np.flatnonzero(score >= best)}
 
 
+def test_many_queries_are_searched_a_few_at_a_time(monkeypatch):
+    """Memory does not grow with the queries sent, frequent words are not read posting by posting, the result is whole."""
+    import tracemalloc
+    r = random.Random(3)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(400)], [1 / (j + 1) for j in range(400)], k=60)) for _ in range(500)]
+    shard = topk.Shard(next(iter(_index_rows(texts))), 60.0)
+    own = [np.unique(topk.text_terms(pa.array([t]))[0]) for t in texts[:100]]
+    weight = np.log(1 + 500 / np.diff(shard.starts))
+    most, read = {}, []
+    monkeypatch.setattr(topk, "ragged", lambda a, b, f=topk.ragged: read.append(int(b.sum())) or f(a, b))
+    for times in (1, 30):
+        asked = own * times
+        terms, bounds = np.concatenate(asked), np.concatenate([[0], np.cumsum([len(a) for a in asked])])
+        weights = weight[np.searchsorted(shard.terms, terms)]
+        tracemalloc.start()
+        found = {q: (place, score) for q, place, score in shard.search(bounds, terms, weights, np.zeros(len(asked)), 10) if q < 100}
+        most[times] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert most[30] < 1.5 * most[1]
+    assert sum(read) < 0.5 * shard.scored
+    for q, terms in enumerate(own):
+        score = np.zeros(500)
+        for at in np.searchsorted(shard.terms, terms):
+            run = slice(shard.starts[at], shard.starts[at + 1])
+            score[shard.places[run]] += np.floor(weight[at] * shard.parts[run] * topk.UNIT + 0.5)
+        best = np.sort(score)[-10]
+        assert dict(zip(found[q][0].tolist(), found[q][1].tolist())) == {int(p): int(score[p]) for p in np.flatnonzero(score >= best)}
+
+
 def _index_rows(texts):
     """Rows of the index, built without a session."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
