@@ -115,6 +115,37 @@ def test_components_of_odd_rows(odd):
     assert Counter((r["doc_id"], r["component_id"]) for r in spotsigs.fingerprints(odd).collect()) == want
 
 
+def test_alike_sets_share_an_index_key():
+    rng = np.random.default_rng(3)
+    bounds = spotsigs.length_partitions(500, 80, 100)
+    for n in [*range(1, 40), *rng.integers(40, 400, 60).tolist()]:
+        # the larger set adds the most signatures that leave the likeness at 0.8, and they come first
+        extra = int(rng.integers(0, n // 4 + 1))
+        names = rng.permutation(1 << 20)[:n + extra].astype(np.uint64)
+        a, b = names[extra:], names
+        # the same likeness with signatures of its own on either side
+        lost = n // 9
+        c, d = np.concatenate([names[extra:extra + lost] + np.uint64(1 << 21), a[lost:]]), a
+        for x, y in ((a, b), (c, d)):
+            assert spotsigs.likeness(np.sort(x), np.sort(y)) >= 0.8
+            assert np.intersect1d(spotsigs.posting_keys(x, bounds, 80, 100), spotsigs.posting_keys(y, bounds, 80, 100)).size
+        assert len(spotsigs.posting_keys(a, bounds, 80, 100)) <= 0.34 * n + 2
+
+
+def test_only_candidates_are_shuffled_as_sets(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", *(f"v{i}" for i in range(400))]) for _ in range(300)) for _ in range(80)]
+    docs = [*enumerate(texts), (80, "first of " + texts[3]), (81, texts[3]), (82, ""), (83, None), (None, texts[5])]
+    frames, asked = {}, []
+    stored, exact = spotsigs.stored, spotsigs.exact_components
+    monkeypatch.setattr(spotsigs, "stored", lambda df, name: frames.setdefault(name, stored(df, name)))
+    monkeypatch.setattr(spotsigs, "exact_components", lambda sets, edges, docs, *a: (asked.append(docs), exact(sets, edges, docs, *a))[1])
+    got = spotsigs.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((d, c) for (d, _), c in zip(docs, components(docs)))
+    assert {3, 80, 81} <= {r["doc_id"] for r in asked[0].collect()} and asked[0].count() < 10
+    assert "sigs" in frames["signatures"].columns and not {"bits", "lower"} & set(frames["signatures"].columns)
+
+
 def test_texts_under_one_id_fill_many_ranges(spark):
     rng = random.Random(4)
     names = ["the", "and", "of", *(f"w{i}" for i in range(300))]

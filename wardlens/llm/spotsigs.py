@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.common import chunks, column, packed, rows, splitmix, stored, unpacked
-from wardlens.llm.simjoin import candidate_edges, class_of, dealt, exact_components, lower_bits, parity_bits, parity_level, record_id, shared_keys
+from wardlens.llm.simjoin import SEEN, candidate_edges, class_of, dealt, exact_components, lower_bits, parity_bits, parity_level, record_id, shared_keys
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset("""
@@ -45,13 +45,15 @@ CHAIN = 2
 SPARSE = 8
 #: Cells that count signatures; a signature's rarity is the power of two of its cell.
 CELLS = 1 << 18
+#: Places that tell which records are candidates; others that fall on the same place are only read in vain.
+PLACES = 1 << 23
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                      ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("component_id", pa.int64())])
 PRINTS_DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
               "near_edited double, near_next double, component_id long")
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("said", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64()), ("bits", pa.binary()),
-                     ("lower", pa.binary()), ("sigs", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("said", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64()), ("sigs", pa.binary())])
+_DESCRIBED = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("rid", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("lower", pa.binary())])
 
 
 def _chains(word: np.ndarray, anchor: np.ndarray, content: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -230,6 +232,18 @@ def length_partitions(longest: int, num: int, den: int) -> list[int]:
     return bounds
 
 
+def posting_keys(ordered: np.ndarray, bounds: list[int], num: int, den: int) -> np.ndarray:
+    """Index keys of a set whose signatures are in an order that all sets share; alike sets have one in common.
+
+    Alike sets share all but ``n - ceil(n * num / den)`` signatures of each, so in the set's own partition so many and one
+    more are keys.  In the next partition it meets larger sets only, and shares more with the least of them."""
+    n = len(ordered)
+    own = bisect_right(bounds, n)
+    up = -(-num * (n + bounds[own]) // (num + den))
+    return np.concatenate([splitmix(ordered[:max(0, n - least + 1)] | np.uint64(p << 32)) >> np.uint64(1)
+                           for p, least in ((own, -(-n * num // den)), (own + 1, up))])
+
+
 def near_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, said, n_signatures, component_id``: smallest doc_id reachable over fingerprints of likeness ``num / den``
     or more; ``said`` is the hash of the text."""
@@ -240,10 +254,10 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
             found = signature_sets(column(part, "text"))
             cls = [class_of(s) for s in found]
             yield rows(_SIGNED, column(part, "doc_id"), column(part, "said"), [len(s) for s in found], cls, [record_id(c) for c in cls],
-                       [parity_bits(s, parity_level(len(s))) for s in found], [lower_bits(s, num, den) for s in found], [s.astype("<u4").tobytes() for s in found])
+                       [s.astype("<u4").tobytes() for s in found])
 
     sets = stored(docs.withColumn("said", F.xxhash64("text"))
-                  .mapInArrow(make, "doc_id long, said long, n long, cls binary, rid long, bits binary, lower binary, sigs binary"), "signatures")
+                  .mapInArrow(make, "doc_id long, said long, n long, cls binary, rid long, sigs binary"), "signatures")
     named = sets.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
 
     def cell(signatures: np.ndarray) -> np.ndarray:
@@ -264,27 +278,51 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             keys, rids = [], []
-            for rid, data in zip(column(batch, "rid").to_pylist(), column(batch, "sigs").to_pylist()):
+            for cls, rid, data in zip(*(column(batch, c).to_pylist() for c in ("cls", "rid", "sigs"))):
+                if cls in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(cls)
                 s = np.frombuffer(data, "<u4").astype(np.uint64)
-                # alike sets have all but n - ceil(n * num / den) signatures in common, whichever are the first ones in an order that all share
-                prefix = s[np.lexsort((splitmix(s), rarity[cell(s)]))[:len(s) - -(-len(s) * num // den) + 1]]
-                own = bisect_right(bounds, len(s))
-                keys += [splitmix(prefix | np.uint64(p << 32)) >> np.uint64(1) for p in (own, own + 1)]
-                rids.append(np.full(2 * len(prefix), rid, np.int64))
+                keys.append(posting_keys(s[np.lexsort((splitmix(s), rarity[cell(s)]))], bounds, num, den))
+                rids.append(np.full(len(keys[-1]), rid, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rids))], ["key", "rid"])
 
     def shared_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return shared_keys(b for batch in batches for b in dealt(batch["key"].to_numpy().view(np.uint64), batch["rid"].to_numpy(), buckets))
 
-    postings = named.groupBy("cls", "rid").agg(F.first("sigs").alias("sigs")).select("rid", "sigs").mapInArrow(index, "key long, rid long")
+    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(data, "<u4").astype(np.uint64) for data in column(batch, "sigs").to_pylist()]
+            yield rows(_DESCRIBED, *(column(batch, c) for c in ("doc_id", "cls", "rid", "n")),
+                       [parity_bits(s, parity_level(len(s))) for s in found], [lower_bits(s, num, den) for s in found])
+
+    # copies are left out in each task, not by a shuffle of the sets
+    postings = named.select("cls", "rid", "sigs").mapInArrow(index, "key long, rid long")
     # a row a signature: rows of a bucket and task would grow with the square of the partitions
     shared = stored(postings.repartition(buckets // 8, "key").sortWithinPartitions(F.pmod("key", F.lit(buckets)))
                     .mapInArrow(shared_rows, "gid long, rid long").distinct(), "shared")
-    component = exact_components(sets, candidate_edges(shared, sets, num, den), named.select("doc_id", "said", F.col("sigs").alias("text")),
-                                 lambda column: [np.frombuffer(x, "<u4").astype(np.uint64) for x in column.to_pylist()], num, den)
+    described = named.mapInArrow(describe, "doc_id long, cls binary, rid long, n long, bits binary, lower binary")
+    edges = stored(candidate_edges(shared, described, num, den), "edges")
+    place = F.col("rid").bitwiseAND(PLACES - 1)
+    marked = edges.select(F.explode(F.array("a", "b")).alias("rid")).select(F.shiftright(place, 6).alias("word"), F.pmod("rid", F.lit(64)).alias("bit")) \
+        .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, int(bit)))").alias("bits")).toArrow()
+    marks = np.zeros(PLACES // 64, np.int64)
+    marks[marked.column("word").to_numpy()] = marked.column("bits").to_numpy()
+
+    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = column(batch, "rid").to_numpy() & (PLACES - 1)
+            yield batch.filter(pa.array((marks[at >> 6] >> (at & 63) & 1).astype(bool))).select(["doc_id", "said", "text"])
+
+    # only the sets of candidates are shuffled
+    asked = named.select("doc_id", "said", F.col("sigs").alias("text"), "rid").mapInArrow(candidates, "doc_id long, said long, text binary")
+    component = exact_components(sets, edges, asked, lambda column: [np.frombuffer(x, "<u4").astype(np.uint64) for x in column.to_pylist()], num, den)
     return sets.select("doc_id", "said", F.col("n").alias("n_signatures"), "cls").join(component, "cls", "left") \
         .select("doc_id", "said", "n_signatures",
                 F.when(F.col("cls").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
