@@ -183,3 +183,36 @@ def test_som_passes_sum_whole_batches(spark, monkeypatch):
     assert np.allclose(w, near @ member.T @ x / (near @ member.sum(0))[:, None])
     units = {r["id"]: r["unit"] for r in cluster.som_best_unit(df, "v", w).collect()}
     assert [units[i] for i in range(150)] == ((x[:, None] - w) ** 2).sum(2).argmin(1).tolist()
+
+
+def test_hash_numbers_equal_hash_bits(spark):
+    from wardlens.operators.folds import hash_bits, hash_numbers
+    keys, salts = ["", "7", "123456", "é" * 4, "x" * 70], ["0", "94:f10", "3:f1"]
+    df = spark.createDataFrame([(i, k or None) for i, k in enumerate(keys)], "i int, k string")
+    want = [list(r) for r in df.orderBy("i").select(*[hash_bits("k", s).alias(s) for s in salts]).collect()]
+    assert hash_numbers([k.encode() for k in keys], [s.encode() for s in salts]).tolist() == want
+
+
+def test_shapley_of_boosted_trees_makes_no_vectors_and_equals_the_vectors_way(spark):
+    from pyspark.ml import PipelineModel
+    df = _separable(spark, 50)
+    df = df.unionByName(df.limit(7)).withColumn("x3", F.col("x1") * F.col("x2"))   # keys come twice
+    names = ["x1", "x2", "x3"]
+    fitted = models.scaled_pipeline(names, models.make_estimator("gbt", maxIter=4)).fit(df)
+    inner = PipelineModel(stages=fitted.stages[1:])
+
+    class Model:
+        calls = 0
+
+        def transform(self, vectors):
+            self.calls += 1
+            return inner.transform(vectors.withColumnRenamed("features", "_raw"))
+    plain, known = Model(), Model()
+    known.model = inner
+    bg = [[0.0, 0.5, 1.0], [1.0, -1.0, 0.0], [0.3, 0.2, 0.1]]
+    want = attribution.sampled_shapley(plain, df, bg, names, "id", n_perm=9, weights=[3, 1, 2]).orderBy("feature").collect()
+    got = attribution.sampled_shapley(known, df, bg, names, "id", n_perm=9, weights=[3, 1, 2]).orderBy("feature").collect()
+    assert plain.calls == 1 and known.calls == 0
+    for a, b in zip(want, got):
+        assert a["feature"] == b["feature"] and abs(a["mean"] - b["mean"]) < 1e-12 and abs(a["mean_abs"] - b["mean_abs"]) < 1e-12
+    assert any(r["mean_abs"] > 0 for r in got)

@@ -1,7 +1,7 @@
 """Feature attribution: named importances, stability over refits, permutation
 importance, exact linear contributions and sampled Shapley values.
 
-Permutation and Shapley variants of all features are built in one frame keyed
+Permutation variants of all features are built in one frame keyed
 by ``feature`` and scored by a single ``model.transform``; the row shuffle is a
 join of two distributed row numberings (id order against hash order), never a
 driver-side shuffle.
@@ -9,17 +9,24 @@ driver-side shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.operators.boosting import list_array
+from wardlens.operators.ensemble import Ensemble, ensemble_of
 from wardlens.operators.evaluate import roc_auc
-from wardlens.operators.folds import hash_bits
+from wardlens.operators.folds import hash_bits, hash_numbers
 from wardlens.operators.ordered import row_numbers
 from wardlens.session import shuffle_partitions
 
+#: Vectors that are scored at a time.
+TOGETHER = 20_000
+
 
 def named_importances(model, features: Sequence[str], top: int | None = None) -> DataFrame:
     """Tree importances zipped with feature names, ranked (1 = most important)."""
@@ -98,10 +105,14 @@ def sampled_shapley(model, rows: DataFrame, background: Sequence[Sequence[float]
     For each row and sample m: a feature order and a background row are drawn
     from a hash of (key, m), background rows in proportion to ``weights``; the model scores the background row with the
     first 0, 1, ... features of the order taken from x, and a feature's value is the rise of the score where it joins.
-    Rows x samples x (features + 1) vectors are exploded and scored by one ``transform``; only one row a key and its
+    The vectors of boosted trees are scored in the row's own task by patterns of steps (``ensemble.py``); for other models
+    rows x samples x (features + 1) vectors are exploded and scored by one ``transform``.  Only one row a key and its
     sums are shuffled after it.
     """
     nf, spark = len(features), rows.sparkSession
+    trees = ensemble_of(getattr(model, "model", model), nf)
+    if trees:
+        return _mean_values(_tree_values(trees, rows, background, features, key, n_perm, weights or [1] * len(background)), features, n_perm)
     bg = F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in background])
     x = rows.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
     # a row is some hundred vectors: every core gets rows
@@ -123,6 +134,43 @@ def sampled_shapley(model, rows: DataFrame, background: Sequence[Sequence[float]
     scored = model.transform(steps).withColumn("_p", vector_to_array("probability")[1])
     phi = scored.groupBy(key).agg(*[F.sum(F.when(F.col("_up") == i, F.col("_p")).when(F.col("_down") == i, -F.col("_p"))).alias(f"_s{i}")
                                     for i in range(nf)])
+    return _mean_values(phi, features, n_perm)
+
+
+def _mean_values(phi: DataFrame, features: Sequence[str], n_perm: int) -> DataFrame:
+    """``feature, mean_abs, mean`` of each key's sums over its samples."""
     each = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"_s{i}") / n_perm).alias("phi")) for i, f in enumerate(features)])
     return phi.select(F.explode(each).alias("_e")).groupBy("_e.feature") \
         .agg(F.avg(F.abs("_e.phi")).alias("mean_abs"), F.avg("_e.phi").alias("mean"))
+
+
+def _tree_values(trees: Ensemble, rows: DataFrame, background: Sequence[Sequence[float]], features: Sequence[str], key: str,
+                 n_perm: int, weights: Sequence[int]) -> DataFrame:
+    """``key, _s0, _s1, ...``: each key's sums of the score's rises, with the draws of ``hash_bits``."""
+    nf, spark = len(features), rows.sparkSession
+    upto = np.cumsum(np.asarray(weights, np.int64))
+    other = trees.steps(np.asarray([[float(v) for v in b] for b in background]).reshape(-1, nf))
+    salts = [b"%d" % m for m in range(n_perm)] + [b"%d:f%d" % (m, i) for m in range(n_perm) for i in range(nf)]
+    x = rows.select(key, F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary").alias("_k"), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    x = x.repartition(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)))
+    step = max(1, TOGETHER // (n_perm * (nf + 1)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = batch["_k"].to_pylist(), batch["_x"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, nf)
+            sums = np.zeros((len(keys), nf))
+            for low in range(0, len(keys), step):
+                part = slice(low, low + step)
+                n = len(keys[part])
+                drawn = hash_numbers(keys[part], salts)
+                z = np.searchsorted(upto, drawn[:, :n_perm].ravel() % upto[-1], side="right")
+                # order of the features by hash; ties by their place
+                order = np.argsort(drawn[:, n_perm:].reshape(-1, nf), axis=1, kind="stable")
+                subsets = np.zeros((len(order), nf + 1), np.int64)
+                np.cumsum(1 << order, axis=1, out=subsets[:, 1:])
+                p = trees.mixed([np.repeat(s, n_perm) for s in trees.steps(values[part])], [s[z] for s in other], subsets)
+                cell = np.repeat(np.arange(n), n_perm)[:, None] * nf + order
+                sums[part] = np.bincount(cell.ravel(), np.diff(p, axis=1).ravel(), n * nf).reshape(n, nf)
+            yield pa.RecordBatch.from_arrays([batch[key], list_array(sums)], [key, "_s"])
+    ddl = f"`{key}` {x.schema[key].dataType.simpleString()}, _s array<double>"
+    return x.mapInArrow(run, ddl).groupBy(key).agg(*[F.sum(F.col("_s")[i]).alias(f"_s{i}") for i in range(nf)])
