@@ -216,3 +216,20 @@ def test_shapley_of_boosted_trees_makes_no_vectors_and_equals_the_vectors_way(sp
     for a, b in zip(want, got):
         assert a["feature"] == b["feature"] and abs(a["mean"] - b["mean"]) < 1e-12 and abs(a["mean_abs"] - b["mean_abs"]) < 1e-12
     assert any(r["mean_abs"] > 0 for r in got)
+
+
+def test_rounds_are_prefixes_of_one_fit_a_fold(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    from wardlens.operators.ordered import ntile_folds
+    df = _separable(spark, 300).withColumn("label", F.when(F.col("id") % 9 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    df = assemble(ntile_folds(df, "id", 2, ["label"]), ["x1", "x2"]).cache()
+    est = models.make_estimator("gbt", subsamplingRate=0.7, maxIter=1)
+    counts = [2, 3, 5]
+    _, _, want = models.grid_search(df, est, {"maxIter": counts}, "fold")
+    fits = []
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, d, fit=GBTClassifier._fit: (fits.append(self.getMaxIter()), fit(self, d))[1])
+    best, _ = models.staged_search(df, lambda p: est, [{"maxIter": counts}], "fold")
+    assert fits == [5, 5] and best in [p for p, _, _ in want]
+    got = models.round_search(df, est, counts, "fold")
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(abs(g[k] - w[k]) < 1e-9 for g, w in zip(got, want) for k in (1, 2))
